@@ -130,7 +130,7 @@ def acronyms(c: Column | str) -> Column:
 
 def acronym_tokens(c: Column | str) -> Column:
     """Two to six letter words of a question that could be an acronym, upper-cased."""
-    found = F.regexp_extract_all(as_col(c), F.lit(r"\b[A-Za-z]{2,6}\b"), F.lit(0))
+    found = F.regexp_extract_all(as_col(c), F.lit(r"(?U)\b[A-Za-z]{2,6}\b"), F.lit(0))
     function_words = literal_array([w.upper() for w in fv.FUNCTION_WORDS])
     return F.array_except(F.array_distinct(F.transform(found, F.upper)), function_words)
 

@@ -96,7 +96,7 @@ def contained_names(
     )
     low, needle = F.lower(text), F.lower("name")
     if whole_words:
-        verified = F.regexp_like(low, F.concat(F.lit(r"\b\Q"), needle, F.lit(r"\E\b")))
+        verified = F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), needle, F.lit(r"\E\b")))
     else:
         verified = F.contains(low, needle)
     return (

@@ -18,8 +18,9 @@ CATEGORY_OF_PRIORITY = {
 }
 # First names for rendered people; the family name spells the key, so full names are unique.
 FIRST_NAMES = ["Asha", "Ravi", "Meera", "Imran", "Kavita", "Gautam", "Uma", "Rohit", "Pooja", "Tanvir"]
-# Credential dates are moved back so that they fall inside the range of completion dates.
-CREDENTIAL_SHIFT_DAYS = 9500
+# Rendered works are moved on into the years questions name, credentials back among them.
+WORK_SHIFT_YEARS = 16
+CREDENTIAL_SHIFT_DAYS = 3700
 
 SQL = {
     "works": """
