@@ -22,30 +22,32 @@ MONTH_NUMBER = {name: i + 1 for i, name in enumerate(fv.MONTH_NAMES)} | {
 
 
 def parse_date(c: Column | str) -> Column:
-    """Text -> DATE; NULL when no layout fits or the day does not exist."""
-    text = F.regexp_replace(F.trim(as_col(c)), r"[\r\n\t]+", " ")
-    months = literal_map({k: str(v) for k, v in MONTH_NUMBER.items()})
+    """Text -> DATE; NULL when no layout fits or the day does not exist.
 
-    def piece(pattern: str, group: int) -> Column:
-        return F.regexp_extract(text, pattern, group)
+    The text is read by the first layout it has the form of, so most rows cost one or two
+    patterns. It is referenced once per layout: pass a column, not an expression.
+    """
+    text = F.trim(as_col(c))
+    months = literal_map({k: str(v) for k, v in MONTH_NUMBER.items()})
+    month = F.element_at(months, F.lower(F.regexp_extract(text, "[A-Za-z]+", 0)))
 
-    def ymd(y: Column, m: Column, d: Column) -> Column:
-        return F.concat_ws("-", y, m, d).try_cast("date")
+    def rearranged(pattern: str, order: str) -> Column:
+        return F.regexp_replace(text, pattern, order).try_cast("date")
 
-    def month(name: Column) -> Column:
-        # NULL for an unknown name, which makes concat_ws drop it and the cast fail.
-        return F.element_at(months, F.lower(name))
+    def named(pattern: str, year_and_day: str) -> Column:
+        # 'year-?-day', the month name being looked up; an unknown name gives NULL.
+        return F.replace(F.regexp_replace(text, pattern, year_and_day), F.lit("?"), month).try_cast("date")
 
-    def layout(pattern: str, y: Column, m: Column, d: Column) -> Column:
-        return F.when(text.rlike(pattern) & m.isNotNull(), ymd(y, m, d))
+    def embedded(pattern: str, y: int, m: int, d: int) -> Column:
+        found = F.regexp_extract(text, pattern, 0)
+        return F.concat_ws("-", *[F.regexp_extract(found, pattern, g) for g in (y, m, d)]).try_cast("date")
 
-    return F.coalesce(
-        layout(YEAR_FIRST, piece(YEAR_FIRST, 1), piece(YEAR_FIRST, 3), piece(YEAR_FIRST, 4)),
-        layout(DAY_FIRST, piece(DAY_FIRST, 4), piece(DAY_FIRST, 3), piece(DAY_FIRST, 1)),
-        layout(MONTH_NAME_FIRST, piece(MONTH_NAME_FIRST, 3), month(piece(MONTH_NAME_FIRST, 1)), piece(MONTH_NAME_FIRST, 2)),
-        layout(DAY_MONTH_NAME, piece(DAY_MONTH_NAME, 3), month(piece(DAY_MONTH_NAME, 2)), piece(DAY_MONTH_NAME, 1)),
-        layout(INSIDE_YEAR_FIRST, piece(INSIDE_YEAR_FIRST, 1), piece(INSIDE_YEAR_FIRST, 2), piece(INSIDE_YEAR_FIRST, 3)),
-        layout(INSIDE_DAY_FIRST, piece(INSIDE_DAY_FIRST, 3), piece(INSIDE_DAY_FIRST, 2), piece(INSIDE_DAY_FIRST, 1)),
+    return (
+        F.when(text.rlike(YEAR_FIRST), rearranged(YEAR_FIRST, "$1-$3-$4"))
+        .when(text.rlike(DAY_FIRST), rearranged(DAY_FIRST, "$4-$3-$1"))
+        .when(text.rlike(MONTH_NAME_FIRST), named(MONTH_NAME_FIRST, "$3-?-$2"))
+        .when(text.rlike(DAY_MONTH_NAME), named(DAY_MONTH_NAME, "$3-?-$1"))
+        .otherwise(F.coalesce(embedded(INSIDE_YEAR_FIRST, 1, 2, 3), embedded(INSIDE_DAY_FIRST, 3, 2, 1)))
     )
 
 

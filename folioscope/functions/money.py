@@ -11,7 +11,8 @@ from folioscope.functions.text import as_col, literal_map
 NUMBER = r"((?:(?<!\w)-)?\d[\d,]*(?:\.\d+)?|\.\d+)"
 CRORE = r"(?i)" + NUMBER + r"\s*Cr(?:ore)?s?\b"
 LAKH = r"(?i)" + NUMBER + r"\s*(?:Lakhs?|Lacs?)\b"
-CURRENCY_MARK = r"(?i)\bRs\.?|INR|₹"
+CURRENCY_OR_SPACE = r"(?i)\bRs\.?|INR|₹|\s+"
+NOT_NUMERIC = r"(?!^-)[^\d.]"
 
 _TENS_AND_UNITS = [w for w in fv.NUMBER_WORDS if w != "hundred"]
 WORD_CRORE = (
@@ -29,16 +30,13 @@ def _rupees(amount: Column) -> Column:
 
 def parse_money(c: Column | str) -> Column:
     """Crore, then lakh, then a plain number with any digit grouping; 0 when unreadable."""
-    text = F.regexp_replace(F.trim(as_col(c)), r"[\r\n\t]+", " ")
-    crore = F.regexp_extract(text, CRORE, 1)
-    lakh = F.regexp_extract(text, LAKH, 1)
-    bare = F.trim(F.regexp_replace(text, CURRENCY_MARK, ""))
-    sign = F.when(bare.startswith("-"), -1).otherwise(1)
-    plain = F.regexp_replace(bare, r"[^\d.]", "").try_cast("decimal(28,10)")
+    text = as_col(c)
+    bare = F.regexp_replace(F.regexp_replace(text, CURRENCY_OR_SPACE, ""), NOT_NUMERIC, "")
+    # A pattern that does not match extracts '', which is no number: the next reading is tried.
     return F.coalesce(
-        F.when(crore != "", _rupees(_decimal(crore) * F.lit(fv.RUPEES_PER_CRORE)))
-        .when(lakh != "", _rupees(_decimal(lakh) * F.lit(fv.RUPEES_PER_LAKH)))
-        .otherwise(_rupees(plain) * sign),
+        _rupees(_decimal(F.regexp_extract(text, CRORE, 1)) * F.lit(fv.RUPEES_PER_CRORE)),
+        _rupees(_decimal(F.regexp_extract(text, LAKH, 1)) * F.lit(fv.RUPEES_PER_LAKH)),
+        _rupees(bare.try_cast("decimal(28,10)")),
         F.lit(0).cast("bigint"),
     )
 
@@ -62,12 +60,12 @@ def threshold_rupees(c: Column | str) -> Column:
     """The bar named in a question: digits + crore, words + crore, digits + lakh, else 0."""
     text = as_col(c)
     crore = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*cr(?:ore)?s?\b", 1)
-    spoken = words_to_number(F.regexp_extract(text, WORD_CRORE, 1))
+    spoken = F.nullif(words_to_number(F.regexp_extract(text, WORD_CRORE, 1)), F.lit(0))
     lakh = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*lakhs?\b", 1)
     return F.coalesce(
-        F.when(crore != "", _rupees(_decimal(crore) * F.lit(fv.RUPEES_PER_CRORE)))
-        .when(spoken > 0, spoken.cast("bigint") * F.lit(fv.RUPEES_PER_CRORE).cast("bigint"))
-        .when(lakh != "", _rupees(_decimal(lakh) * F.lit(fv.RUPEES_PER_LAKH))),
+        _rupees(_decimal(crore) * F.lit(fv.RUPEES_PER_CRORE)),
+        spoken.cast("bigint") * F.lit(fv.RUPEES_PER_CRORE).cast("bigint"),
+        _rupees(_decimal(lakh) * F.lit(fv.RUPEES_PER_LAKH)),
         F.lit(0).cast("bigint"),
     )
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from folioscope.functions import fixed_values as fv
@@ -11,14 +14,12 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def quoted(phrase: str) -> str:
-    """A phrase as a regex that matches it literally in Java and RE2."""
-    return "".join(ch if ch.isalnum() or ch in " '\"" else "\\" + ch for ch in phrase)
-
-
 def any_phrase(text: Column | str, phrases: list[str]) -> Column:
-    """True when the text contains any of the phrases; one scan over the text."""
-    return as_col(text).rlike("|".join(quoted(p) for p in phrases))
+    """True when the text contains any of the phrases.
+
+    ``text`` is evaluated once per phrase, so pass a column, not an expression.
+    """
+    return reduce(lambda a, b: a | b, (F.contains(as_col(text), F.lit(p)) for p in phrases))
 
 
 def literal_array(values: list[str]) -> Column:
@@ -31,8 +32,7 @@ def literal_map(values: dict) -> Column:
 
 def blank_to_null(c: Column | str) -> Column:
     """NULL, '' and the text 'nan' all mean missing."""
-    trimmed = F.trim(as_col(c))
-    return F.when((trimmed != "") & (F.lower(trimmed) != "nan"), trimmed)
+    return F.nullif(F.regexp_replace(F.trim(as_col(c)), "^(?i:nan)$", ""), F.lit(""))
 
 
 def collapse_spaces(c: Column) -> Column:
@@ -47,7 +47,9 @@ def normalize_text(c: Column | str) -> Column:
 def clean_client_name(c: Column | str) -> Column:
     """Drop bracketed remarks and repair the known cut-off spellings."""
     name = F.trim(F.regexp_replace(normalize_text(c), r"\s*\([^)]*\)", ""))
-    return F.coalesce(F.element_at(literal_map(fv.CLIENT_CORRECTIONS), name), name)
+    for cut_off, full in fv.CLIENT_CORRECTIONS.items():
+        name = F.regexp_replace(name, "^" + re.escape(cut_off) + "$", full)
+    return name
 
 
 def clean_category(c: Column | str) -> Column:
@@ -57,22 +59,19 @@ def clean_category(c: Column | str) -> Column:
 
 def package_number(c: Column | str) -> Column:
     """First 'Pkg-N' (dash optional) in canonical spelling, NULL when there is none."""
-    digits = F.regexp_extract(as_col(c), r"(?i)Pkg-?(\d+)", 1)
-    return F.when(digits != "", F.concat(F.lit("Pkg-"), digits))
+    return F.concat(F.lit("Pkg-"), F.nullif(F.regexp_extract(as_col(c), r"(?i)Pkg-?(\d+)", 1), F.lit("")))
 
 
 def package_mention(c: Column | str) -> Column:
     """A package as people write it in a question: 'pkg 12', 'Package-12'."""
     digits = F.regexp_extract(as_col(c), r"(?i)(?:pkg|package)[-\s]*(\d+)", 1)
-    return F.when(digits != "", F.concat(F.lit("Pkg-"), digits))
+    return F.concat(F.lit("Pkg-"), F.nullif(digits, F.lit("")))
 
 
 def state_name(c: Column | str) -> Column:
     """First state of the fixed list (list order, not text order) named in the text."""
     text = F.lower(as_col(c))
-    return F.try_element_at(
-        F.filter(literal_array(fv.STATES), lambda s: F.contains(text, F.lower(s))), F.lit(1)
-    )
+    return F.coalesce(*[F.when(F.contains(text, F.lit(s.lower())), s) for s in fv.STATES])
 
 
 def years_in(c: Column | str) -> Column:
@@ -83,7 +82,7 @@ def years_in(c: Column | str) -> Column:
 
 def credential_id(c: Column | str) -> Column:
     found = F.regexp_extract(as_col(c), r"(?i)\b(PMI-\d+|6S-\d+)\b", 1)
-    return F.when(found != "", F.upper(found))
+    return F.nullif(F.upper(found), F.lit(""))
 
 
 def words(c: Column | str) -> Column:

@@ -7,11 +7,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from folioscope.functions import fixed_values as fv
 from folioscope.functions.dates import date_in_text
 from folioscope.operators import portfolio
-from folioscope.operators.classify import is_difference, question_shape
+from folioscope.operators.classify import PHRASE_TAGS, tag, with_shape
 from folioscope.operators.linking import category_spans, stored_category
 from folioscope.operators.ranking import sum_after, sum_at_or_above
+from folioscope.session import cut_lineage
 
-ANSWER = "decimal(38,2)"
+ANSWER = "decimal(28,2)"
 
 
 def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame, certs: DataFrame) -> DataFrame:
@@ -30,8 +31,8 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
         F.try_element_at("years", F.lit(1)).alias("year_1"),
         F.try_element_at("years", F.lit(2)).alias("year_2"),
         date_in_text("question").alias("date_named"),
-        question_shape("question", "answer_type").alias("shape"),
     )
+    asked = with_shape(asked)
     # Lookup keys exist only where the shape uses them.
     def key(name: str, *shapes: str) -> Column:
         return F.when(F.col("shape").isin(*shapes), F.col(name))
@@ -51,6 +52,8 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
         )
         .withColumn("start", key("issued", "temporal_chain"))
     )
+    # The parameters of all questions feed the fact tables below as well as the final join.
+    asked = cut_lineage(asked)
 
     bars = sum_at_or_above(
         works, asked.filter("shape = 'threshold_aggregate' AND bar IS NOT NULL"), "client_name", "value_inr", "bar"
@@ -107,17 +110,20 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
     chosen = F
     for shape, value in by_shape.items():
         chosen = chosen.when(F.col("shape") == shape, value.cast(ANSWER))
-    return facts.select("qid", "question", "answer_type", "shape", chosen.alias("raw_answer")).select(
-        "qid", "answer_type", "shape", shape_result("raw_answer", "question", "answer_type").alias("answer")
-    )
+    return shape_results(facts.select("qid", "question", "answer_type", "shape", chosen.alias("answer"))).drop("question")
 
 
-def shape_result(answer: Column | str, question: Column | str, answer_type: Column | str) -> Column:
+def shape_results(df: DataFrame) -> DataFrame:
     """Round by unit, and give money questions worded as a difference without their sign."""
-    value = F.col(answer) if isinstance(answer, str) else answer
-    kind = F.col(answer_type) if isinstance(answer_type, str) else answer_type
+    value, kind = F.col("answer"), F.col("answer_type")
     rounded = F.when(kind == "percent", F.round(value, 2)).otherwise(F.bround(value, 0)).cast(ANSWER)
-    return F.when((kind == "money") & is_difference(question), F.abs(rounded)).otherwise(rounded)
+    unsigned = (kind == "money") & F.col("is_difference")
+    return (
+        tag(df, "question", {"is_difference": PHRASE_TAGS["is_difference"]})
+        .withColumn("answer", rounded)
+        .withColumn("answer", F.when(unsigned, F.abs(value)).otherwise(value))
+        .drop("is_difference")
+    )
 
 
 def submission_rows(answers: DataFrame) -> DataFrame:

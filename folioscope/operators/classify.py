@@ -17,10 +17,14 @@ SHAPES = [
 OPENING_CHARS = 400
 
 
-def document_class(page1: Column | str) -> Column:
-    """Class of a document from its first page; NULL text means the page was unreadable."""
-    text = F.lower(as_col(page1))
-    opening = F.substring(text, 1, OPENING_CHARS)
+def classify_pages(docs: DataFrame, page1: str = "page1", out: str = "cls") -> DataFrame:
+    """Add the class of each document by its first page; the page is lowered once."""
+    lowered = docs.withColumn("_low", F.lower(page1)).withColumn("_open", F.substring("_low", 1, OPENING_CHARS))
+    return lowered.withColumn(out, _document_class(F.col("_low"), F.col("_open"))).drop("_low", "_open")
+
+
+def _document_class(text: Column, opening: Column) -> Column:
+    """NULL text means the page was unreadable; a document's own heading can rule it out."""
     return (
         F.when(text.isNull(), "unreadable")
         .when(any_phrase(opening, ["checklist", "compliance", "tender", "dossier"]), "unknown")
@@ -71,10 +75,17 @@ def credential_type(text: Column | str) -> Column:
     )
 
 
-def question_shape(question: Column | str, answer_type: Column | str) -> Column:
+def with_shape(df: DataFrame, question: str = "question", answer_type: str = "answer_type") -> DataFrame:
+    """Add the question's ``shape``; text is lowered and its figures are read once."""
+    staged = df.withColumn("_low", F.lower(question)).withColumns(
+        {"_years": F.size(years_in("_low")), "_bar": money.threshold_rupees(question)}
+    )
+    shape = _question_shape(F.col("_low"), F.col(answer_type), F.col("_years"), F.col("_bar"))
+    return staged.withColumn("shape", shape).drop("_low", "_years", "_bar")
+
+
+def _question_shape(q: Column, kind: Column, n_years: Column, bar: Column) -> Column:
     """One of the 17 shapes; the first rule that holds wins, hop_aggregate otherwise."""
-    raw = as_col(question)
-    q, kind = F.lower(raw), as_col(answer_type)
 
     def has(*phrases: str) -> Column:
         return any_phrase(q, list(phrases))
@@ -102,7 +113,7 @@ def question_shape(question: Column | str, answer_type: Column | str) -> Column:
         .when(has_any(fv.EXCLUSION_PHRASES), "exclusion_aggregate")
         .when(has_any(fv.MEAN_WORDS) & has("median"), "mean_vs_median")
         .when(balance, "outstanding_balance")
-        .when(F.size(years_in(q)) >= 2, "annual_diff")
+        .when(n_years >= 2, "annual_diff")
         .when((n_terms >= 2) & ~has("median", "201", "202", "largest"), "category_diff")
         .when(
             (has_any(fv.SHORTFALL_PHRASES) & has_any(fv.SHORTFALL_OBJECTS)) | has_any(fv.SHORTFALL_ALONE),
@@ -112,7 +123,7 @@ def question_shape(question: Column | str, answer_type: Column | str) -> Column:
         .when(has_any(fv.LARGEST_WORDS) & has_any(fv.RUNNER_UP_WORDS), "rank_value")
         .when(has_any(fv.TARGET_GAP_PHRASES), "gap_to_threshold")
         .when(
-            bar_wording & has_any(fv.BAR_UNIT_WORDS) & (money.threshold_rupees(raw) > 0),
+            bar_wording & has_any(fv.BAR_UNIT_WORDS) & (bar > 0),
             "threshold_aggregate",
         )
         .otherwise("hop_aggregate")
@@ -134,29 +145,22 @@ PHRASE_TAGS = {
 
 def tag(df: DataFrame, text: str, tags: dict[str, list[str]]) -> DataFrame:
     """Add one boolean column per tag: does the lower-cased text contain any of its phrases."""
-    lowered = F.lower(F.col(text))
-    return df.withColumns({name: any_phrase(lowered, phrases) for name, phrases in tags.items()})
-
-
-def is_difference(question: Column | str) -> Column:
-    return any_phrase(F.lower(as_col(question)), PHRASE_TAGS["is_difference"])
+    lowered = df.withColumn("_low", F.lower(text))
+    return lowered.withColumns({name: any_phrase("_low", phrases) for name, phrases in tags.items()}).drop("_low")
 
 
 def flag_questions(df: DataFrame, text: str = "question") -> DataFrame:
     """All question flags: phrase tags, currency unit, threshold gap and threshold direction."""
-    raw, q = F.col(text), F.lower(F.col(text))
-    figure = raw.rlike(CURRENCY_FIGURE)
-    money_named = F.contains(q, F.lit("crore")) | figure
-    direction = any_phrase(q, fv.DIRECTION_WORDS)
-    gap = (
-        (direction | F.contains(q, F.lit("credential"))) & money_named & any_phrase(q, fv.GAP_WORDS)
-    )
-    return tag(df, text, PHRASE_TAGS).withColumns(
-        {
-            "has_currency_unit": figure,
-            "is_threshold_gap": gap,
-            "is_threshold_direction": direction & money_named & ~gap,
-        }
+    words = {
+        "_crore": ["crore"], "_direction": fv.DIRECTION_WORDS, "_credential": ["credential"], "_gap": fv.GAP_WORDS,
+    }
+    tagged = tag(df, text, PHRASE_TAGS | words).withColumn("has_currency_unit", F.col(text).rlike(CURRENCY_FIGURE))
+    money_named = F.col("_crore") | F.col("has_currency_unit")
+    gap = (F.col("_direction") | F.col("_credential")) & money_named & F.col("_gap")
+    return (
+        tagged.withColumn("is_threshold_gap", gap)
+        .withColumn("is_threshold_direction", F.col("_direction") & money_named & ~F.col("is_threshold_gap"))
+        .drop(*words)
     )
 
 

@@ -12,6 +12,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioscope.session import cut_lineage
+
 # Run lengths tried for short names, longest first.
 GRAM_SIZES = (16, 8, 4, 2, 1)
 WORD = "[\\p{L}\\p{N}]+"
@@ -84,7 +86,7 @@ def contained_names(
     through the explode; it is joined back by id for the candidates only.
     """
     wanted = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    anchors = _rarest(_name_options(wanted, whole_words))
+    anchors = cut_lineage(_rarest(_name_options(wanted, whole_words)))
     # At most six values: decides which kinds of anchor the texts have to produce.
     kinds = sorted(r[0] for r in anchors.select("kind").distinct().collect())
     if not kinds:

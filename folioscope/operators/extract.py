@@ -63,8 +63,7 @@ CV_FIELDS = {
 
 def find(text: Column | str, pattern: str, group: int = 1) -> Column:
     """First match, trimmed; NULL when there is none or it is blank."""
-    found = F.trim(F.regexp_extract(tx.as_col(text), pattern, group))
-    return F.when(found != "", found)
+    return F.nullif(F.trim(F.regexp_extract(tx.as_col(text), pattern, group)), F.lit(""))
 
 
 def labelled(text: Column | str, labels: str) -> Column:
@@ -115,19 +114,19 @@ def certificate_records(docs: DataFrame) -> DataFrame:
         F.when(is_labelled, F.col("l_cert_ref")).alias("cert_ref"),
         F.when(is_labelled, F.col("l_internal_ref")).alias("internal_ref"),
     )
-    title = tx.normalize_text("work")
-    typed = raw.select(
+    titled = raw.withColumns({"title": tx.normalize_text("work"), "restated": _restated_text("full_text")})
+    typed = titled.select(
         "doc_id",
-        F.coalesce(tx.package_number(title), tx.package_number("full_text")).alias("package_no"),
-        title.alias("project_name"),
+        F.coalesce(tx.package_number("title"), tx.package_number("full_text")).alias("package_no"),
+        F.col("title").alias("project_name"),
         tx.clean_client_name("client").alias("client_name"),
         tx.clean_category("category").alias("category"),
         F.col("category").alias("raw_category"),
         money.parse_money("value").alias("stated_inr"),
-        restated_value("full_text").alias("restated_inr"),
+        money.parse_money("restated").alias("restated_inr"),
         parse_date("completion").alias("completion_date"),
         tx.normalize_text("lead").alias("lead_engineer"),
-        tx.state_name(title).alias("state"),
+        tx.state_name("title").alias("state"),
         F.col("cert_ref").alias("client_cert_ref"),
         "internal_ref",
         completeness("client", "category", "completion", "lead").alias("completeness"),
@@ -140,10 +139,9 @@ def certificate_records(docs: DataFrame) -> DataFrame:
     )
 
 
-def restated_value(full_text: Column | str) -> Column:
+def _restated_text(full_text: Column | str) -> Column:
     """The value as spelled out again further down; the first wording that occurs decides."""
-    first, second = (find(full_text, p) for p in RESTATED_VALUE)
-    return money.parse_money(F.coalesce(first, second))
+    return F.coalesce(*[find(full_text, p) for p in RESTATED_VALUE])
 
 
 def refined_value(stated: Column | str, restated: Column | str) -> Column:
@@ -172,24 +170,15 @@ def credential_records(docs: DataFrame, page1: str = "page1") -> DataFrame:
             out = out.when(F.contains(text, F.lit(marker)), value)
         return out
 
-    return to_schema(
-        docs.select(
-            "doc_id",
-            by_layout("name").alias("name"),
-            by_layout("emp_id").alias("emp_id"),
-            credential_type(text).alias("cred_type"),
-            by_layout("cred_id").alias("cred_id"),
-            parse_date(by_layout("issued")).alias("issue_date"),
-            parse_date(by_layout("valid")).alias("valid_through"),
-        ),
-        CERTS,
-    )
+    fields = ("name", "emp_id", "cred_id", "issued", "valid")
+    found = docs.select("doc_id", credential_type(text).alias("cred_type"), *[by_layout(f).alias(f) for f in fields])
+    dated = {"issue_date": parse_date("issued"), "valid_through": parse_date("valid")}
+    return to_schema(found.withColumns(dated), CERTS)
 
 
 def cv_records(docs: DataFrame, page1: str = "page1") -> DataFrame:
-    fields = {name: find(page1, pattern) for name, pattern in CV_FIELDS.items()}
-    fields["date_of_joining"] = parse_date(fields["date_of_joining"])
-    return to_schema(docs.select("doc_id", *[c.alias(n) for n, c in fields.items()]), ENGINEERS)
+    found = docs.select("doc_id", *[find(page1, pattern).alias(name) for name, pattern in CV_FIELDS.items()])
+    return to_schema(found.withColumn("date_of_joining", parse_date("date_of_joining")), ENGINEERS)
 
 
 def letter_records(docs: DataFrame, page1: str = "page1") -> DataFrame:
@@ -208,18 +197,22 @@ def conform_receivables_sheet(sheet: DataFrame) -> DataFrame:
         "received_inr": "Received (INR)",
         "outstanding_inr": "Outstanding (INR)",
     }
-    typed = sheet.select(
+    keyed = sheet.select(
         tx.blank_to_null("`Invoice No`").alias("invoice_no"),
         tx.blank_to_null("Client").alias("raw_client_name"),
-        tx.blank_to_null(tx.clean_client_name(tx.blank_to_null("Client"))).alias("client_name"),
-        parse_date(F.col("`Invoice Date`").cast("string")).alias("invoice_date"),
+        F.col("`Invoice Date`").cast("string").alias("dated"),
         F.trim("Status").alias("status"),
-        *[amount_cell(sheet, header).alias(name) for name, header in amounts.items()],
-    )
-    kept = typed.filter(
-        F.col("invoice_no").isNotNull() & F.col("raw_client_name").isNotNull() & F.col("client_name").isNotNull()
+        *[F.col(f"`{header}`") for header in amounts.values()],
+    ).filter(F.col("invoice_no").isNotNull() & F.col("raw_client_name").isNotNull())
+    typed = keyed.select(
+        "invoice_no",
+        "raw_client_name",
+        tx.blank_to_null(tx.clean_client_name("raw_client_name")).alias("client_name"),
+        parse_date("dated").alias("invoice_date"),
+        "status",
+        *[amount_cell(keyed, header).alias(name) for name, header in amounts.items()],
     )
-    return to_schema(kept, RECEIVABLES)
+    return to_schema(typed.filter(F.col("client_name").isNotNull()), RECEIVABLES)
 
 
 def conform_asset_sheet(sheet: DataFrame) -> DataFrame:
@@ -244,6 +237,6 @@ def amount_cell(sheet: DataFrame, header: str) -> Column:
     """A money cell: numbers keep their sign, text goes through the money parser."""
     cell = F.col(f"`{header}`")
     if sheet.schema[header].dataType.typeName() == "string":
-        number = F.trim(cell).try_cast("double")
-        return F.when(number.isNotNull(), money.money_from_number(number)).otherwise(money.parse_money(cell))
+        number = F.bround(F.trim(cell).try_cast("double"), 0).try_cast("bigint")
+        return F.coalesce(number, money.parse_money(cell))
     return money.money_from_number(cell)

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioscope.functions import fixed_values as fv, money, text as tx
 from folioscope.operators.containment import contained_names
 from folioscope.operators.resolve import shared_words
+from folioscope.session import cut_lineage
 
 
 def alias_table(spark: SparkSession, aliases: list[tuple[str, str]]) -> DataFrame:
@@ -52,17 +53,22 @@ def _first_name_groups(engineers: DataFrame) -> DataFrame:
     )
 
 
-def title_overlap(texts: DataFrame, pairs: DataFrame, works: DataFrame) -> DataFrame:
-    """Title words found in the text for each (qid, lead) pair: (qid, lead, doc_id, score >= 2)."""
+def title_postings(works: DataFrame) -> DataFrame:
+    """Title words of every led work: (lead, name = doc_id, word, df, weight, solo)."""
     titles = works.filter(F.col("lead_engineer").isNotNull()).select(
         F.lower("lead_engineer").alias("lead"), F.col("doc_id").alias("name"), F.explode(tx.title_words("project_name")).alias("word")
     )
     counted = titles.groupBy("lead", "name", "word").agg(F.count("*").alias("weight"))
     common = counted.groupBy("word").agg(F.count("*").alias("df"))
-    postings = counted.join(common, "word").withColumn("solo", F.col("weight") >= 2)
-    # A title word counts wherever it occurs, also inside a longer word.
-    found = contained_names(texts, common.select("word"), "qid", "question", "word")
-    asked = pairs.select("qid", "lead").join(found, "qid")
+    return counted.join(common, "word").withColumn("solo", F.col("weight") >= 2)
+
+
+def title_overlap(word_hits: DataFrame, pairs: DataFrame, postings: DataFrame) -> DataFrame:
+    """Title words found in the text for each (qid, lead) pair: (qid, lead, doc_id, score >= 2).
+
+    ``word_hits``: (qid, word), the title words each text contains, also inside longer words.
+    """
+    asked = pairs.select("qid", "lead").join(word_hits, "qid")
     return (
         shared_words(asked, postings, ["lead"])
         .filter("overlap >= 2")
@@ -71,7 +77,12 @@ def title_overlap(texts: DataFrame, pairs: DataFrame, works: DataFrame) -> DataF
 
 
 def engineer_candidates(
-    texts: DataFrame, engineers: DataFrame, works: DataFrame, certs: DataFrame, aliases: DataFrame
+    texts: DataFrame,
+    engineers: DataFrame,
+    certs: DataFrame,
+    aliases: DataFrame,
+    word_hits: DataFrame,
+    postings: DataFrame,
 ) -> DataFrame:
     """Name evidence per question, strongest first: (qid, engineer)."""
     roster = engineers.filter(F.col("name").isNotNull())
@@ -89,7 +100,9 @@ def engineer_candidates(
         roster.groupBy("name").agg(F.min("emp_id").alias("emp_id")), "name"
     )
     alias_hits = contained_names(texts, aliases, "qid", "question", "alias", whole_words=True).join(aliases, "alias")
-    first_hits = contained_names(texts, groups, "qid", "question", "first", whole_words=True).join(groups, "first")
+    first_hits = cut_lineage(
+        contained_names(texts, groups, "qid", "question", "first", whole_words=True).join(groups, "first")
+    )
     unique = first_hits.filter("n_people = 1")
     # Namesakes: only the first shared first name of a question is examined, and it decides
     # when the wording fits the works of exactly one bearer.
@@ -102,7 +115,7 @@ def engineer_candidates(
         .distinct()
     )
     fitting = (
-        title_overlap(texts, shared, works)
+        title_overlap(word_hits, shared, postings)
         .select("qid", "lead")
         .distinct()
         .join(shared, ["qid", "lead"])
@@ -195,7 +208,11 @@ def link_questions(
     spark = questions.sparkSession
     texts = questions.select("qid", F.trim("question").alias("question"))
 
-    by_name = engineer_candidates(texts, engineers, works, certs, alias_table(spark, engineer_aliases))
+    postings = cut_lineage(title_postings(works))
+    word_hits = cut_lineage(contained_names(texts, postings.select("word"), "qid", "question", "word"))
+    by_name = engineer_candidates(
+        texts, engineers, certs, alias_table(spark, engineer_aliases), word_hits, postings
+    )
     cert_by_id = (
         certs.withColumn("cid", tx.credential_id("cred_id"))
         .filter(F.col("cid").isNotNull())
@@ -207,7 +224,7 @@ def link_questions(
         .groupBy(F.lower("package_no").alias("pkg"))
         .agg(F.min_by(_work_struct(), "doc_id").alias("pkg_work"))
     )
-    named = (
+    named = cut_lineage(
         texts.withColumns({"cid": tx.credential_id("question"), "pkg_no": tx.package_mention("question")})
         .withColumn("pkg", F.lower("pkg_no"))
         .join(by_name, "qid", "left")
@@ -223,7 +240,7 @@ def link_questions(
     searched = named.filter(F.col("pkg_no").isNull() & F.col("engineer").isNotNull()).select(
         "qid", F.lower("engineer").alias("lead")
     )
-    best = title_overlap(texts, searched, works).groupBy("qid").agg(
+    best = title_overlap(word_hits, searched, postings).groupBy("qid").agg(
         F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"))).alias("title_doc")
     )
     sole = (
@@ -248,7 +265,7 @@ def link_questions(
 
     exact_client = longest_contained(texts, clients, "client_name")
     aliased = alias_links(texts, alias_table(spark, client_aliases)).withColumnRenamed("canonical", "alias_client")
-    with_client = (
+    with_client = cut_lineage(
         with_work.join(exact_client, "qid", "left")
         .join(aliased, "qid", "left")
         .withColumn("client_name", F.coalesce("client_name", "alias_client", "work.client_name"))

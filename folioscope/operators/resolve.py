@@ -15,6 +15,7 @@ from folioscope.functions.text import (
     words as plain_words,
 )
 from folioscope.operators.containment import contained_names
+from folioscope.session import cut_lineage
 
 MIN_SCORE, MIN_MARGIN = 0.3, 0.15
 TIE_MIN_SCORE, TIE_MIN_MARGIN = 0.15, 0.1
@@ -116,8 +117,8 @@ def fuzzy_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """Rarity-weighted word overlap of (qid, _pool, words) with (_pool, name)."""
     names = catalog.select(POOL, "name", F.explode(name_words("name")).alias("word"))
     df = names.groupBy(POOL, "word").agg(F.count("*").alias("df"))
-    postings = names.join(df, [POOL, "word"]).withColumns(
-        {"weight": F.lit(1.0) / F.col("df"), "solo": F.col("df") == 1}
+    postings = cut_lineage(
+        names.join(df, [POOL, "word"]).withColumns({"weight": F.lit(1.0) / F.col("df"), "solo": F.col("df") == 1})
     )
     totals = postings.groupBy(POOL, "name").agg(F.sum("weight").alias("total"))
     asked = questions.select("qid", POOL, F.explode("words").alias("word"))
@@ -155,13 +156,14 @@ def _settle(hits: DataFrame, questions: DataFrame, method: str) -> DataFrame:
     )
     single = F.col("n") == 1
     won = F.col("narrowed").isNotNull()
-    return grouped.join(narrowed, "qid", "left").select(
+    settled = grouped.join(narrowed, "qid", "left").select(
         "qid",
         F.when(single, F.col("names")[0]).otherwise(F.col("narrowed")).alias("matched"),
         F.when(won, F.col("narrowed_confidence")).otherwise(F.lit(CONFIDENCE[method])).alias("confidence"),
         F.when(single | won, F.array().cast("array<string>")).otherwise(F.col("names")).alias("tied"),
         F.when(won, "fuzzy").otherwise(method).alias("method"),
     )
+    return cut_lineage(settled)
 
 
 def exact_hits(questions: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -192,16 +194,18 @@ def resolve(
     question's word set (for masking). Questions without any hit keep method 'none'.
     """
     names = _with_pool(catalog, pool).select(POOL, F.col(name).alias("name"))
-    names = names.filter(F.col("name").isNotNull() & F.col(POOL).isNotNull()).distinct()
+    # Hits and scores are small next to the texts and feed several steps each: written once.
+    names = cut_lineage(names.filter(F.col("name").isNotNull() & F.col(POOL).isNotNull()).distinct())
     asked = _with_pool(questions, pool).select(
         "qid", POOL, F.coalesce("question", F.lit("")).alias("question"),
         (words if words is not None else name_words("question")).alias("words"),
     )
-    exact = _settle(exact_hits(asked, names), asked, "exact")
+    exact = _settle(cut_lineage(exact_hits(asked, names)), asked, "exact")
     rest = asked.join(exact.select("qid"), "qid", "left_anti")
-    acronym = _settle(acronym_hits(rest, names), asked, "acronym")
+    acronym = _settle(cut_lineage(acronym_hits(rest, names)), asked, "acronym")
     rest = rest.join(acronym.select("qid"), "qid", "left_anti")
-    fuzzy = decide(fuzzy_scores(rest, names), min_score, min_margin).withColumn("method", F.lit("fuzzy"))
+    scores = cut_lineage(fuzzy_scores(rest, names))
+    fuzzy = decide(scores, min_score, min_margin).withColumn("method", F.lit("fuzzy"))
     found = exact.unionByName(acronym).unionByName(fuzzy)
     return questions.select("qid").join(found, "qid", "left").select(
         "qid",
@@ -263,7 +267,7 @@ def resolve_project(questions: DataFrame, works: DataFrame, categories: DataFram
     )
     # One vocabulary for all questions: the distinct words of the category list.
     vocabulary = categories.select(F.explode(name_words("category")).alias("w")).distinct()
-    masked = (
+    masked = cut_lineage(
         asked.join(exact.select("qid"), "qid", "left_anti")
         .select("qid", "scope_engineer", "scope_client", F.posexplode_outer(plain_words("question")).alias("pos", "word"))
         .withColumn("w", stem(F.lower("word")))

@@ -9,6 +9,7 @@ from folioscope.operators import answers, classify, linking, merge, resolve as r
 from folioscope.operators.containment import contained_names
 from folioscope.plans import rendered as r, views as v
 from folioscope.plans.text_queries import ACRONYMS_SQL, FUNCTION_WORDS_SQL, NAME_WORDS_SQL
+from folioscope.session import cut_lineage
 from folioscope.sources.answers import tolerant_answers
 
 QUERIES: dict = {}
@@ -235,14 +236,9 @@ def unique_first_token(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- linking and batch answering over rendered questions ----------------------------------------------------
 
-_TABLES = {
-    "works": r.named_works, "receivables": r.named_receivables, "certs": r.named_certs, "engineers": r.engineers,
-}
-
-
-def _linked(spark: SparkSession, sf: str) -> DataFrame:
-    asked = r.client_questions(spark, sf).unionByName(r.engineer_questions(spark, sf))
-    works, engineers, certs = (_TABLES[n](spark, sf) for n in ("works", "engineers", "certs"))
+def _linked(spark: SparkSession, sf: str, works: DataFrame, certs: DataFrame) -> DataFrame:
+    asked = cut_lineage(r.client_questions(spark, sf).unionByName(r.engineer_questions(spark, sf)))
+    engineers = r.engineers(spark, sf)
     clients = v.table(spark, sf, "customer").select(F.col("c_name").alias("client_name"))
     return linking.link_questions(asked, works, engineers, certs, clients)
 
@@ -277,7 +273,8 @@ def _template_rows(questions: list) -> str:
 )
 def priority_link(spark: SparkSession, sf: str) -> DataFrame:
     """Engineer, package, client and credential linked for every rendered question."""
-    return _linked(spark, sf).select("qid", "engineer", "package_no", "client_name", "cred_type", "cert_doc_id")
+    works, certs = cut_lineage(r.named_works(spark, sf)), cut_lineage(r.named_certs(spark, sf))
+    return _linked(spark, sf, works, certs).select("qid", "engineer", "package_no", "client_name", "cred_type", "cert_doc_id")
 
 
 def _answers_sql() -> str:
@@ -307,7 +304,7 @@ def _answers_sql() -> str:
         LEFT JOIN ({FIRST_CERT_SQL}) c ON c.person = l.lead_id GROUP BY l.lead_id"""
     case_client = """CASE t WHEN 1 THEN coalesce(t1, 0) WHEN 2 THEN t2
         WHEN 3 THEN CASE WHEN invoiced > 0 THEN round(100.0 * received / invoiced, 2) ELSE 0 END
-        WHEN 4 THEN t4 WHEN 5 THEN t5 WHEN 6 THEN t6 WHEN 7 THEN t7 WHEN 8 THEN t8
+        WHEN 4 THEN t4 WHEN 5 THEN t5 WHEN 6 THEN t6 WHEN 7 THEN t7 WHEN 8 THEN coalesce(t8, 0)
         WHEN 9 THEN 200000000 - coalesce(t4, 0) WHEN 10 THEN t10
         WHEN 11 THEN abs(coalesce(t4, 0) - coalesce(invoiced, 0)) WHEN 12 THEN coalesce(outstanding, 0)
         WHEN 13 THEN CASE WHEN quirk THEN t4 ELSE coalesce(t13, 0) END WHEN 14 THEN coalesce(t14, 0) END"""
@@ -318,7 +315,7 @@ def _answers_sql() -> str:
         SELECT concat('c-', c_custkey, '-', t) AS qid,
                CASE WHEN t = 13 AND quirk THEN 'hop_aggregate' ELSE shape END AS shape,
                CAST(CASE WHEN known THEN {case_client} WHEN t = 9 THEN 200000000
-                         WHEN t IN (13, 14) AND NOT (t = 13 AND quirk) THEN 0 END AS DOUBLE) AS answer
+                         WHEN t IN (8, 13, 14) AND NOT (t = 13 AND quirk) THEN 0 END AS DOUBLE) AS answer
         FROM (SELECT q.*, pc.*, cc.*, b.*, pc.ck IS NOT NULL OR b.client_name IS NOT NULL AS known
               FROM q LEFT JOIN pc ON pc.ck = c_custkey LEFT JOIN cc ON cc.ck = c_custkey
               LEFT JOIN bill_stats b ON b.client_name = c_custkey)
@@ -331,8 +328,9 @@ def _answers_sql() -> str:
 @query(_answers_sql())
 def batch_answers(spark: SparkSession, sf: str) -> DataFrame:
     """Link, classify and answer every rendered question of all 17 shapes at once."""
+    works, certs = cut_lineage(r.named_works(spark, sf)), cut_lineage(r.named_certs(spark, sf))
     answered = answers.answer_questions(
-        _linked(spark, sf), r.named_works(spark, sf), r.named_receivables(spark, sf), r.named_certs(spark, sf)
+        _linked(spark, sf, works, certs), works, r.named_receivables(spark, sf), certs
     )
     return answered.select("qid", "shape", F.col("answer").cast("double").alias("answer"))
 
@@ -348,7 +346,7 @@ def batch_answers(spark: SparkSession, sf: str) -> DataFrame:
 )
 def scope_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Questions that name a package as context: its client overrides the wording and is the scope."""
-    works = r.named_works(spark, sf)
+    works = cut_lineage(r.named_works(spark, sf))
     key = F.regexp_extract("package_no", r"(\d+)", 1).cast("bigint")
     wording = (
         F.when(key % 3 == 0, F.lit("what is the combined value of every completed work for that client?"))

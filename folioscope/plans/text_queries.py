@@ -184,7 +184,7 @@ def doc_class_histogram(spark: SparkSession, sf: str) -> DataFrame:
     )
     creds = v.table(spark, sf, "supplier").select(F.concat(v.person_name("s_suppkey"), F.lit(" is a PMP holder")).alias("text"))
     docs = v.table(spark, sf, "documents").select("text").union(certificates).union(letters).union(creds)
-    return classify.class_histogram(docs.select(classify.document_class("text").alias("cls")))
+    return classify.class_histogram(classify.classify_pages(docs, "text"))
 
 
 def shape_sql(q: str, raw: str, kind: str) -> str:
@@ -242,7 +242,7 @@ def shape_classify(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", F.lit("t"), "conv_id", "turn", "answer_type").alias("qid"), "question", "answer_type"
     )
     asked = r.client_questions(spark, sf).select("qid", "question", "answer_type").unionByName(turns)
-    return asked.select("qid", classify.question_shape("question", "answer_type").alias("shape"))
+    return classify.with_shape(asked).select("qid", "shape")
 
 
 @query(
@@ -251,7 +251,7 @@ def shape_classify(spark: SparkSession, sf: str) -> DataFrame:
         FROM client_questions GROUP BY 1"""
 )
 def shape_histogram(spark: SparkSession, sf: str) -> DataFrame:
-    shapes = r.client_questions(spark, sf).select(classify.question_shape("question", "answer_type").alias("shape"))
+    shapes = classify.with_shape(r.client_questions(spark, sf))
     return shapes.groupBy("shape").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "shape")
 
 

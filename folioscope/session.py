@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,19 +40,27 @@ def build_session(app: str = "folioscope", master: str | None = None, cores: int
     return tune(spark)
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; pick one only for local runs that name none."""
-    if spark.sparkContext.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors can reach: the session's spark.checkpoint.dir.
+
+    Only a local run that names none gets a fresh folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-    spark.sparkContext.setCheckpointDir(folder)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Persist an iterative intermediate result in the shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an intermediate result as a table in the shared folder and read it back.
+
+    Used where a result feeds several later steps. Unlike a cached copy it survives the loss of
+    executors, and the written table's size lets the planner choose its joins.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/folioscope/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions.text import doc_id_from_path
-from folioscope.operators.classify import document_class, index_class, tabular_class
+from folioscope.operators.classify import classify_pages, index_class, tabular_class
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -43,7 +43,7 @@ def locate_indexed(index: DataFrame, files: DataFrame) -> DataFrame:
 
 def classify_documents(docs: DataFrame, index: DataFrame | None = None, page1: str = "page1") -> DataFrame:
     """(doc_id, cls): the index decides where there is one, the content otherwise."""
-    by_content = docs.select("doc_id", document_class(page1).alias("content_cls"))
+    by_content = classify_pages(docs.select("doc_id", page1), page1, "content_cls").select("doc_id", "content_cls")
     if index is None:
         return by_content.withColumnRenamed("content_cls", "cls")
     listed = index.select("doc_id", "cls").dropDuplicates(["doc_id"])
