@@ -8,9 +8,9 @@ from folioscope.functions import fixed_values as fv
 from folioscope.functions.text import as_col, literal_map
 
 # Fixed patterns. A minus counts as a sign only when no word character precedes it.
-NUMBER = r"((?:(?<!\w)-)?\d[\d,]*(?:\.\d+)?|\.\d+)"
-CRORE = r"(?i)" + NUMBER + r"\s*Cr(?:ore)?s?\b"
-LAKH = r"(?i)" + NUMBER + r"\s*(?:Lakhs?|Lacs?)\b"
+NUMBER = r"((?:(?<!\w)-)?\d[\d,]*+(?:\.\d++)?+|\.\d++)"
+CRORE = r"(?i)" + NUMBER + r"\s*+Cr(?:ore)?s?\b"
+LAKH = r"(?i)" + NUMBER + r"\s*+(?:Lakhs?|Lacs?)\b"
 CURRENCY_OR_SPACE = r"(?i)\bRs\.?|INR|₹|\s+"
 NOT_NUMERIC = r"(?!^-)[^\d.]"
 
@@ -21,7 +21,8 @@ WORD_CRORE = (
 
 
 def _decimal(text: Column) -> Column:
-    return F.regexp_replace(text, ",", "").try_cast("decimal(28,10)")
+    # '' (no match) becomes NULL before the cast: a failing cast costs far more than a check.
+    return F.nullif(F.replace(text, F.lit(","), F.lit("")), F.lit("")).try_cast("decimal(28,10)")
 
 
 def _rupees(amount: Column) -> Column:
@@ -32,11 +33,11 @@ def parse_money(c: Column | str) -> Column:
     """Crore, then lakh, then a plain number with any digit grouping; 0 when unreadable."""
     text = as_col(c)
     bare = F.regexp_replace(F.regexp_replace(text, CURRENCY_OR_SPACE, ""), NOT_NUMERIC, "")
-    # A pattern that does not match extracts '', which is no number: the next reading is tried.
+    # The unit's letters are looked for first; most amounts name no unit.
     return F.coalesce(
-        _rupees(_decimal(F.regexp_extract(text, CRORE, 1)) * F.lit(fv.RUPEES_PER_CRORE)),
-        _rupees(_decimal(F.regexp_extract(text, LAKH, 1)) * F.lit(fv.RUPEES_PER_LAKH)),
-        _rupees(bare.try_cast("decimal(28,10)")),
+        F.when(text.rlike("(?i)cr"), _rupees(_decimal(F.regexp_extract(text, CRORE, 1)) * F.lit(fv.RUPEES_PER_CRORE))),
+        F.when(text.rlike("(?i)la"), _rupees(_decimal(F.regexp_extract(text, LAKH, 1)) * F.lit(fv.RUPEES_PER_LAKH))),
+        _rupees(F.nullif(bare, F.lit("")).try_cast("decimal(28,10)")),
         F.lit(0).cast("bigint"),
     )
 
@@ -72,12 +73,4 @@ def threshold_rupees(c: Column | str) -> Column:
 
 def indian_grouping(c: Column | str) -> Column:
     """Render a whole number as 33,38,00,000."""
-    digits = F.abs(as_col(c)).cast("string")
-    tail = F.right(digits, F.lit(3))
-    head = F.regexp_replace(
-        F.when(F.length(digits) > 3, digits.substr(F.lit(1), F.length(digits) - 3)).otherwise(""),
-        r"(\d)(?=(\d\d)+$)",
-        "$1,",
-    )
-    grouped = F.when(head != "", F.concat(head, F.lit(","), tail)).otherwise(tail)
-    return F.when(as_col(c) < 0, F.concat(F.lit("-"), grouped)).otherwise(grouped)
+    return F.regexp_replace(as_col(c).cast("string"), r"(\d)(?=(\d\d)+\d$)", "$1,")

@@ -136,7 +136,7 @@ def acronym_tokens(c: Column | str) -> Column:
 
 def first_line(c: Column | str) -> Column:
     """First non-blank line (the letterhead), trimmed."""
-    lines = F.transform(F.split(as_col(c), "\n"), F.trim)
+    lines = F.transform(F.split(as_col(c), "\n"), lambda line: F.trim(line))
     return F.try_element_at(F.filter(lines, lambda x: x != ""), F.lit(1))
 
 

@@ -33,6 +33,7 @@ RESTATED_VALUE = [
     r"(?i)Contract Value\s*(?:\(Original\))?\s*\n?\s*(INR\s*[\d.,\s/-]+|Rs\.?\s*[\d.,\s/-]+)",
     r"(?i)Executed Value\s*\n?\s*(INR\s*[\d.,\s/-]+|Rs\.?\s*[\d.,\s/-]+)",
 ]
+PLAIN_NUMBER = r"^\s*-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?\s*$"
 SAME_VALUE_RUPEES = 1000  # two figures this close are one value, rounded differently
 
 CREDENTIAL_LAYOUTS = {
@@ -237,6 +238,7 @@ def amount_cell(sheet: DataFrame, header: str) -> Column:
     """A money cell: numbers keep their sign, text goes through the money parser."""
     cell = F.col(f"`{header}`")
     if sheet.schema[header].dataType.typeName() == "string":
+        plain = cell.rlike(PLAIN_NUMBER)
         number = F.bround(F.trim(cell).try_cast("double"), 0).try_cast("bigint")
-        return F.coalesce(number, money.parse_money(cell))
+        return F.coalesce(F.when(plain, number), money.parse_money(cell))
     return money.money_from_number(cell)

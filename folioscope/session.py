@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import functools
 import tempfile
 import uuid
 
@@ -16,6 +16,9 @@ RUNTIME_CONF = {
     # Split a hot join key even where that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # The JVM leaves methods above 8000 bytecodes uncompiled; such stages run faster without
+    # whole-stage code, as compiled projections split into small methods.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -49,11 +52,15 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
-        folder = tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _local_folder()
     return folder
 
 
+@functools.cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result as a table in the shared folder and read it back.
 

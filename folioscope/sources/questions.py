@@ -10,7 +10,7 @@ _FIELDS = (
     "reasoning_steps: array<string>, scored: boolean"
 )
 # A file is either one object holding a list, or the list itself (read as one row per question).
-_FILE = f"questions array<struct<{_FIELDS}>>, answers array<struct<{_FIELDS}>>, {_FIELDS}"
+_FILE = f"questions array<struct<{_FIELDS}>>, answers array<struct<{_FIELDS}>>, " + _FIELDS.replace(":", "")
 _TABLE_DOC = (
     "table struct<table: array<array<string>>>, paragraphs array<struct<order: int, text: string>>, "
     "questions array<struct<uid: string, question: string>>"
