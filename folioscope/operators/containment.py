@@ -16,6 +16,8 @@ from folioscope.session import cut_lineage
 
 # Run lengths tried for short names, longest first.
 GRAM_SIZES = (16, 8, 4, 2, 1)
+# Single tokens are short, so finer steps cost little there and leave few false candidates.
+TOKEN_GRAM_SIZES = (12, 8, 6, 5, 4, 3, 2, 1)
 WORD = "[\\p{L}\\p{N}]+"
 
 
@@ -39,7 +41,7 @@ def _rarest(options: DataFrame) -> DataFrame:
     )
 
 
-def _name_options(names: DataFrame, whole_words: bool) -> DataFrame:
+def _name_options(names: DataFrame, whole_words: bool, sizes: tuple[int, ...]) -> DataFrame:
     """Every possible anchor of every distinct name: (name, kind, anchor). kind 0 = word, n = run."""
     low = F.lower("name")
     tokens = _tokens(low)
@@ -50,12 +52,12 @@ def _name_options(names: DataFrame, whole_words: bool) -> DataFrame:
         by_word = F.size(tokens) >= 3
         inner = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
     size = reduce(
-        lambda acc, n: F.when(F.length(low) >= n, F.lit(n)).otherwise(acc), reversed(GRAM_SIZES), F.lit(None)
+        lambda acc, n: F.when(F.length(low) >= n, F.lit(n)).otherwise(acc), reversed(sizes), F.lit(None)
     )
     kinds = F.when(by_word, 0).otherwise(size)
     anchors = reduce(
         lambda acc, n: F.when(F.col("kind") == n, _runs(low, n)).otherwise(acc),
-        GRAM_SIZES,
+        sizes,
         F.when(F.col("kind") == 0, inner),
     )
     return (
@@ -71,14 +73,18 @@ def _text_anchors(texts: DataFrame, text_id: str, text: str, sizes: list[int]) -
     parts = []
     for kind in sizes:
         found = _tokens(low) if kind == 0 else _runs(low, kind)
-        parts.append(
-            texts.select(text_id, F.lit(kind).alias("kind"), F.explode(F.array_distinct(found)).alias("anchor"))
-        )
+        parts.append(texts.select(text_id, F.lit(kind).alias("kind"), F.explode(found).alias("anchor")))
     return reduce(DataFrame.unionByName, parts)
 
 
 def contained_names(
-    texts: DataFrame, names: DataFrame, text_id: str, text: str, name: str, whole_words: bool = False
+    texts: DataFrame,
+    names: DataFrame,
+    text_id: str,
+    text: str,
+    name: str,
+    whole_words: bool = False,
+    sizes: tuple[int, ...] = GRAM_SIZES,
 ) -> DataFrame:
     """Distinct (text_id, name) pairs where the text contains the name, ignoring case.
 
@@ -86,8 +92,8 @@ def contained_names(
     through the explode; it is joined back by id for the candidates only.
     """
     wanted = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
-    anchors = cut_lineage(_rarest(_name_options(wanted, whole_words)))
-    # At most six values: decides which kinds of anchor the texts have to produce.
+    anchors = cut_lineage(_rarest(_name_options(wanted, whole_words, sizes)))
+    # At most nine values: decides which kinds of anchor the texts have to produce.
     kinds = sorted(r[0] for r in anchors.select("kind").distinct().collect())
     if not kinds:
         return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))
@@ -95,6 +101,7 @@ def contained_names(
         _text_anchors(texts, text_id, text, kinds)
         .join(anchors, ["kind", "anchor"])
         .select(text_id, "name")
+        .distinct()
     )
     low, needle = F.lower(text), F.lower("name")
     if whole_words:
@@ -108,3 +115,15 @@ def contained_names(
         .select(text_id, F.col("name").alias(name))
     )
 
+
+
+def contained_words(texts: DataFrame, words: DataFrame, text_id: str, text: str, word: str) -> DataFrame:
+    """Like :func:`contained_names` for names without blanks, such as single words.
+
+    A word without blanks lies inside one blank-separated token, so the search runs over the
+    distinct tokens of all texts, a vocabulary far smaller than the texts, and is joined back.
+    """
+    tokens = texts.select(text_id, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("_token"))
+    vocabulary = cut_lineage(tokens.select("_token").distinct().withColumn("_body", F.col("_token")))
+    hits = contained_names(vocabulary, words, "_token", "_body", word, sizes=TOKEN_GRAM_SIZES)
+    return tokens.join(hits, "_token").select(text_id, word).distinct()

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions import fixed_values as fv, money, text as tx
-from folioscope.operators.containment import contained_names
+from folioscope.operators.containment import contained_names, contained_words
 from folioscope.operators.resolve import shared_words
 from folioscope.session import cut_lineage
 
@@ -24,16 +24,17 @@ def alias_table(spark: SparkSession, aliases: list[tuple[str, str]]) -> DataFram
     return spark.createDataFrame(rows, "alias string, canonical string, alias_rank int")
 
 
-def alias_links(texts: DataFrame, aliases: DataFrame, whole_words: bool = False) -> DataFrame:
-    """First alias (in list order) contained in each text: (qid, canonical)."""
-    hits = contained_names(texts, aliases, "qid", "question", "alias", whole_words)
-    return hits.join(aliases, "alias").groupBy("qid").agg(F.min_by("canonical", "alias_rank").alias("canonical"))
+def first_alias(hits: DataFrame, aliases: DataFrame) -> DataFrame:
+    """First alias (in list order) among a text's hits: (qid, canonical)."""
+    known = aliases.withColumnRenamed("alias", "name")
+    return hits.join(known, "name").groupBy("qid").agg(F.min_by("canonical", "alias_rank").alias("canonical"))
 
 
-def longest_contained(texts: DataFrame, names: DataFrame, name: str) -> DataFrame:
-    """The longest catalog name contained in each text: (qid, name)."""
-    hits = contained_names(texts, names, "qid", "question", name)
-    return hits.groupBy("qid").agg(F.min_by(name, F.struct(-F.length(name), F.col(name))).alias(name))
+def longest_name(hits: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """The longest name of a catalog among a text's hits: (qid, name)."""
+    known = names.select(F.col(name).alias("name")).distinct()
+    order = F.struct(-F.length("name"), F.col("name"))
+    return hits.join(known, "name").groupBy("qid").agg(F.min_by("name", order).alias(name))
 
 
 def unique_first_names(engineers: DataFrame) -> DataFrame:
@@ -81,10 +82,15 @@ def engineer_candidates(
     engineers: DataFrame,
     certs: DataFrame,
     aliases: DataFrame,
+    name_hits: DataFrame,
     word_hits: DataFrame,
     postings: DataFrame,
 ) -> DataFrame:
-    """Name evidence per question, strongest first: (qid, engineer)."""
+    """Name evidence per question, strongest first: (qid, engineer).
+
+    ``name_hits``: (qid, name), catalog names each text contains. ``word_hits``: (qid, word),
+    title words each text contains.
+    """
     roster = engineers.filter(F.col("name").isNotNull())
     groups = _first_name_groups(roster)
 
@@ -96,13 +102,12 @@ def engineer_candidates(
             F.col(name).alias("engineer"),
         )
 
-    full = contained_names(texts, roster, "qid", "question", "name").join(
-        roster.groupBy("name").agg(F.min("emp_id").alias("emp_id")), "name"
-    )
-    alias_hits = contained_names(texts, aliases, "qid", "question", "alias", whole_words=True).join(aliases, "alias")
-    first_hits = cut_lineage(
-        contained_names(texts, groups, "qid", "question", "first", whole_words=True).join(groups, "first")
-    )
+    full = name_hits.join(roster.groupBy("name").agg(F.min("emp_id").alias("emp_id")), "name")
+    # Aliases and first names count as whole words only; both are found in one pass.
+    bounded = groups.select(F.col("first").alias("name")).union(aliases.select("alias"))
+    bounded_hits = cut_lineage(contained_names(texts, bounded, "qid", "question", "name", whole_words=True))
+    alias_hits = bounded_hits.withColumnRenamed("name", "alias").join(aliases, "alias")
+    first_hits = bounded_hits.withColumnRenamed("name", "first").join(groups, "first")
     unique = first_hits.filter("n_people = 1")
     # Namesakes: only the first shared first name of a question is examined, and it decides
     # when the wording fits the works of exactly one bearer.
@@ -124,9 +129,7 @@ def engineer_candidates(
         .filter("n = 1")
         .withColumn("ord", F.lit(""))
     )
-    holders = contained_names(texts, certs, "qid", "question", "name").join(
-        certs.groupBy("name").agg(F.min("doc_id").alias("doc_id")), "name"
-    )
+    holders = name_hits.join(certs.groupBy("name").agg(F.min("doc_id").alias("doc_id")), "name")
     evidence = reduce(
         DataFrame.unionByName,
         [
@@ -209,9 +212,15 @@ def link_questions(
     texts = questions.select("qid", F.trim("question").alias("question"))
 
     postings = cut_lineage(title_postings(works))
-    word_hits = cut_lineage(contained_names(texts, postings.select("word"), "qid", "question", "word"))
+    word_hits = cut_lineage(contained_words(texts, postings.select("word"), "qid", "question", "word"))
+    aliases = alias_table(spark, client_aliases)
+    # Every catalog matched by plain containment is searched in one pass over the texts.
+    searched_names = (
+        engineers.select("name").union(certs.select("name")).union(clients.select("client_name")).union(aliases.select("alias"))
+    )
+    name_hits = cut_lineage(contained_names(texts, searched_names, "qid", "question", "name"))
     by_name = engineer_candidates(
-        texts, engineers, certs, alias_table(spark, engineer_aliases), word_hits, postings
+        texts, engineers, certs, alias_table(spark, engineer_aliases), name_hits, word_hits, postings
     )
     cert_by_id = (
         certs.withColumn("cid", tx.credential_id("cred_id"))
@@ -263,8 +272,8 @@ def link_questions(
         .drop("pkg_work", "found_work", "pkg", "cid")
     )
 
-    exact_client = longest_contained(texts, clients, "client_name")
-    aliased = alias_links(texts, alias_table(spark, client_aliases)).withColumnRenamed("canonical", "alias_client")
+    exact_client = longest_name(name_hits, clients, "client_name")
+    aliased = first_alias(name_hits, aliases).withColumnRenamed("canonical", "alias_client")
     with_client = cut_lineage(
         with_work.join(exact_client, "qid", "left")
         .join(aliased, "qid", "left")
