@@ -9,6 +9,7 @@ from folioscope.functions.dates import date_in_text
 from folioscope.operators import portfolio
 from folioscope.operators.classify import PHRASE_TAGS, tag, with_shape
 from folioscope.operators.linking import category_spans, stored_category
+from folioscope.operators.lookup import left_lookup
 from folioscope.operators.ranking import sum_after, sum_at_or_above
 from folioscope.session import cut_lineage
 
@@ -38,7 +39,7 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
         return F.when(F.col("shape").isin(*shapes), F.col(name))
 
     asked = (
-        asked.join(portfolio.first_issue(certs), "engineer", "left")
+        left_lookup(asked, portfolio.first_issue(certs), ["engineer"])
         .withColumns(
             {
                 "issued": F.coalesce("issue_date", "first_issue", "date_named"),
@@ -66,15 +67,13 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
 
     def lookup(df: DataFrame, source: DataFrame, column: str, value: str, suffix: str) -> DataFrame:
         side = source.withColumnsRenamed({column: f"{column}_{suffix}", value: f"{value}_{suffix}"})
-        return df.join(side, ["client_name", f"{column}_{suffix}"], "left")
-
-    facts = (
-        asked.join(portfolio.client_shapes(works, receivables), "client_name", "left")
-        .join(portfolio.engineer_shapes(works), "engineer", "left")
-        .join(bars, ["client_name", "bar"], "left")
-        .join(after, ["engineer", "start"], "left")
-        .join(portfolio.exclusion_totals(works), ["client_name", "category"], "left")
-    )
+        return left_lookup(df, side, ["client_name", f"{column}_{suffix}"])
+
+    facts = left_lookup(asked, portfolio.client_shapes(works, receivables), ["client_name"])
+    facts = left_lookup(facts, portfolio.engineer_shapes(works), ["engineer"])
+    facts = left_lookup(facts, bars, ["client_name", "bar"])
+    facts = left_lookup(facts, after, ["engineer", "start"])
+    facts = left_lookup(facts, portfolio.exclusion_totals(works), ["client_name", "category"])
     for n in ("1", "2"):
         facts = lookup(facts, categories, "category", "category_total", n)
         facts = lookup(facts, years, "year", "year_total", n)

@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from folioscope.operators.lookup import broadcast_checked
 from folioscope.session import cut_lineage
 
 # Run lengths tried for short names, longest first.
@@ -97,9 +98,10 @@ def contained_names(
     kinds = sorted(r[0] for r in anchors.select("kind").distinct().collect())
     if not kinds:
         return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))
-    candidates = (
+    # Written, so that the texts are shuffled for verification only when the candidates are many.
+    candidates = cut_lineage(
         _text_anchors(texts, text_id, text, kinds)
-        .join(anchors, ["kind", "anchor"])
+        .join(broadcast_checked(anchors), ["kind", "anchor"])
         .select(text_id, "name")
         .distinct()
     )
@@ -110,7 +112,7 @@ def contained_names(
         verified = F.contains(low, needle)
     return (
         texts.select(text_id, text)
-        .join(candidates, text_id)
+        .join(broadcast_checked(candidates), text_id)
         .filter(verified)
         .select(text_id, F.col("name").alias(name))
     )

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions import fixed_values as fv, money, text as tx
 from folioscope.operators.containment import contained_names, contained_words
+from folioscope.operators.lookup import left_lookup
 from folioscope.operators.resolve import shared_words
 from folioscope.session import cut_lineage
 
@@ -233,17 +234,12 @@ def link_questions(
         .groupBy(F.lower("package_no").alias("pkg"))
         .agg(F.min_by(_work_struct(), "doc_id").alias("pkg_work"))
     )
-    named = cut_lineage(
-        texts.withColumns({"cid": tx.credential_id("question"), "pkg_no": tx.package_mention("question")})
-        .withColumn("pkg", F.lower("pkg_no"))
-        .join(by_name, "qid", "left")
-        .join(cert_by_id, "cid", "left")
-        .join(work_by_package, "pkg", "left")
-        .withColumn(
-            "engineer",
-            F.coalesce("pkg_work.lead_engineer", "id_cert.name", "engineer"),
-        )
+    mentions = texts.withColumns({"cid": tx.credential_id("question"), "pkg_no": tx.package_mention("question")})
+    named = left_lookup(mentions.withColumn("pkg", F.lower("pkg_no")).join(by_name, "qid", "left"), cert_by_id, ["cid"])
+    named = left_lookup(named, work_by_package, ["pkg"]).withColumn(
+        "engineer", F.coalesce("pkg_work.lead_engineer", "id_cert.name", "engineer")
     )
+    named = cut_lineage(named)
 
     # Without a package, the engineer's own works are searched by title; a sole work is taken.
     searched = named.filter(F.col("pkg_no").isNull() & F.col("engineer").isNotNull()).select(
@@ -284,8 +280,8 @@ def link_questions(
     cert_by_holder = certs.groupBy(F.lower("name").alias("holder"), F.lower("cred_type").alias("kind")).agg(
         F.min_by(F.struct("doc_id", "name", "issue_date"), "doc_id").alias("held_cert")
     )
-    holder = [F.lower("engineer") == F.col("holder"), F.lower("cred_type") == F.col("kind")]
-    with_cert = with_client.join(cert_by_holder, holder, "left").withColumn("cert", F.coalesce("id_cert", "held_cert"))
+    holders = with_client.withColumns({"holder": F.lower("engineer"), "kind": F.lower("cred_type")})
+    with_cert = left_lookup(holders, cert_by_holder, ["holder", "kind"]).withColumn("cert", F.coalesce("id_cert", "held_cert"))
 
     excluded = excluded_category(with_client.select("qid", "question", "client_name"), works)
     linked = with_cert.join(excluded, "qid", "left").select(
