@@ -51,9 +51,9 @@ def parse_date(c: Column | str) -> Column:
     )
 
 
-def date_in_text(c: Column | str) -> Column:
-    """First date written anywhere in a question."""
-    return parse_date(F.regexp_extract(as_col(c), WRITTEN_DATE, 1))
+def written_date(c: Column | str) -> Column:
+    """Text of the first date written anywhere in a question, '' when there is none."""
+    return F.regexp_extract(as_col(c), WRITTEN_DATE, 1)
 
 
 def days_between(a: Column | str, b: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.functions import fixed_values as fv
-from folioscope.functions.dates import date_in_text
+from folioscope.functions.dates import parse_date, written_date
 from folioscope.operators import portfolio
 from folioscope.operators.classify import PHRASE_TAGS, tag, with_shape
 from folioscope.operators.linking import category_spans, stored_category
@@ -22,16 +22,19 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
     The answer is NULL when the question could not be tied to an entity. Parameterised shapes
     (bars, dates) are evaluated once per distinct (key, parameter), never per question and row.
     """
-    mentioned = category_spans("question")
-    asked = linked.select(
+    # Mentions are read once, as columns; the lookups below refer to them several times.
+    read = linked.withColumns({"mentioned": category_spans("question"), "date_text": written_date("question")}).withColumns(
+        {"mention_1": F.try_element_at("mentioned", F.lit(1)), "mention_2": F.try_element_at("mentioned", F.lit(2))}
+    )
+    asked = read.select(
         "qid", "question", "answer_type", "client_name", "engineer", "issue_date", "completion_date",
         F.when(F.col("threshold_inr") > 0, F.col("threshold_inr")).alias("bar"),
         stored_category("excluded_category", fv.EXCLUSION_SYNONYMS).alias("category"),
-        stored_category(F.try_element_at(mentioned, F.lit(1))).alias("category_1"),
-        stored_category(F.try_element_at(mentioned, F.lit(2))).alias("category_2"),
+        stored_category("mention_1").alias("category_1"),
+        stored_category("mention_2").alias("category_2"),
         F.try_element_at("years", F.lit(1)).alias("year_1"),
         F.try_element_at("years", F.lit(2)).alias("year_2"),
-        date_in_text("question").alias("date_named"),
+        parse_date("date_text").alias("date_named"),
     )
     asked = with_shape(asked)
     # Lookup keys exist only where the shape uses them.
@@ -70,7 +73,9 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
         return left_lookup(df, side, ["client_name", f"{column}_{suffix}"])
 
     facts = left_lookup(asked, portfolio.client_shapes(works, receivables), ["client_name"])
-    facts = left_lookup(facts, portfolio.engineer_shapes(works), ["engineer"])
+    facts = left_lookup(facts, portfolio.engineer_shapes(works).select("engineer", "distinct_count"), ["engineer"])
+    alone = asked.filter("shape = 'hop_aggregate' AND client_name IS NULL").select("engineer")
+    facts = left_lookup(facts, portfolio.totals_of_containing_leads(works, alone, "engineer"), ["engineer"])
     facts = left_lookup(facts, bars, ["client_name", "bar"])
     facts = left_lookup(facts, after, ["engineer", "start"])
     facts = left_lookup(facts, portfolio.exclusion_totals(works), ["client_name", "category"])

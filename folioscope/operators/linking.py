@@ -175,8 +175,8 @@ def excluded_category(questions: DataFrame, works: DataFrame) -> DataFrame:
 
 def stored_category(c: Column | str, synonyms: dict[str, str] = fv.CATEGORY_SYNONYMS) -> Column:
     """Synonym -> stored category; anything else is taken as it is."""
-    low = F.lower(tx.as_col(c))
-    return F.coalesce(F.element_at(tx.literal_map(synonyms), low), low)
+    table = tx.literal_map(synonyms)
+    return F.coalesce(F.element_at(table, F.lower(tx.as_col(c))), F.lower(tx.as_col(c)))
 
 
 def category_spans(c: Column | str) -> Column:

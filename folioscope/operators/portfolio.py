@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioscope.functions.numeric import percent, whole
 from folioscope.functions.text import blank_to_null
+from folioscope.operators.containment import contained_names
 from folioscope.operators.ranking import exact_median, top_two_gap
 
 
@@ -149,3 +150,24 @@ def portfolio_of_holders(certs: DataFrame, led: DataFrame, rollup: DataFrame) ->
     """
     pairs = led.select("engineer", "client_name").distinct()
     return first_issue(certs).join(pairs, "engineer").join(rollup, "client_name")
+
+
+def totals_of_containing_leads(works: DataFrame, names: DataFrame, name: str) -> DataFrame:
+    """Σ value of the works whose lead's name contains the given name: (name, engineer_total).
+
+    Works are summed per lead first, so only distinct lead names are searched.
+    """
+    per_lead = (
+        works.filter(present(works, "lead_engineer"))
+        .groupBy("lead_engineer")
+        .agg(F.sum("value_inr").alias("lead_total"))
+    )
+    leads = per_lead.select("lead_engineer", F.col("lead_engineer").alias("_searched"))
+    hits = contained_names(leads, names, "lead_engineer", "_searched", name)
+    return hits.join(per_lead, "lead_engineer").groupBy(name).agg(F.sum("lead_total").alias("engineer_total"))
+
+
+def tied_candidates(resolved: DataFrame, works: DataFrame) -> DataFrame:
+    """Every candidate of an open question with its own figures: (qid, client_name, n_works, awarded)."""
+    open_ones = resolved.select("qid", F.explode("tied").alias("client_name"))
+    return open_ones.join(client_works(works).select("client_name", "n_works", "awarded"), "client_name")

@@ -388,3 +388,37 @@ def all_clients(spark: SparkSession, sf: str) -> DataFrame:
     """UNION of the client names of both facts; each side is reduced before they meet."""
     w = v.works(spark, sf).select("client_name").distinct()
     return _client(w.union(v.receivables(spark, sf).select("client_name").distinct()).distinct())
+
+
+@query(
+    f"""SELECT n.name, CAST(sum(w.value_inr) AS BIGINT) AS total
+        FROM (SELECT DISTINCT substr({v.person_name_sql('s_suppkey')}, 1, length({v.person_name_sql('s_suppkey')}) - 1) AS name
+              FROM supplier) n
+        JOIN (SELECT {v.person_name_sql('lead_id')} AS lead, sum(value_inr) AS value_inr
+              FROM leads JOIN works ON works.work_id = leads.work_id GROUP BY lead_id) w
+          ON contains(lower(w.lead), lower(n.name)) GROUP BY n.name""",
+    "works", "leads",
+)
+def lead_contains_total(spark: SparkSession, sf: str) -> DataFrame:
+    """Works whose lead's name contains a given (cut-off) name."""
+    full = v.person_name("s_suppkey")
+    names = v.table(spark, sf, "supplier").select(full.substr(F.lit(1), F.length(full) - 1).alias("name"))
+    led = v.works(spark, sf).join(v.leads(spark, sf), "work_id").select(
+        v.person_name("lead_id").alias("lead_engineer"), "value_inr"
+    )
+    totals = portfolio.totals_of_containing_leads(led, names, "name")
+    return totals.withColumnRenamed("engineer_total", "total")
+
+
+@query(
+    """SELECT q.qid, q.client, s.n_works, s.awarded
+       FROM (SELECT o_orderkey AS qid, unnest([o_custkey, o_custkey + 1]) AS client FROM orders) q
+       JOIN work_stats s ON s.client_name = q.client""",
+    "work_stats",
+)
+def tied_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Open questions keep all their candidates, each with its own figures."""
+    open_questions = v.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("qid"), F.array(F.col("o_custkey"), F.col("o_custkey") + 1).alias("tied")
+    )
+    return _client(portfolio.tied_candidates(open_questions, v.flagged_works(spark, sf)))
