@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from folioscope.functions import fixed_values as fv, money, text as tx
 from folioscope.operators.containment import contained_names, contained_words
 from folioscope.operators.lookup import left_lookup
-from folioscope.operators.resolve import shared_words
 from folioscope.session import cut_lineage
 
 
@@ -55,27 +54,52 @@ def _first_name_groups(engineers: DataFrame) -> DataFrame:
     )
 
 
-def title_postings(works: DataFrame) -> DataFrame:
-    """Title words of every led work: (lead, name = doc_id, word, df, weight, solo)."""
+def title_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Title words of led works, split by whether a word tells the lead's works apart.
+
+    Works of one lead whose titles agree in all shared words form a group, represented by its
+    smallest doc_id. Returns (lead, group_doc, word, weight) for the shared words of each group
+    and (lead, doc_id, group_doc, word, weight) for the words only one work has. A word such as
+    'road' is thus listed once per distinct wording, not once per work.
+    """
     titles = works.filter(F.col("lead_engineer").isNotNull()).select(
-        F.lower("lead_engineer").alias("lead"), F.col("doc_id").alias("name"), F.explode(tx.title_words("project_name")).alias("word")
+        F.lower("lead_engineer").alias("lead"), "doc_id", F.explode(tx.title_words("project_name")).alias("word")
     )
-    counted = titles.groupBy("lead", "name", "word").agg(F.count("*").alias("weight"))
-    common = counted.groupBy("word").agg(F.count("*").alias("df"))
-    return counted.join(common, "word").withColumn("solo", F.col("weight") >= 2)
+    counted = titles.groupBy("lead", "doc_id", "word").agg(F.count("*").alias("weight"))
+    spread = counted.groupBy("lead", "word").agg((F.count("*") > 1).alias("shared"))
+    flagged = cut_lineage(counted.join(spread, ["lead", "word"]))
+    wording = F.array_sort(F.collect_list(F.when(F.col("shared"), F.struct("word", "weight"))))
+    worded = flagged.groupBy("lead", "doc_id").agg(wording.alias("wording"))
+    groups = cut_lineage(worded.groupBy("lead", "wording").agg(F.min("doc_id").alias("group_doc")))
+    group_words = groups.select("lead", "group_doc", F.explode("wording").alias("w")).select(
+        "lead", "group_doc", "w.word", "w.weight"
+    )
+    members = worded.join(groups, ["lead", "wording"]).select("lead", "doc_id", "group_doc")
+    own_words = flagged.filter(~F.col("shared")).join(members, ["lead", "doc_id"]).drop("shared")
+    return group_words, cut_lineage(own_words)
 
 
-def title_overlap(word_hits: DataFrame, pairs: DataFrame, postings: DataFrame) -> DataFrame:
-    """Title words found in the text for each (qid, lead) pair: (qid, lead, doc_id, score >= 2).
+def title_overlap(
+    word_hits: DataFrame, pairs: DataFrame, group_words: DataFrame, own_words: DataFrame
+) -> DataFrame:
+    """Works whose titles share two or more words with the text: (qid, lead, doc_id, score).
 
-    ``word_hits``: (qid, word), the title words each text contains, also inside longer words.
+    ``pairs``: (qid, lead) to examine. ``word_hits``: (qid, word), the title words each text
+    contains, also inside longer words. Of a group's works without words of their own in the
+    text only the smallest doc_id is returned; the others score the same and come after it.
     """
     asked = pairs.select("qid", "lead").join(word_hits, "qid")
-    return (
-        shared_words(asked, postings, ["lead"])
-        .filter("overlap >= 2")
-        .select("qid", "lead", F.col("name").alias("doc_id"), F.col("overlap").alias("score"))
+    by_group = asked.join(group_words, ["lead", "word"]).groupBy("qid", "lead", "group_doc").agg(
+        F.sum("weight").alias("score")
+    )
+    own = asked.join(own_words, ["lead", "word"]).groupBy("qid", "lead", "group_doc", "doc_id").agg(
+        F.sum("weight").alias("own")
+    )
+    with_own = own.join(by_group, ["qid", "lead", "group_doc"], "left").select(
+        "qid", "lead", "doc_id", (F.col("own") + F.coalesce("score", F.lit(0))).alias("score")
     )
+    alike = by_group.select("qid", "lead", F.col("group_doc").alias("doc_id"), "score")
+    return with_own.unionByName(alike).filter("score >= 2")
 
 
 def engineer_candidates(
@@ -85,7 +109,7 @@ def engineer_candidates(
     aliases: DataFrame,
     name_hits: DataFrame,
     word_hits: DataFrame,
-    postings: DataFrame,
+    titles: tuple[DataFrame, DataFrame],
 ) -> DataFrame:
     """Name evidence per question, strongest first: (qid, engineer).
 
@@ -121,7 +145,7 @@ def engineer_candidates(
         .distinct()
     )
     fitting = (
-        title_overlap(word_hits, shared, postings)
+        title_overlap(word_hits, shared, *titles)
         .select("qid", "lead")
         .distinct()
         .join(shared, ["qid", "lead"])
@@ -212,8 +236,9 @@ def link_questions(
     spark = questions.sparkSession
     texts = questions.select("qid", F.trim("question").alias("question"))
 
-    postings = cut_lineage(title_postings(works))
-    word_hits = cut_lineage(contained_words(texts, postings.select("word"), "qid", "question", "word"))
+    titles = title_index(works)
+    vocabulary = titles[0].select("word").union(titles[1].select("word"))
+    word_hits = cut_lineage(contained_words(texts, vocabulary, "qid", "question", "word"))
     aliases = alias_table(spark, client_aliases)
     # Every catalog matched by plain containment is searched in one pass over the texts.
     searched_names = (
@@ -221,7 +246,7 @@ def link_questions(
     )
     name_hits = cut_lineage(contained_names(texts, searched_names, "qid", "question", "name"))
     by_name = engineer_candidates(
-        texts, engineers, certs, alias_table(spark, engineer_aliases), name_hits, word_hits, postings
+        texts, engineers, certs, alias_table(spark, engineer_aliases), name_hits, word_hits, titles
     )
     cert_by_id = (
         certs.withColumn("cid", tx.credential_id("cred_id"))
@@ -245,7 +270,7 @@ def link_questions(
     searched = named.filter(F.col("pkg_no").isNull() & F.col("engineer").isNotNull()).select(
         "qid", F.lower("engineer").alias("lead")
     )
-    best = title_overlap(word_hits, searched, postings).groupBy("qid").agg(
+    best = title_overlap(word_hits, searched, *titles).groupBy("qid").agg(
         F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"))).alias("title_doc")
     )
     sole = (

@@ -11,6 +11,9 @@ from folioscope.operators.ranking import exact_median, top_two_gap
 
 
 
+NO_CATEGORY = "(none)"
+
+
 def present(df: DataFrame, name: str):
     """Rows whose key is not missing; only text keys have blank spellings of missing."""
     is_text = df.schema[name].dataType.typeName() == "string"
@@ -90,12 +93,9 @@ def client_shapes(works: DataFrame, receivables: DataFrame) -> DataFrame:
 
 
 def category_totals(works: DataFrame) -> DataFrame:
-    """Σ value per (client, category); a missing category never equals or differs from a name."""
-    return (
-        works.filter(present(works, "category"))
-        .groupBy("client_name", "category")
-        .agg(F.sum("value_inr").alias("category_total"))
-    )
+    """Σ value per (client, category); works without a category are kept under NO_CATEGORY."""
+    named = F.when(present(works, "category"), F.col("category")).otherwise(NO_CATEGORY)
+    return works.groupBy("client_name", named.alias("category")).agg(F.sum("value_inr").alias("category_total"))
 
 
 def year_totals(works: DataFrame) -> DataFrame:

@@ -423,3 +423,46 @@ def test_portfolio_invariants(spark):
     assert all(stats[r["client_name"]]["awarded"] == r["t"] for r in cats)
     for r in portfolio.exclusion_totals(works).join(portfolio.category_totals(works), ["client_name", "category"]).collect():
         assert r["exclusion_total"] + r["category_total"] == stats[r["client_name"]]["awarded"]
+
+
+def test_exclusion_keeps_works_without_a_category(spark):
+    works = spark.createDataFrame(
+        [("A", "tunnels", 1), ("A", None, 10), ("A", "", 100), ("A", "roads", 1000), ("B", "nan", 5)],
+        "client_name string, category string, value_inr bigint",
+    )
+    got = pairs(portfolio.exclusion_totals(works), "client_name", "category", "exclusion_total")
+    assert got == [("A", "(none)", 1001), ("A", "roads", 111), ("A", "tunnels", 1110), ("B", "(none)", 0)]
+
+
+def test_title_overlap_matches_brute_force(spark):
+    rng = random.Random(9)
+    kinds, places = ["Ring Road", "Road Widening", "Check Dam", "Rail Tunnel Road"], ["Assam", "Bihar", "West Bengal"]
+    works = [
+        (f"D{i:03d}", f"{rng.choice(kinds)} — {rng.choice(places)} Pkg-{100 + i}", rng.choice(["Asha Nair", "Ravi Rao", None]))
+        for i in range(120)
+    ]
+    texts = [
+        (q, " ".join(rng.choice(["ring", "roads", "dam", "assam", "bengal", "west", "101", "tunnels", "x", "117"]) for _ in range(4)))
+        for q in range(40)
+    ]
+    w = spark.createDataFrame(works, "doc_id string, project_name string, lead_engineer string")
+    t = spark.createDataFrame(texts, "qid int, question string")
+    p = spark.createDataFrame([(q, lead) for q, _ in texts for lead in ("asha nair", "ravi rao")], "qid int, lead string")
+    group_words, own_words = linking.title_index(w)
+    words = group_words.select("word").union(own_words.select("word"))
+    hits = linking.contained_words(t, words, "qid", "question", "word")
+    best = linking.title_overlap(hits, p, group_words, own_words).groupBy("qid", "lead").agg(
+        F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"))).alias("doc_id"), F.max("score").alias("score")
+    )
+    expected = []
+    for q, text in texts:
+        for lead in ("asha nair", "ravi rao"):
+            scored = []
+            for d, title, who in works:
+                if who and who.lower() == lead:
+                    ws = [x for x in title.lower().replace("-", " ").split() if len(x) > 2 and x not in ("package", "pkg")]
+                    scored.append((-sum(x in text for x in ws), d))
+            score, doc = min(scored)
+            if score <= -2:
+                expected.append((q, lead, doc, -score))
+    assert pairs(best, "qid", "lead", "doc_id", "score") == sorted(expected)
