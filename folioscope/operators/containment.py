@@ -74,7 +74,7 @@ def _text_anchors(texts: DataFrame, text_id: str, text: str, sizes: list[int]) -
     parts = []
     for kind in sizes:
         found = _tokens(low) if kind == 0 else _runs(low, kind)
-        parts.append(texts.select(text_id, F.lit(kind).alias("kind"), F.explode(found).alias("anchor")))
+        parts.append(texts.select(text_id, F.lit(kind).alias("kind"), F.explode(F.array_distinct(found)).alias("anchor")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -103,7 +103,6 @@ def contained_names(
         _text_anchors(texts, text_id, text, kinds)
         .join(broadcast_checked(anchors), ["kind", "anchor"])
         .select(text_id, "name")
-        .distinct()
     )
     low, needle = F.lower(text), F.lower("name")
     if whole_words:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 BUCKET_WIDTH = 1_000_000
+SALTS = 16
 
 
 def _bucket(value: Column, width: int) -> Column:
@@ -116,17 +117,20 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     """Exact interpolated median per key of a BIGINT column, plus the row count ``n``.
 
     A mergeable quantile sketch gives each key a narrow bracket that must contain the middle
-    ranks; the second pass counts what lies below it and orders only the values inside it.
+    ranks; the second pass counts what lies below it and orders only the values inside it. Rows
+    meet their bracket under a salt taken from the value, so a hot key is spread over SALTS tasks.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     brackets = rows.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.percentile_approx("_v", [0.495, 0.505], 2000).alias("_b"),
     )
+    salted = brackets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     inside = (F.col("_v") >= F.col("_b")[0]) & (F.col("_v") <= F.col("_b")[1])
     # One aggregation serves both counts: everything below the bracket collapses into NULL.
     counted = (
-        rows.join(brackets, keys)
+        rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+        .join(salted, [*keys, "_salt"])
         .filter(F.col("_v") <= F.col("_b")[1])
         .groupBy(*keys, F.when(inside, F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("_c"), F.first("n").alias("n"))
