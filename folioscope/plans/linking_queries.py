@@ -184,7 +184,7 @@ CATEGORY_WORDS = {"roads highways": 2, "bridges flyovers": 2, "water supply": 2,
         cw AS (SELECT category, unnest({NAME_WORDS_SQL.format(c='category')}) AS word, length({NAME_WORDS_SQL.format(c='category')}) AS n_c FROM cats),
         hits AS (SELECT qid, category, count(*) AS overlap, count(*)::DOUBLE / least(any_value(n_q), any_value(n_c)) AS frac
                  FROM qw JOIN cw ON cw.word = qw.word GROUP BY qid, category)
-        SELECT qid, category, overlap, round(frac, 6) AS frac, rank FROM (
+        SELECT qid, category, overlap, round(frac, 6) AS frac, CAST(rank AS INTEGER) AS rank FROM (
             SELECT *, row_number() OVER (PARTITION BY qid ORDER BY overlap DESC, frac DESC, category) AS rank
             FROM hits WHERE frac >= 0.4) WHERE rank <= 2"""
 )

@@ -40,8 +40,8 @@ def money_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN (p_size + 1) * 10000000
-              WHEN p_partkey % 3 = 1 THEN (p_size + 1) * 100000 ELSE p_size % 10 * 10000000 + 200000000 END AS bar,
+    """SELECT p_partkey AS id, CAST(CASE WHEN p_partkey % 3 = 0 THEN (p_size + 1) * 10000000
+              WHEN p_partkey % 3 = 1 THEN (p_size + 1) * 100000 ELSE p_size % 10 * 10000000 + 200000000 END AS BIGINT) AS bar,
               CASE WHEN p_partkey % 3 = 2 AND p_size % 10 > 0 THEN 20 + p_size % 10
                    WHEN p_partkey % 3 = 2 THEN 20 ELSE 0 END AS spoken
        FROM part"""
