@@ -113,23 +113,33 @@ def shared_words(asked: DataFrame, postings: DataFrame, scope: list[str]) -> Dat
     )
 
 
-def fuzzy_scores(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rarity-weighted word overlap of (qid, _pool, words) with (_pool, name)."""
+def question_words(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(qid, _pool, words) -> (qid, _pool, word) for words the catalog's names use at all.
+
+    Written once: texts are tokenised a single time for all tiers, and words no name uses are
+    gone before anything is shuffled.
+    """
+    vocabulary = catalog.select(POOL, F.explode(name_words("name")).alias("word")).distinct()
+    asked = questions.select("qid", POOL, F.explode("words").alias("word"))
+    return cut_lineage(asked.join(vocabulary, [POOL, "word"], "left_semi"))
+
+
+def fuzzy_scores(asked: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Rarity-weighted word overlap of (qid, _pool, word) with (_pool, name)."""
     names = catalog.select(POOL, "name", F.explode(name_words("name")).alias("word"))
     df = names.groupBy(POOL, "word").agg(F.count("*").alias("df"))
     postings = cut_lineage(
         names.join(df, [POOL, "word"]).withColumns({"weight": F.lit(1.0) / F.col("df"), "solo": F.col("df") == 1})
     )
     totals = postings.groupBy(POOL, "name").agg(F.sum("weight").alias("total"))
-    asked = questions.select("qid", POOL, F.explode("words").alias("word"))
     return _qualified(shared_words(asked, postings, [POOL]).join(totals, [POOL, "name"]))
 
 
-def narrow_ties(hits: DataFrame, questions: DataFrame) -> DataFrame:
+def narrow_ties(hits: DataFrame, asked: DataFrame) -> DataFrame:
     """Re-score each question's tied names among themselves; rarity is counted within the tie."""
     names = hits.select("qid", "name", F.explode(name_words("name")).alias("word"))
     df = names.groupBy("qid", "word").agg(F.count("*").alias("df"))
-    asked = questions.select("qid", F.explode("words").alias("word"), F.lit(1).alias("hit"))
+    asked = asked.select("qid", "word", F.lit(1).alias("hit"))
     shared, weight = F.col("hit").isNotNull(), F.lit(1.0) / F.col("df")
     scores = (
         names.join(df, ["qid", "word"])
@@ -145,13 +155,13 @@ def narrow_ties(hits: DataFrame, questions: DataFrame) -> DataFrame:
     return decide(_qualified(scores), TIE_MIN_SCORE, TIE_MIN_MARGIN).filter(F.col("matched").isNotNull())
 
 
-def _settle(hits: DataFrame, questions: DataFrame, method: str) -> DataFrame:
+def _settle(hits: DataFrame, asked_words: DataFrame, method: str) -> DataFrame:
     """Hits of one tier -> one row per question that had any."""
     grouped = hits.groupBy("qid").agg(
         F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names")
     )
     several = hits.join(grouped.filter("n > 1").select("qid"), "qid", "left_semi")
-    narrowed = narrow_ties(several, questions).select(
+    narrowed = narrow_ties(several, asked_words).select(
         "qid", F.col("matched").alias("narrowed"), F.col("confidence").alias("narrowed_confidence")
     )
     single = F.col("n") == 1
@@ -200,11 +210,12 @@ def resolve(
         "qid", POOL, F.coalesce("question", F.lit("")).alias("question"),
         (words if words is not None else name_words("question")).alias("words"),
     )
-    exact = _settle(cut_lineage(exact_hits(asked, names)), asked, "exact")
+    asked_words = question_words(asked, names)
+    exact = _settle(cut_lineage(exact_hits(asked, names)), asked_words, "exact")
     rest = asked.join(exact.select("qid"), "qid", "left_anti")
-    acronym = _settle(cut_lineage(acronym_hits(rest, names)), asked, "acronym")
-    rest = rest.join(acronym.select("qid"), "qid", "left_anti")
-    scores = cut_lineage(fuzzy_scores(rest, names))
+    acronym = _settle(cut_lineage(acronym_hits(rest, names)), asked_words, "acronym")
+    settled = exact.select("qid").union(acronym.select("qid"))
+    scores = cut_lineage(fuzzy_scores(asked_words.join(settled, "qid", "left_anti"), names))
     fuzzy = decide(scores, min_score, min_margin).withColumn("method", F.lit("fuzzy"))
     found = exact.unionByName(acronym).unionByName(fuzzy)
     return questions.select("qid").join(found, "qid", "left").select(
