@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import string
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -96,11 +97,9 @@ def stem(word: Column) -> Column:
 
 def name_words(c: Column | str) -> Column:
     """Distinct lower-case stems, without stopwords and words of one or two letters."""
-    stop = literal_array(fv.NAME_STOPWORDS)
-    kept = F.filter(
-        F.transform(words(F.coalesce(as_col(c), F.lit(""))), F.lower),
-        lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w),
-    )
+    # Only ASCII letters make words, so only they are lowered; runs of three and more are kept.
+    low = F.translate(F.coalesce(as_col(c), F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    kept = F.array_except(F.regexp_extract_all(low, F.lit("[a-z]{3,}"), F.lit(0)), literal_array(fv.NAME_STOPWORDS))
     return F.array_distinct(F.transform(kept, stem))
 
 
