@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import arrow_ids, bpe, mixing, ring
+from folioscope.llm import arrow_ids, bpe, mixing, ring, substrings
 from folioscope.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=50)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     manifest = arrow_ids.write_files(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
@@ -29,5 +34,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_ring_shards": op5_ring_shards, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_mixing": op2_mixing, "op5_ring_shards": op5_ring_shards, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
