@@ -47,13 +47,16 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: For words of letters alone: every ASCII byte that is no letter ends a word.
+_NO_LETTER = np.ones(256, dtype=bool)
+_NO_LETTER[128:] = _NO_LETTER[65:91] = _NO_LETTER[97:123] = False
 
 
-def _hash_piece(buf: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hash_piece(buf: np.ndarray, codes: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, starts and ends of the words in one piece of bytes."""
     word = np.empty(len(buf) + 2, dtype=np.int8)
     word[0] = word[-1] = 0
-    word[1:-1] = ~_SPACE[buf]
+    word[1:-1] = ~gaps[buf]
     edge = np.diff(word)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     if not len(starts):
@@ -126,6 +129,12 @@ def _together(group: list[bytes], codes: np.ndarray) -> Iterator[np.ndarray]:
         yield hashes[cut[i] : cut[i + 1]]
 
 
+def letter_words(text: bytes) -> np.ndarray:
+    """Hashes of a text's lower-cased words of letters, in pieces cut at any byte (at most one word a piece is split)."""
+    out = [_hash_piece(np.frombuffer(text, np.uint8, min(PIECE_BYTES, len(text) - at), at), _FOLDED, _NO_LETTER)[0] for at in range(0, len(text), PIECE_BYTES)]
+    return np.concatenate(out) if out else np.empty(0, _U)
+
+
 def runs(words: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of ``k`` consecutive words; none when there are fewer."""
     n = len(words)
