@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import arrow_ids, bpe, mixing, ring, setjoin, substrings
+from folioscope.llm import arrow_ids, bpe, cotraining, mixing, ring, setjoin, substrings
 from folioscope.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "p_text", "p_meta", "score", "accepted")
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.join_sets(table(spark, sf_dir, "documents"), words=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
@@ -38,5 +43,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_ring_shards": op5_ring_shards, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_mixing": op2_mixing, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}

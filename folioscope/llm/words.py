@@ -129,9 +129,23 @@ def _together(group: list[bytes], codes: np.ndarray) -> Iterator[np.ndarray]:
         yield hashes[cut[i] : cut[i + 1]]
 
 
-def letter_words(text: bytes) -> np.ndarray:
-    """Hashes of a text's lower-cased words of letters, in pieces cut at any byte (at most one word a piece is split)."""
-    out = [_hash_piece(np.frombuffer(text, np.uint8, min(PIECE_BYTES, len(text) - at), at), _FOLDED, _NO_LETTER)[0] for at in range(0, len(text), PIECE_BYTES)]
+def letter_words(text: bytes, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """Hashes of a text's lower-cased words of letters, and of the longer ones' first so many bytes.
+
+    Taken in pieces cut at any byte, so at most one word a piece is split.
+    """
+    out = []
+    for at in range(0, len(text), PIECE_BYTES):
+        buf = np.frombuffer(text, np.uint8, min(PIECE_BYTES, len(text) - at), at)
+        hashes, starts, ends = _hash_piece(buf, _FOLDED, _NO_LETTER)
+        out.append(hashes)
+        codes = _FOLDED[np.r_[buf, np.zeros(8, np.uint8)]]
+        for n in prefixes:
+            first = starts[ends - starts > n]
+            total = np.full(len(first), n, _U)
+            for i in range(n):
+                total += codes[first + i] * _tables(n)[0][i]
+            out.append(mix(total))
     return np.concatenate(out) if out else np.empty(0, _U)
 
 
