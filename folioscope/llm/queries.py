@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import arrow_ids, bpe, cotraining, mixing, ring, setjoin, substrings
+from folioscope.llm import arrow_ids, bpe, cotraining, mixing, ring, setjoin, substrings, wrappers
 from folioscope.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
@@ -43,5 +47,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_mixing": op2_mixing, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
