@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import arrow_ids, bpe, cotraining, mixing, ring, setjoin, substrings, wrappers
+from folioscope.llm import arrow_ids, bpe, cotraining, flatgraph, mixing, ring, setjoin, substrings, wrappers
 from folioscope.llm.common import table
 
 
+def op1_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatgraph.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.apportion(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -47,5 +51,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
-QUERIES = {"op2_mixing": op2_mixing, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_flat_graph": op1_flat_graph, "op2_mixing": op2_mixing, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
