@@ -148,11 +148,12 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_pieces(encoded.select("doc_id", "ids"), "ids", task, "doc_id long, ids binary, decoded binary")
 
 
-def digest(decoded: DataFrame) -> DataFrame:
-    """Counts and SHA-256 sums of ids and decoded bytes per row."""
+def digest(decoded: DataFrame, *more: str) -> DataFrame:
+    """Counts and SHA-256 sums of ids and decoded bytes per row, and more of its columns."""
     return decoded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )

@@ -66,18 +66,23 @@ def _sources(slim: DataFrame) -> DataFrame:
     return by.select("source", "named", "source_size", target.alias("target"))
 
 
-def apportion(docs: DataFrame, block: int = 8, shard_words: int = 4_000_000, seed: int = 29) -> DataFrame:
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("text_key"), F.coalesce("source", F.lit("")).alias("source"),
+        F.col("source").isNotNull().alias("named"), words_in(F.col("text")).alias("size"),
+    )
+
+
+def apportion(docs: DataFrame, **options) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, whole, part, part_at, taken) for every row.
 
     ``whole``: times the document is taken as a whole; ``part``: words of it taken once more, from word ``part_at``
     on, around its end.
     """
-    slim = cut_lineage(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("text_key"), F.coalesce("source", F.lit("")).alias("source"),
-            F.col("source").isNotNull().alias("named"), words_in(F.col("text")).alias("size"),
-        )
-    )
+    return _apportion(cut_lineage(_sized(docs)), **options)
+
+
+def _apportion(slim: DataFrame, block: int = 8, shard_words: int = 4_000_000, seed: int = 29) -> DataFrame:
     sources = cut_lineage(_sources(slim))
     words = sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
     seats = round(words / block)
@@ -133,10 +138,13 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id with the same text count as one document.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("_text_key", row_key(F.col("text"))).dropDuplicates(["doc_id", "_text_key"])
-    slim = keyed.select("doc_id", "text", "source")
-    taken = apportion(slim, **options).where("taken > 0").select(
+    columns, keyed = docs.columns, docs.withColumn("_text_key", row_key(F.col("text")))
+    rows = cut_lineage(_sized(docs))
+    slim = rows.groupBy("doc_id", "text_key").agg(F.min(F.struct("named", "source")).alias("of"), F.min("size").alias("size"), F.count("*").alias("rows"))
+    slim = cut_lineage(slim.select("doc_id", "text_key", "of.source", "of.named", "size", "rows"))
+    if not slim.where("rows > 1").isEmpty():
+        keyed = keyed.dropDuplicates(["doc_id", "_text_key"])
+    taken = _apportion(slim.drop("rows"), **options).where("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("part").alias("_part"), F.col("part_at").alias("_at")
     )
     joined = keyed.join(taken, keyed["doc_id"].eqNullSafe(taken["_id"]) & (F.col("_text_key") == F.col("_key")))

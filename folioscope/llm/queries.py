@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import arrow_ids, bpe, cotraining, flatgraph, mixing, ring, setjoin, substrings, wrappers
+from folioscope.llm import arrow_ids, bpe, cotraining, flatgraph, lsh, mixing, ring, setjoin, substrings, wrappers
 from folioscope.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.apportion(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 def op4_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.extract(table(spark, sf_dir, "pages"))
 
@@ -51,5 +55,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
 
 
-QUERIES = {"op1_flat_graph": op1_flat_graph, "op2_mixing": op2_mixing, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_flat_graph": op1_flat_graph, "op2_mixing": op2_mixing, "op3_multiprobe": op3_multiprobe, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
 ORACLE_SQL: dict[str, str] = {}
