@@ -143,7 +143,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = K) -> DataFrame:
     by_kmer = found.groupBy("kmer").agg(
         F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min("path").alias("low"), F.max("path").alias("high")
     )
-    repeated = by_kmer.where("least < most").select("kmer", "least", (F.col("low") != F.col("high")).alias("branching"))
+    # Written, so that the join below has two plain exchanges and a hot k-mer's rows can be split.
+    repeated = cut_lineage(by_kmer.where("least < most").select("kmer", "least", (F.col("low") != F.col("high")).alias("branching")))
     met = cut_lineage(found.join(repeated, "kmer"))
     branching = met.where("branching")
     # Source coordinate of every path of a branching k-mer: its first place in its smallest document.
