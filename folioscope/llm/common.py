@@ -21,6 +21,9 @@ BATCH_BYTES = 4 << 20
 ARROW_CONF = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(2 * BATCH_BYTES),
+    # Texts that a small set of ids selects are filtered before they are shuffled, from this size of scan on.
+    "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "64m",
+    "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "256m",
 }
 
 

@@ -6,15 +6,16 @@ Every text becomes a set of hashed word shingles. Sets that are equal are one cl
    ones first; any common order gives the same result.
 2. A set of ``n`` needs an overlap of ``need = ceil(t * n)`` with any partner. So two partners share at least
    ``min(SHARED, need)`` of the first ``n - need + SHARED`` shingles of each, in that order. Only these are shuffled.
-3. Similar sets are put into groups: the sets that meet under a pair of min-hashes are compared with one leader
-   exactly, and what is linked so is one group (connected components).
-4. The matrix: for each group the union of its members' first shingles. A set meets a group through the shingles they
-   share there; pairs below the bound are dropped. Sets of smaller groups query larger ones, never their own.
+3. Sets that meet under a pair of min-hashes are compared with one leader exactly. What is linked so is one component;
+   what has at least half in common with a leader is one group of similar sets.
+4. The matrix: for each group and first shingle the largest component of its members that hold it. A set meets a group
+   through the shingles they share there, if a larger component than its own holds them; pairs that share too few are
+   dropped. So links inside a component are never looked for again, and of two components the smaller one asks.
 5. A qualifying group is opened in pieces of up to ``PIECE`` members: the query is first held against the union of
-   whole sets, and only if that bound allows, against members until one links. One link joins the groups.
+   whole sets, and only if that bound allows, against members of larger components, until each has one link.
 
-A group of near copies, however large, is one group after step 3, so its members don't query each other, and no pairs
-inside it are made. Leaders of hot min-hashes are salted. Documents (rows) that share a doc_id are one node.
+A group of near copies, however large, is one component after step 3, so no pairs inside it are made. Leaders of hot
+min-hashes are salted. Documents (rows) that share a doc_id are one node.
 
 Texts that are null or without words have no set and link with nothing; a null doc_id has no component. Very long
 texts are hashed in pieces. Classes are told apart by 128 bits of their set and its size; shingles by 64 bits.
@@ -156,7 +157,7 @@ def _whole_sets(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return map_pieces(texts.select("doc_id", "text"), "text", task, "doc long, shingles binary")
 
 
-def _streamed(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
+def _streamed(rows: DataFrame, keys: list[str], fn, names: list[str]) -> DataFrame:
     """``fn`` over each task's rows, dealt by ``keys`` and ordered by them and then by role."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,26 +166,30 @@ def _streamed(rows: DataFrame, keys: list[str], fn, schema: str) -> DataFrame:
                 columns = [batch.column(c).to_pylist() for c in batch.schema.names]
                 yield from zip(*columns, strict=True)
 
+        def send() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], names)
+
         out: list[tuple] = []
-        for link in fn(each()):
-            out.append(link)
+        for found in fn(each()):
+            out.append(found)
             if len(out) >= 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+                yield send()
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+            yield send()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "role", "doc").mapInArrow(run, schema)
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "role", "doc")
+    return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def _with_leaders(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between members and the leader they meet under a band."""
+    """(a, b, linked) for members and the leader they meet under a band, if they have half in common."""
     salts = stars.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("salts"))
     stars = stars.join(salts, "leader")
-    members = stars.select("leader", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), F.lit(1).alias("role"), "doc").join(sets, "doc")
+    members = stars.select("leader", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), F.lit(1).alias("role"), "doc")
     copies = salts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
-    leaders = copies.select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("doc")).join(sets, "doc")
-    columns = ["leader", "salt", "role", "doc", "shingles"]
+    leaders = copies.select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("doc"))
+    rows = members.union(leaders).join(sets, "doc").select("leader", "salt", "role", "doc", "shingles")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         lead, at = np.empty(0, _U), None
@@ -192,38 +197,44 @@ def _with_leaders(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             s = np.frombuffer(shingles, _U)
             if role == 0:
                 lead, at = s, leader
-            elif at == leader and linked(lead, s, percent):
-                yield doc, leader
+            elif at == leader:
+                both = overlap(lead, s)
+                either = len(lead) + len(s) - both
+                if 2 * both >= either:
+                    yield doc, leader, int(100 * both >= percent * either)
 
-    return _streamed(members.select(*columns).union(leaders.select(*columns)), ["leader", "salt"], compare, "a long, b long")
+    return _streamed(rows, ["leader", "salt"], compare, ["a", "b", "linked"])
 
 
 def _open_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between queries and a member of each qualifying group. members: (grp, doc, piece, pieces)."""
-    sizes = members.groupBy("grp").agg(F.max("piece").alias("last"))
-    queries = candidates.join(sizes, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("piece"), F.lit(1).alias("role"), "doc")
-    inside = members.join(candidates.select("grp").distinct(), "grp", "left_semi").select("grp", "piece", F.lit(0).alias("role"), "doc")
-    rows = queries.union(inside).join(sets, "doc").select("grp", "piece", "role", "doc", "shingles")
+    """Links (a, b) of queries into each qualifying group. members: (grp, doc, piece, size, component)."""
+    last = members.groupBy("grp").agg(F.max("piece").alias("last"))
+    own = members.select("doc", "size", "component")
+    queries = candidates.join(last, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("piece"), F.lit(1).alias("role"), "doc").join(own, "doc")
+    inside = members.join(candidates.select("grp").distinct(), "grp", "left_semi").select("grp", "piece", F.lit(0).alias("role"), "doc", "size", "component")
+    columns = ["grp", "piece", "role", "doc", "size", "component"]
+    rows = queries.select(*columns).union(inside.select(*columns)).join(sets, "doc").select(*columns, "shingles")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         at, held, union = None, [], None
-        for grp, piece, role, doc, shingles in rows:
+        for grp, piece, role, doc, size, component, shingles in rows:
             s = np.frombuffer(shingles, _U)
             if at != (grp, piece):
                 at, held, union = (grp, piece), [], None
             if role == 0:
-                held.append((doc, s))
+                held.append((doc, (size, component), s))
                 continue
             if union is None:
-                union = np.unique(np.concatenate([x for _, x in held])) if held else np.empty(0, _U)
+                union = np.unique(np.concatenate([x for _, _, x in held])) if held else np.empty(0, _U)
             if overlap(s, union) < needed(len(s), percent):
                 continue
-            for other, x in held:
-                if linked(s, x, percent):
+            met = set()
+            for other, rank, x in held:
+                if rank > (size, component) and rank not in met and linked(s, x, percent):
+                    met.add(rank)
                     yield doc, other
-                    break
 
-    return _streamed(rows, ["grp", "piece"], compare, "a long, b long")
+    return _streamed(rows, ["grp", "piece"], compare, ["a", "b"])
 
 
 def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -238,34 +249,38 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     same_id = of_rows.groupBy("doc_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("doc_id", "low")
     shared_ids = of_rows.join(same_id, "doc_id").select(F.col("doc").alias("a"), F.col("low").alias("b"))
     heads = signed.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    heads = heads.select(F.col("doc_id").alias("doc"), "key", "n", "bands", "first")
-
-    postings = heads.select(F.explode("first").alias("token"), "doc")
-    several = postings.groupBy("token").agg(F.count("*").alias("docs")).where("docs > 1").select("token")
-    alive = cut_lineage(postings.join(several, "token"))
+    postings = heads.select(F.explode("first").alias("token"), F.col("doc_id").alias("doc"))
+    same = Window.partitionBy("token")
+    alive = postings.withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
+    alive = cut_lineage(alive.where("low < high").select("token", "doc"))
     least = F.least(F.lit(SHARED).cast("long"), F.ceil(F.col("n") * percent / 100))
-    wanted = alive.groupBy("doc").agg(F.count("*").alias("met")).join(heads.select("doc", "key", "n"), "doc").where(F.col("met") >= least)
+    wanted = alive.groupBy("doc").agg(F.count("*").alias("met")).join(classes.select("doc", "key", "n"), "doc").where(F.col("met") >= least)
     wanted = cut_lineage(wanted.select("doc", "key", "n"))
-    sets = cut_lineage(_whole_sets(source, wanted.select(F.col("doc").alias("doc_id"), "key"), words))
 
-    banded = heads.join(wanted.select("doc"), "doc", "left_semi").select("doc", F.posexplode("bands").alias("band", "value"))
+    # A condition that always holds tells the planner that a filter of these ids on the texts pays.
+    asked = wanted.where("n > 0").select(F.col("doc").alias("doc_id"), "key")
+    sets = cut_lineage(_whole_sets(source, asked, words))
+    banded = signed.join(asked, ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value"))
+    banded = cut_lineage(banded)
     led = banded.groupBy("band", "value").agg(F.min("doc").alias("leader"), F.count("*").alias("met")).where("met > 1")
     stars = banded.join(led, ["band", "value"]).where("doc <> leader").select("leader", "doc").distinct()
-    near = cut_lineage(_with_leaders(cut_lineage(stars), sets, percent))
-
-    groups = connected(near)
-    docs_in = wanted.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("grp"))
-    sizes = docs_in.groupBy("grp").agg(F.count("*").alias("members"))
-    docs_in = cut_lineage(docs_in.join(sizes, "grp"))
-    met = alive.join(docs_in, "doc").select("token", "doc", "n", "grp", "members")
-    matrix = met.groupBy("token", "grp").agg(F.first("members").alias("members"))
-    between = matrix.groupBy("token").agg(F.count("*").alias("groups")).where("groups > 1").select("token")
-    matrix = matrix.join(between, "token").select("token", F.col("grp").alias("to"), F.col("members").alias("to_members"))
-    larger = F.struct("to_members", "to") > F.struct("members", "grp")
-    overlaps = met.join(matrix, "token").where(larger).groupBy("doc", "to").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
-    candidates = cut_lineage(overlaps.where(F.col("shared") >= least).select("doc", F.col("to").alias("grp")))
-    pieces_of = F.ceil(F.col("members") / PIECE)
-    members = docs_in.select("grp", "doc", F.pmod(F.xxhash64("doc"), pieces_of).alias("piece"))
+    similar = cut_lineage(_with_leaders(cut_lineage(stars), sets, percent))
+    near = similar.where("linked = 1").select("a", "b")
+
+    parts = connected(near)
+    docs_in = wanted.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    sizes = docs_in.groupBy("component").agg(F.count("*").alias("size"))
+    of_group = similar.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("leader"))
+    docs_in = docs_in.join(sizes, "component").join(of_group, "doc", "left")
+    docs_in = cut_lineage(docs_in.select("doc", "n", "component", "size", F.coalesce("leader", "doc").alias("grp")))
+    met = alive.join(docs_in, "doc").select("token", "doc", "n", "grp", F.struct("size", "component").alias("rank"))
+    matrix = met.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("rank").alias("low"))
+    between = matrix.groupBy("token").agg(F.max("top").alias("t"), F.min("low").alias("l")).where("t > l").select("token")
+    matrix = matrix.join(between, "token").select("token", F.col("grp").alias("to"), "top")
+    shared = met.join(matrix, "token").where("top > rank").groupBy("doc", "to").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
+    candidates = cut_lineage(shared.where(F.col("shared") >= least).select("doc", F.col("to").alias("grp")))
+    pieces_of = docs_in.groupBy("grp").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    members = docs_in.join(pieces_of, "grp").select("grp", "doc", "size", "component", F.pmod(F.xxhash64("doc"), "pieces").alias("piece"))
     found = cut_lineage(_open_groups(candidates, members, sets, percent))
 
     whole = connected(near.union(found).union(shared_ids))
