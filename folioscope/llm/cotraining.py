@@ -110,20 +110,21 @@ def _fit_dense(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float =
 
 def _fit_text(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, steps: int = 150) -> tuple[np.ndarray, float]:
     """Logistic regression on the words whose presence tells the classes apart clearly; the others weigh nothing."""
-    ids, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     total, good = weight.sum(), (weight * y).sum()
-    df = np.bincount(ids, weights=weight[owner], minlength=BUCKETS)
-    in_good = np.bincount(ids, weights=(weight * y)[owner], minlength=BUCKETS)
+    df, in_good = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for row, w_, y_ in zip(rows, weight, y, strict=True):  # a row's buckets are distinct
+        df[row] += w_
+        in_good[row] += w_ * y_
     expected = df * good / total
     z = (in_good - expected) / np.sqrt(np.maximum(expected * (1 - good / total), 1e-9))
     chosen = np.flatnonzero((df >= 5) & (np.abs(z) > 4))
     weights, bias = np.zeros(BUCKETS), float(np.log(good / (total - good)))
     if not len(chosen):
         return weights, bias
-    column = np.full(BUCKETS, -1)
+    column = np.full(BUCKETS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
-    keep = column[ids] >= 0
-    cols, owner = column[ids[keep]], owner[keep]
+    kept = [c[c >= 0] for c in (column[row] for row in rows)]
+    cols, owner = np.concatenate(kept), np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in kept])
     beta, momentum, square = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     beta[-1] = bias
     for t in range(1, steps + 1):  # Adam
@@ -183,7 +184,7 @@ def co_train(
     return model
 
 
-_FEATURES = "doc_id long, words array<long>, meta array<double>"
+_FEATURES = "doc_id long, words binary, meta binary"
 
 
 def _features(docs: DataFrame) -> DataFrame:
@@ -191,9 +192,10 @@ def _features(docs: DataFrame) -> DataFrame:
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
             words, meta = [], []
             for text, source, lang in zip(*(piece.column(c).to_pylist() for c in ("text", "source", "lang")), strict=True):
-                words.append(text_view(text or b""))
-                meta.append(meta_view(text or b"", len(words[-1]), source, lang))
-            return pa.record_batch([piece.column("doc_id"), pa.array(words, pa.list_(pa.int64())), pa.array(meta, pa.list_(pa.float64()))], ["doc_id", "words", "meta"])
+                found = text_view(text or b"")
+                words.append(found.astype("<i4").tobytes())
+                meta.append(meta_view(text or b"", len(found), source, lang).tobytes())
+            return pa.record_batch([piece.column("doc_id"), pa.array(words, pa.binary()), pa.array(meta, pa.binary())], ["doc_id", "words", "meta"])
 
         return step
 
@@ -204,7 +206,7 @@ def _columns(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "source", "lang")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = 12000, pool: int = 4000, **options) -> tuple[Model | None, float]:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = 8000, pool: int = 2000, **options) -> tuple[Model | None, float]:
     """The model and the share of good labels in its sample."""
     docs = _columns(docs)
     order = F.xxhash64(F.lit(41), "doc_id"), F.col("doc_id")
@@ -218,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = 12000, pool: int =
     wanted = spark.createDataFrame([(i,) for i in sorted({*good, *free})], "doc_id long")
     # The sample's ids are bounded, so the texts stay where they are.
     rows = _features(docs.join(F.broadcast(wanted), "doc_id", "left_semi")).toLocalIterator()
-    held = {r["doc_id"]: (np.array(r["words"], np.int64), np.array(r["meta"])) for r in rows}
+    held = {r["doc_id"]: (np.frombuffer(r["words"], "<i4"), np.frombuffer(r["meta"])) for r in rows}
     taught = [(*held[i], g) for i, g in good.items() if i in held]
     share = float(np.mean([r[2] for r in taught])) if taught else 1.0
     return co_train(taught, [held[i] for i in free if i in held], **options), share

@@ -182,6 +182,12 @@ def _streamed(rows: DataFrame, keys: list[str], fn, names: list[str]) -> DataFra
     return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+def _attach(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows with the whole set of their doc. The condition, which always holds, lets the planner filter the sets by
+    the written rows' ids before they are shuffled."""
+    return cut_lineage(rows).where("role >= 0").join(sets, "doc")
+
+
 def _with_leaders(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b, linked) for members and the leader they meet under a band, if they have half in common."""
     salts = stars.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("salts"))
@@ -189,7 +195,7 @@ def _with_leaders(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     members = stars.select("leader", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), F.lit(1).alias("role"), "doc")
     copies = salts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     leaders = copies.select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("doc"))
-    rows = members.union(leaders).join(sets, "doc").select("leader", "salt", "role", "doc", "shingles")
+    rows = _attach(members.union(leaders), sets).select("leader", "salt", "role", "doc", "shingles")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         lead, at = np.empty(0, _U), None
@@ -213,7 +219,7 @@ def _open_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, per
     queries = candidates.join(last, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("piece"), F.lit(1).alias("role"), "doc").join(own, "doc")
     inside = members.join(candidates.select("grp").distinct(), "grp", "left_semi").select("grp", "piece", F.lit(0).alias("role"), "doc", "size", "component")
     columns = ["grp", "piece", "role", "doc", "size", "component"]
-    rows = queries.select(*columns).union(inside.select(*columns)).join(sets, "doc").select(*columns, "shingles")
+    rows = _attach(queries.select(*columns).union(inside.select(*columns)), sets).select(*columns, "shingles")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         at, held, union = None, [], None
