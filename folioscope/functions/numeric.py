@@ -8,10 +8,10 @@ from folioscope.functions.text import as_col
 
 
 def percent(numerator: Column | str, denominator: Column | str) -> Column:
-    """100*n/d to two places; 0.0 when d is 0 or missing."""
+    """100*n/d to two places, half-even; 0.0 when d is 0 or missing."""
     n = F.coalesce(as_col(numerator), F.lit(0)).cast("double")
     d = F.coalesce(as_col(denominator), F.lit(0)).cast("double")
-    return F.coalesce(F.round(F.try_divide(n * 100, d), 2), F.lit(0.0))
+    return F.coalesce(F.bround(F.try_divide(n * 100, d), 2), F.lit(0.0))
 
 
 def whole(c: Column | str) -> Column:

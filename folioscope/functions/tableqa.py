@@ -33,14 +33,21 @@ def arithmetic(operands: Column | str, operation: Column | str) -> Column:
     two = F.size(xs) >= 2
     divisible = two & (second != 0)
     return F.when(F.size(xs) > 0, F.when((op == "subtract") & two, first - second)
-        .when((op == "percent_change") & divisible, F.round(F.try_divide(first - second, second) * 100, 2))
+        .when((op == "percent_change") & divisible, F.bround(F.try_divide(first - second, second) * 100, 2))
         .when(op == "sum", total)
-        .when(op == "average", F.round(F.try_divide(total, F.size(xs)), 2))
-        .when((op == "divide") & divisible, F.round(F.try_divide(first, second), 4))
+        .when(op == "average", F.bround(F.try_divide(total, F.size(xs)), 2))
+        .when((op == "divide") & divisible, F.bround(F.try_divide(first, second), 4))
         .when(op == "multiply", product)
         .otherwise(first))
 
 
+def _plain(value: Column) -> Column:
+    """A double without an exponent, with one decimal place at least."""
+    digits = F.regexp_replace(value.cast("decimal(38,12)").cast("string"), r"(\.\d+?)0+$", "$1")
+    written = value.cast("string")
+    return F.when(written.contains("E"), F.coalesce(digits, written)).otherwise(written)
+
+
 def answer_by_kind(kind: Column | str, spans: Column | str, operands: Column | str, operation: Column | str) -> Column:
     """count -> number of spans; span(s) -> the spans; arithmetic -> the computed value."""
     k = as_col(kind)
@@ -49,5 +56,5 @@ def answer_by_kind(kind: Column | str, spans: Column | str, operands: Column | s
     return (
         F.when(k == "count", F.array(F.size(listed).cast("string")))
         .when(k.isin("span", "multi-span"), listed)
-        .when((k == "arithmetic") & value.isNotNull(), F.array(value.cast("string")))
+        .when((k == "arithmetic") & value.isNotNull(), F.array(_plain(value)))
     )

@@ -88,24 +88,29 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
 
     known_client, known_engineer = F.col("client_name").isNotNull(), F.col("engineer").isNotNull()
     total = F.col("client_total")
+
+    def of_client(value: Column) -> Column:
+        """A known client without such facts has 0; only an unknown one has no answer."""
+        return F.when(known_client, F.coalesce(value, F.lit(0)))
+
     by_shape = {
-        "absence": F.col("absence"),
-        "referenced_share": F.col("referenced_share"),
+        "absence": of_client(F.col("absence")),
+        "referenced_share": of_client(F.col("referenced_share")),
         "date_span": F.abs(F.datediff("completion_date", "issued")),
         "distinct_count": F.when(known_engineer, F.coalesce("distinct_count", F.lit(0))),
-        "hop_aggregate": F.when(known_client, total).otherwise(F.col("engineer_total")),
-        "avg_work_size": F.col("avg_work_size"),
-        "mean_vs_median": F.col("mean_vs_median"),
-        "rank_value": F.col("rank_value"),
+        "hop_aggregate": F.when(known_client, of_client(total)).otherwise(F.col("engineer_total")),
+        "avg_work_size": of_client(F.col("avg_work_size")),
+        "mean_vs_median": of_client(F.col("mean_vs_median")),
+        "rank_value": of_client(F.col("rank_value")),
         # Without a readable bar every work counts.
-        "threshold_aggregate": F.when(F.col("bar").isNotNull(), F.col("total_at_or_above")).otherwise(total),
+        "threshold_aggregate": of_client(F.when(F.col("bar").isNotNull(), F.col("total_at_or_above")).otherwise(total)),
         "gap_to_threshold": F.when(known_client, F.coalesce("bar", F.lit(0)) - F.coalesce(total, F.lit(0))),
         # A category the client has no works in excludes nothing.
-        "exclusion_aggregate": F.coalesce("exclusion_total", "client_total"),
-        "temporal_chain": F.col("total_after"),
-        "billing_shortfall": F.col("billing_shortfall"),
-        "outstanding_balance": F.col("outstanding_balance"),
-        "collection_rate": F.col("collection_rate"),
+        "exclusion_aggregate": of_client(F.coalesce("exclusion_total", "client_total")),
+        "temporal_chain": F.when(known_engineer & F.col("start").isNotNull(), F.coalesce("total_after", F.lit(0))),
+        "billing_shortfall": of_client(F.col("billing_shortfall")),
+        "outstanding_balance": of_client(F.col("outstanding_balance")),
+        "collection_rate": of_client(F.col("collection_rate")),
         "category_diff": F.when(
             known_client & F.col("category_2").isNotNull(), gap("category_total_1", "category_total_2")
         ),
@@ -120,7 +125,7 @@ def answer_questions(linked: DataFrame, works: DataFrame, receivables: DataFrame
 def shape_results(df: DataFrame) -> DataFrame:
     """Round by unit, and give money questions worded as a difference without their sign."""
     value, kind = F.col("answer"), F.col("answer_type")
-    rounded = F.when(kind == "percent", F.round(value, 2)).otherwise(F.bround(value, 0)).cast(ANSWER)
+    rounded = F.when(kind == "percent", F.bround(value, 2)).otherwise(F.bround(value, 0)).cast(ANSWER)
     unsigned = (kind == "money") & F.col("is_difference")
     return (
         tag(df, "question", {"is_difference": PHRASE_TAGS["is_difference"]})

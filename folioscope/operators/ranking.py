@@ -14,7 +14,15 @@ SALTS = 16
 
 
 def _bucket(value: Column, width: int) -> Column:
-    return F.floor(value / F.lit(width)).cast("bigint")
+    """Missing values share the lowest bucket, so they rank last."""
+    return F.coalesce(F.floor(value / F.lit(width)).cast("bigint"), F.lit(-(1 << 62)))
+
+
+def _join_null_safe(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join on equal columns in which NULL equals NULL; the rows' own columns stay."""
+    side = side.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [rows[c].eqNullSafe(side[f"_on_{c}"]) for c in on]
+    return rows.join(side, same).drop(*[f"_on_{c}" for c in on])
 
 
 def _bucket_offsets(per_bucket: DataFrame, keys: list[str], measure: str) -> DataFrame:
@@ -30,14 +38,16 @@ def _bucket_offsets(per_bucket: DataFrame, keys: list[str], measure: str) -> Dat
 def rank_descending(
     df: DataFrame, keys: list[str], value: str, tie: str, rank: str = "rank", width: int = BUCKET_WIDTH
 ) -> DataFrame:
-    """Row number within ``keys`` by ``value`` descending, then ``tie`` ascending."""
+    """Row number within ``keys`` by ``value`` descending, then ``tie`` ascending.
+
+    Rows without a value rank last; rows without a key are a group of their own.
+    """
     rows = df.withColumn("_bucket", _bucket(F.col(value), width))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
     offsets = _bucket_offsets(counts, keys, "_n")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(value), F.asc(tie))
     return (
-        rows.withColumn("_rn", F.row_number().over(inside))
-        .join(offsets, [*keys, "_bucket"])
+        _join_null_safe(rows.withColumn("_rn", F.row_number().over(inside)), offsets, [*keys, "_bucket"])
         .withColumn(rank, F.col("_rn") + F.col("_offset"))
         .drop("_bucket", "_rn", "_offset")
     )
@@ -83,7 +93,7 @@ def sum_at_or_above(
 
 
 def sum_after(facts: DataFrame, starts: DataFrame, key: str, on: str, value: str, start: str) -> DataFrame:
-    """For every distinct (key, start date): the sum of ``value`` over rows dated strictly later.
+    """For every distinct (key, start date): the sum of ``value`` over rows dated strictly later, 0 without any.
 
     Facts are pre-aggregated per (key, day), so a key never has more points than the calendar
     has days, plus the distinct start days asked for.
@@ -109,7 +119,7 @@ def sum_after(facts: DataFrame, starts: DataFrame, key: str, on: str, value: str
         days.unionByName(wanted)
         .withColumn("_run", F.sum("_sum").over(later))
         .filter(F.col("_is_start") == 1)
-        .select(F.col("_key").alias(key), F.col("_at").alias(start), F.col("_run").alias("total_after"))
+        .select(F.col("_key").alias(key), F.col("_at").alias(start), F.coalesce("_run", F.lit(0)).alias("total_after"))
     )
 
 
@@ -128,9 +138,9 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
     salted = brackets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     inside = (F.col("_v") >= F.col("_b")[0]) & (F.col("_v") <= F.col("_b")[1])
     # One aggregation serves both counts: everything below the bracket collapses into NULL.
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
     counted = (
-        rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-        .join(salted, [*keys, "_salt"])
+        _join_null_safe(spread, salted, [*keys, "_salt"])
         .filter(F.col("_v") <= F.col("_b")[1])
         .groupBy(*keys, F.when(inside, F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("_c"), F.first("n").alias("n"))

@@ -164,12 +164,12 @@ def resolve_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {r.client_questions_sql()},
-        named AS (SELECT qid, entity, template FROM client_questions WHERE template <> 13)
+        named AS (SELECT qid, entity FROM client_questions)
         SELECT qid, c_name AS matched, 'exact' AS method FROM named JOIN customer ON c_custkey = entity"""
 )
 def client_resolve(spark: SparkSession, sf: str) -> DataFrame:
     """Client names in rendered questions against the live client catalog."""
-    asked = r.client_questions(spark, sf).filter("template <> 13")
+    asked = r.client_questions(spark, sf)
     names = merge.catalog(v.table(spark, sf, "customer"), "c_name", "c_custkey")
     return rs.resolve(asked, names, "c_name").select("qid", "matched", "method")
 
@@ -284,7 +284,7 @@ def _answers_sql() -> str:
     year = f"year(completion_date + INTERVAL {v.WORK_SHIFT_YEARS} YEAR)"
     done = f"CAST(completion_date + INTERVAL {v.WORK_SHIFT_YEARS} YEAR AS DATE)"
     per_client = f"""SELECT client_name AS ck, awarded AS t4, CAST(n_works - n_referenced AS DOUBLE) AS t1,
-               round(100.0 * n_referenced / n_works, 2) AS t2, round_even(mean_value, 0) AS t5,
+               round_even(CAST(100.0 * n_referenced / n_works AS DOUBLE), 2) AS t2, round_even(mean_value, 0) AS t5,
                abs(round_even(mean_value - median_value, 0)) AS t6 FROM work_stats"""
     conditional = f"""SELECT client_name AS ck,
                sum(value_inr) FILTER (WHERE value_inr >= 20000000) AS t8,
@@ -298,14 +298,14 @@ def _answers_sql() -> str:
         FROM (SELECT *, row_number() OVER (PARTITION BY client_name ORDER BY value_inr DESC, work_id) AS rn FROM works)
         GROUP BY client_name"""
     engineer = f"""SELECT l.lead_id AS ek, count(DISTINCT category) AS t21,
-               sum(value_inr) FILTER (WHERE {done} > issued) AS t22,
+               CASE WHEN any_value(issued) IS NOT NULL THEN coalesce(sum(value_inr) FILTER (WHERE {done} > issued), 0) END AS t22,
                any_value(abs(date_diff('day', issued, fw_done))) AS t23
         FROM leads l JOIN works w ON w.work_id = l.work_id
         JOIN ({FIRST_WORK_SQL}) fw ON fw.lead_id = l.lead_id
         JOIN (SELECT work_id AS fw_id, {done} AS fw_done FROM works) d ON d.fw_id = fw.first_work
         LEFT JOIN ({FIRST_CERT_SQL}) c ON c.person = l.lead_id GROUP BY l.lead_id"""
     case_client = """CASE t WHEN 1 THEN coalesce(t1, 0) WHEN 2 THEN t2
-        WHEN 3 THEN CASE WHEN invoiced > 0 THEN round(100.0 * received / invoiced, 2) ELSE 0 END
+        WHEN 3 THEN CASE WHEN invoiced > 0 THEN round_even(CAST(100.0 * received / invoiced AS DOUBLE), 2) ELSE 0 END
         WHEN 4 THEN t4 WHEN 5 THEN t5 WHEN 6 THEN t6 WHEN 7 THEN t7 WHEN 8 THEN coalesce(t8, 0)
         WHEN 9 THEN 200000000 - coalesce(t4, 0) WHEN 10 THEN t10
         WHEN 11 THEN abs(coalesce(t4, 0) - coalesce(invoiced, 0)) WHEN 12 THEN coalesce(outstanding, 0)
@@ -316,8 +316,7 @@ def _answers_sql() -> str:
         pc AS ({per_client}), cc AS ({conditional}), en AS ({engineer})
         SELECT concat('c-', c_custkey, '-', t) AS qid,
                CASE WHEN t = 13 AND quirk THEN 'hop_aggregate' ELSE shape END AS shape,
-               CAST(CASE WHEN known THEN {case_client} WHEN t = 9 THEN 200000000
-                         WHEN t IN (8, 13, 14) AND NOT (t = 13 AND quirk) THEN 0 END AS DOUBLE) AS answer
+               CAST(CASE WHEN known THEN coalesce({case_client}, 0) WHEN t = 9 THEN 200000000 ELSE 0 END AS DOUBLE) AS answer
         FROM (SELECT q.*, pc.*, cc.*, b.*, pc.ck IS NOT NULL OR b.client_name IS NOT NULL AS known
               FROM q LEFT JOIN pc ON pc.ck = c_custkey LEFT JOIN cc ON cc.ck = c_custkey
               LEFT JOIN bill_stats b ON b.client_name = c_custkey)

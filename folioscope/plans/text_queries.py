@@ -512,9 +512,9 @@ def record_merge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     """SELECT o_orderkey AS id, CASE o_orderkey % 6
-              WHEN 0 THEN a - b WHEN 1 THEN CASE WHEN b <> 0 THEN round((a - b) / b * 100, 2) ELSE a END
-              WHEN 2 THEN a + b + c WHEN 3 THEN round((a + b + c) / 3, 2)
-              WHEN 4 THEN CASE WHEN b <> 0 THEN round(a / b, 4) ELSE a END ELSE a * b * c END AS result,
+              WHEN 0 THEN a - b WHEN 1 THEN CASE WHEN b <> 0 THEN round_even((a - b) / b * 100, 2) ELSE a END
+              WHEN 2 THEN a + b + c WHEN 3 THEN round_even((a + b + c) / 3, 2)
+              WHEN 4 THEN CASE WHEN b <> 0 THEN round_even(a / b, 4) ELSE a END ELSE a * b * c END AS result,
               CASE WHEN o_orderkey % 2 = 0 THEN '2' ELSE o_orderstatus END AS answer
        FROM (SELECT *, CAST(o_custkey AS DOUBLE) AS a, CAST(o_orderkey % 7 AS DOUBLE) AS b, 3.0::DOUBLE AS c FROM orders)"""
 )

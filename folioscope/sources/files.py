@@ -46,7 +46,8 @@ def classify_documents(docs: DataFrame, index: DataFrame | None = None, page1: s
     by_content = classify_pages(docs.select("doc_id", page1), page1, "content_cls").select("doc_id", "content_cls")
     if index is None:
         return by_content.withColumnRenamed("content_cls", "cls")
-    listed = index.select("doc_id", "cls").dropDuplicates(["doc_id"])
+    # Of several index lines for a document the one with the first class by name counts.
+    listed = index.groupBy("doc_id").agg(F.min("cls").alias("cls"))
     return by_content.join(listed, "doc_id", "left").select("doc_id", F.coalesce("cls", "content_cls").alias("cls"))
 
 

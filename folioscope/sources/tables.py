@@ -8,7 +8,7 @@ SQL_FUNCTIONS = [
     "CREATE OR REPLACE TEMPORARY FUNCTION DAYS_BETWEEN(a STRING, b STRING) RETURNS INT RETURN "
     "coalesce(abs(datediff(try_cast(substr(b, 1, 10) AS DATE), try_cast(substr(a, 1, 10) AS DATE))), 0)",
     "CREATE OR REPLACE TEMPORARY FUNCTION PERCENT(n DOUBLE, d DOUBLE) RETURNS DOUBLE RETURN "
-    "coalesce(round(try_divide(coalesce(n, 0) * 100, coalesce(d, 0)), 2), 0)",
+    "coalesce(bround(try_divide(coalesce(n, 0) * 100, coalesce(d, 0)), 2), 0)",
 ]
 
 

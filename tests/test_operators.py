@@ -466,3 +466,12 @@ def test_title_overlap_matches_brute_force(spark):
             if score <= -2:
                 expected.append((q, lead, doc, -score))
     assert pairs(best, "qid", "lead", "doc_id", "score") == sorted(expected)
+
+
+def test_ranks_and_medians_keep_missing_keys_and_values(spark):
+    rows = [("a", 5, 1), ("a", None, 2), (None, 7, 3), (None, 9, 4), ("a", 2_000_000, 5)]
+    df = spark.createDataFrame(rows, "k string, v long, id long")
+    got = {r["id"]: r["rank"] for r in ranking.rank_descending(df, ["k"], "v", "id").collect()}
+    assert got == {5: 1, 1: 2, 2: 3, 4: 1, 3: 2}
+    medians = {r["k"]: (r["n"], r["median"]) for r in ranking.exact_median(df, ["k"], "v").collect()}
+    assert medians == {"a": (2, 1_000_002.5), None: (2, 8.0)}
