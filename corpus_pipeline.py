@@ -43,8 +43,7 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: ids of every row, and the digests of ids and decoded bytes."""
     settings(spark)
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    decoded = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)
-    return bpe.digest(decoded, "ids")
+    return bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN), "ids")
 
 
 STAGES = [

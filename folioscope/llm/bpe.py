@@ -127,20 +127,25 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     return map_pieces(source, "text", task, "doc_id long, ids binary")
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """The bytes the ids stand for: (doc_id, ids, decoded binary)."""
-    ranks = read_ranks(path)
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
     for token, rank in ranks.items():
         tokens[rank] = token
-    shared = encoded.sparkSession.sparkContext.broadcast(tokens)
+    return tokens
+
+
+def _plain(ids: bytes, tokens: list[bytes]) -> bytes:
+    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
-    def task():
-        token = shared.value.__getitem__
 
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """The bytes the ids stand for: (doc_id, ids, decoded binary)."""
+    shared = encoded.sparkSession.sparkContext.broadcast(_tokens(read_ranks(path)))
+
+    def task():
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
             ids = piece.column("ids")
-            plain = [b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in ids.to_pylist()]
+            plain = [_plain(x, shared.value) for x in ids.to_pylist()]
             return pa.record_batch([piece.column("doc_id"), ids, pa.array(plain, pa.binary())], ["doc_id", "ids", "decoded"])
 
         return step
@@ -148,6 +153,25 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return map_pieces(encoded.select("doc_id", "ids"), "ids", task, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """:func:`decode` of :func:`encode` in one pass, so that a task needs one Python process: (doc_id, ids, decoded)."""
+    ranks = read_ranks(path)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks), _tokens(ranks)))
+
+    def task():
+        encoder, tokens = Encoder(*shared.value[:2], pattern), shared.value[2]
+
+        def step(piece: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [encoder.text(t or "") for t in piece.column("text").to_pylist()]
+            plain = [_plain(x, tokens) for x in ids]
+            return pa.record_batch([piece.column("doc_id"), pa.array(ids, pa.binary()), pa.array(plain, pa.binary())], ["doc_id", "ids", "decoded"])
+
+        return step
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_pieces(source, "text", task, "doc_id long, ids binary, decoded binary")
+
+
 def digest(decoded: DataFrame, *more: str) -> DataFrame:
     """Counts and SHA-256 sums of ids and decoded bytes per row, and more of its columns."""
     return decoded.select(

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of variable-length data a Python step holds of its input at once, besides the row at hand.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 #: Settings for Arrow batches between the JVM and Python; they bound memory and change no result.
 ARROW_CONF = {
@@ -91,5 +91,6 @@ def map_pieces(
         step = fn()
         for piece in pieces(batches, column):
             yield step(piece)
+        pa.default_memory_pool().release_unused()  # the worker is kept for other tasks
 
     return df.mapInArrow(run, schema)

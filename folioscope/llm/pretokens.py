@@ -17,7 +17,7 @@ import regex
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
 #: Texts of segments kept per task, and the longest that is kept; both only bound memory.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 80_000
 CACHE_CHARS = 128
 
 

@@ -52,7 +52,7 @@ def op9_arrow_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path))
+    return bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
 QUERIES = {"op1_flat_graph": op1_flat_graph, "op2_mixing": op2_mixing, "op3_multiprobe": op3_multiprobe, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes hashed at once; bounds the temporary arrays (about 80 bytes each) whatever the text's length.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 18
 
 _U = np.uint64
 

@@ -378,6 +378,8 @@ def test_byte_level_bpe(docs, empty):
         want[i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()] += 1
     rows = bpe.digest(bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN), path)).collect()
     assert collections.Counter(tuple(r) for r in rows) == want
+    rows = bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN)).collect()
+    assert collections.Counter(tuple(r) for r in rows) == want
     assert bpe.encode(empty, path, public_tokenizers.PATTERN).count() == 0
 
 
