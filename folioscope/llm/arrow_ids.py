@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm.common import pieces
-from folioscope.llm.pretokens import CACHE_CHARS, CACHE_ENTRIES, Splitter
+from folioscope.llm.pretokens import CACHE_CHARS, Splitter
 from folioscope.session import cut_lineage, shared_folder
 
 #: Ids a file holds before the next one is begun, and sequences in one record batch.
@@ -58,11 +58,8 @@ class LibraryEncoder:
                 head, *rest = line.split(" ")
                 first[head] = spaced.update(dict.fromkeys(rest))
         for known, new in ((self.splitter.first, first), (self.splitter.spaced, spaced)):
-            missing = [s for s in new if s not in known and len(s) <= CACHE_CHARS]
-            if len(known) + len(missing) > 2 * CACHE_ENTRIES:
-                known.clear()
-                missing = [s for s in new if len(s) <= CACHE_CHARS]
-            known.update(zip(missing, self.batch([known.lead + s for s in missing]), strict=True))
+            missing = [s for s in new if s not in known and s not in known.old and len(s) <= CACHE_CHARS]
+            known.keep(dict(zip(missing, self.batch([known.lead + s for s in missing]), strict=True)))
 
 
 def _schema(length: int, dtype: str) -> pa.Schema:

@@ -16,8 +16,8 @@ import regex
 #: White space that is not one space or line feed between two words.
 _IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
 
-#: Texts of segments kept per task, and the longest that is kept; both only bound memory.
-CACHE_ENTRIES = 80_000
+#: Segments kept in each of two generations, and the longest that is kept; both only bound memory.
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 128
 
 
@@ -26,16 +26,23 @@ class Segments(dict):
 
     def __init__(self, encode: Callable[[str], bytes], lead: str = "") -> None:
         super().__init__()
-        self.encode, self.lead = encode, lead
+        self.encode, self.lead, self.old = encode, lead, {}
 
     def __missing__(self, segment: str) -> bytes:
-        ids = self.encode(self.lead + segment)
+        ids = self.old.get(segment)
+        if ids is None:
+            ids = self.encode(self.lead + segment)
         if len(segment) <= CACHE_CHARS:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[segment] = ids
+            self.keep({segment: ids})
         return ids
 
+    def keep(self, more: dict[str, bytes]) -> None:
+        """Add segments; a full generation becomes the old one, so that frequent ones move on."""
+        if len(self) + len(more) > CACHE_ENTRIES:
+            self.old = dict(self)
+            self.clear()
+        self.update(more)
+
 
 class Splitter:
     """Whole texts to the bytes of their ids, through the ids of their segments."""
