@@ -200,9 +200,14 @@ def nearest(embeddings: DataFrame, queries, k: int = 10, recall: float = 0.97) -
         out: list[tuple] = []
 
         def send() -> pa.RecordBatch:
-            batch = pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "vec_id", "score"])
+            q, v, d = (np.concatenate(c) for c in zip(*out, strict=True))
             out.clear()
-            return batch
+            order = np.lexsort((v, d, q))  # of what a query found in this task's buckets, its k nearest go on
+            q, v, d = q[order], v[order], d[order]
+            new = np.r_[True, (q[1:] != q[:-1]) | (v[1:] != v[:-1])] if len(q) else np.zeros(0, bool)
+            q, v, d = q[new], v[new], d[new]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (q, v, d)], ["query_id", "vec_id", "score"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in columns[:4]), strict=True))
@@ -219,14 +224,14 @@ def nearest(embeddings: DataFrame, queries, k: int = 10, recall: float = 0.97) -
                 if len(stacked[0]):
                     near, far = _nearest(stacked[1], stacked[0], vectors[i], own[i], k)
                     out.append((np.full(len(near), own[i]), near, far))
-                if len(out) >= 500:
+                if len(out) >= 20_000:
                     yield send()
         if out:
             yield send()
 
     ordered = both.repartition("table", "bucket", "piece").sortWithinPartitions("table", "bucket", "piece", "role")
     found = ordered.mapInArrow(rank_bucket, "query_id long, vec_id long, score double")
-    # At most k rows come from each bucket a query visits.
+    # At most k rows come from each task for a query and 20,000 visits.
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return merged.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
