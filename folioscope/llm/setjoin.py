@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from folioscope.llm import words as w
@@ -86,7 +87,7 @@ def _sketch(source: DataFrame, k: int) -> np.ndarray:
                 held, size = [], 0
         if held:
             total += np.bincount(np.concatenate(held), minlength=COUNTERS)
-        yield from blobs(total, hash(batches) % 64)
+        yield from blobs(total, TaskContext.get().partitionId() % 64)  # the same when a task is repeated
 
     def blobs(total: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
         parts = total.astype("<i8").reshape(CHUNKS, -1)
