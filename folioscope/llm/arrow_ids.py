@@ -13,6 +13,7 @@ ids are the end id alone); rows with the same doc_id stay in the order of their
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,6 +30,8 @@ from folioscope.llm.common import pieces
 from folioscope.llm.pretokens import CACHE_CHARS, Splitter
 from folioscope.session import cut_lineage, shared_folder
 
+#: How byte-level vocabularies write a space, and unknown words encoded in one call.
+SPACE, LINE_WORDS = "\u0120", 2000
 #: Ids a file holds before the next one is begun, and sequences in one record batch.
 FILE_IDS = 32 << 20
 BATCH_SEQUENCES = 64
@@ -38,28 +41,58 @@ class LibraryEncoder:
     """The tokenizers library over distinct segments: what it has encoded once is remembered."""
 
     def __init__(self, model: str, pattern: str, dtype: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = dtype
         self.splitter = Splitter(pattern, self.one)
+        vocabulary = self.tokenizer.get_vocab()
+        #: By id: whether the token begins with a space, as only the first token of a spaced word does.
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
 
-    def one(self, segment: str) -> bytes:
-        return self.batch([segment])[0]
-
-    def batch(self, segments: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in encoded]
+    def ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode in one call all segments of the texts that are not known yet."""
-        first, spaced = {}, {}
+    def one(self, segment: str) -> bytes:
+        return self.ids(segment).tobytes()
+
+    def spaced_words(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word with a space before it, encoded as one line and cut where a token begins with a space."""
+        for at in range(0, len(words), LINE_WORDS):
+            line = words[at : at + LINE_WORDS]
+            ids = self.ids(" " + " ".join(line))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(line):
+                yield from (self.one(" " + w) for w in line)
+                continue
+            raw, size = ids.tobytes(), ids.itemsize
+            bounds = [*(starts * size).tolist(), len(raw)]
+            yield from (raw[i:j] for i, j in zip(bounds, bounds[1:]))
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text. Words that are not known yet are encoded together first."""
+        cut: list[list[tuple[str, list[str]]] | None] = []
+        new: set[str] = set()
         for text in texts:
-            for line in self.splitter.split(text) or ():
-                head, *rest = line.split(" ")
-                first[head] = spaced.update(dict.fromkeys(rest))
-        for known, new in ((self.splitter.first, first), (self.splitter.spaced, spaced)):
-            missing = [s for s in new if s not in known and s not in known.old and len(s) <= CACHE_CHARS]
-            known.keep(dict(zip(missing, self.batch([known.lead + s for s in missing]), strict=True)))
+            lines = self.splitter.split(text) if text else None
+            cut.append(lines and [(line[0], line[1:]) for line in (x.split(" ") for x in lines)])
+            for _, rest in cut[-1] or ():
+                new.update(rest)
+        first, spaced = self.splitter.first, self.splitter.spaced
+        missing = [w for w in new.difference(spaced) if w not in spaced.old and len(w) <= CACHE_CHARS]
+        spaced.keep(dict(zip(missing, self.spaced_words(missing), strict=True)))
+        for text, lines in zip(texts, cut, strict=True):
+            if lines is None:
+                yield self.splitter(text)
+                continue
+            out: list[bytes] = []
+            for head, rest in lines:
+                if out:
+                    out.append(first["\n"])
+                out.append(first[head])
+                out.extend(map(spaced.__getitem__, rest))
+            yield b"".join(out)
 
 
 def _schema(length: int, dtype: str) -> pa.Schema:
@@ -142,10 +175,9 @@ def write_files(
         file: _File | None = None
         for piece in pieces(batches, "text"):
             ids, texts = piece.column("doc_id").to_pylist(), [t or "" for t in piece.column("text").to_pylist()]
-            encoder.learn(texts)
-            for doc_id, text in zip(ids, texts, strict=True):
+            for doc_id, raw in zip(ids, encoder.texts(texts), strict=True):
                 file = file or _File(root, f"{name}-{len(done)}", length, dtype)
-                file.add(doc_id, np.concatenate([np.frombuffer(encoder.splitter(text), dtype), end]))
+                file.add(doc_id, np.concatenate([np.frombuffer(raw, dtype), end]))
                 if file.n_ids >= FILE_IDS:
                     done.append((part, len(done), *file.close()))
                     file = None

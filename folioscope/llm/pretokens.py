@@ -14,7 +14,7 @@ from collections.abc import Callable
 import regex
 
 #: White space that is not one space or line feed between two words.
-_IRREGULAR = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]")
+_IRREGULAR = re.compile(r"\s(?:(?<![ \n])|(?=\s)|\Z|(?<=\A\s))")
 
 #: Segments kept in each of two generations, and the longest that is kept; both only bound memory.
 CACHE_ENTRIES = 150_000
