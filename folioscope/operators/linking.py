@@ -80,19 +80,20 @@ def title_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def title_overlap(
-    word_hits: DataFrame, pairs: DataFrame, group_words: DataFrame, own_words: DataFrame
+    word_hits: DataFrame, pairs: DataFrame, group_words: DataFrame, own_words: DataFrame, by: str = "lead"
 ) -> DataFrame:
     """Works whose titles share two or more words with the text: (qid, lead, doc_id, score).
 
-    ``pairs``: (qid, lead) to examine. ``word_hits``: (qid, word), the title words each text
-    contains, also inside longer words. Of a group's works without words of their own in the
-    text only the smallest doc_id is returned; the others score the same and come after it.
+    ``pairs``: (qid, lead) to examine; ``by`` names another column that both they and the titles
+    have instead. ``word_hits``: (qid, word), the title words each text contains, also inside
+    longer words. Of a group's works without words of their own in the text only the smallest
+    doc_id is returned; the others score the same and come after it.
     """
-    asked = pairs.select("qid", "lead").join(word_hits, "qid")
-    by_group = asked.join(group_words, ["lead", "word"]).groupBy("qid", "lead", "group_doc").agg(
+    asked = pairs.select("qid", by).join(word_hits, "qid")
+    by_group = asked.join(group_words, [by, "word"]).groupBy("qid", "lead", "group_doc").agg(
         F.sum("weight").alias("score")
     )
-    own = asked.join(own_words, ["lead", "word"]).groupBy("qid", "lead", "group_doc", "doc_id").agg(
+    own = asked.join(own_words, [by, "word"]).groupBy("qid", "lead", "group_doc", "doc_id").agg(
         F.sum("weight").alias("own")
     )
     with_own = own.join(by_group, ["qid", "lead", "group_doc"], "left").select(
@@ -135,20 +136,22 @@ def engineer_candidates(
     first_hits = bounded_hits.withColumnRenamed("name", "first").join(groups, "first")
     unique = first_hits.filter("n_people = 1")
     # Namesakes: only the first shared first name of a question is examined, and it decides
-    # when the wording fits the works of exactly one bearer.
+    # when the wording fits the works of exactly one bearer. Stronger evidence settles most
+    # questions before; the others meet bearers through title words, never the whole group.
+    settled = full.select("qid").union(alias_hits.select("qid")).union(unique.select("qid"))
     shared = (
         first_hits.filter("n_people > 1")
+        .join(settled, "qid", "left_anti")
         .groupBy("qid")
         .agg(F.min_by("first", "first_emp_id").alias("first"))
-        .join(roster.select(tx.first_name("name").alias("first"), F.col("name").alias("bearer")), "first")
-        .select("qid", "bearer", F.lower("bearer").alias("lead"))
-        .distinct()
     )
+    of_first = [words.withColumn("first", tx.first_name("lead")) for words in titles]
+    bearers = roster.select(F.lower("name").alias("lead"), F.col("name").alias("bearer")).distinct()
     fitting = (
-        title_overlap(word_hits, shared, *titles)
+        title_overlap(word_hits, shared, *of_first, by="first")
         .select("qid", "lead")
         .distinct()
-        .join(shared, ["qid", "lead"])
+        .join(bearers, "lead")
         .groupBy("qid")
         .agg(F.count("*").alias("n"), F.min("bearer").alias("bearer"))
         .filter("n = 1")

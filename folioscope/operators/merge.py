@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from folioscope.functions.text import blank_to_null
 from folioscope.operators.extract import SAME_VALUE_RUPEES
+from folioscope.operators.lookup import left_lookup
 from folioscope.session import cut_lineage
 
 
@@ -65,7 +66,13 @@ def match_letters(letters: DataFrame, works: DataFrame) -> DataFrame:
         F.col("doc_id").alias("matched_project_doc_id"),
         F.col("project_name").alias("matched_project_name"),
     )
-    return letters.join(by_package, F.lower(letters["package_no"]) == by_package["_pkg"], "left").drop("_pkg")
+    return _looked_up(letters, F.lower("package_no"), by_package, "_pkg")
+
+
+def _looked_up(df: DataFrame, key: Column, side: DataFrame, side_key: str) -> DataFrame:
+    """Left join on a text key; rows without one spread by their contents."""
+    keyed = df.withColumns({"_row": F.xxhash64(*df.columns), side_key: key})
+    return left_lookup(keyed, side, [side_key], spread="_row").drop("_row", side_key)
 
 
 def flag_references(works: DataFrame, matched_letters: DataFrame, seq: str = "doc_id") -> DataFrame:
@@ -100,8 +107,7 @@ def engineer_keys(engineers: DataFrame) -> DataFrame:
 def backfill_lead_ids(works: DataFrame, engineers: DataFrame) -> DataFrame:
     """Fill lead_engineer_id by name. One row per name on the right, so works never fan out."""
     ids = engineer_keys(engineers).withColumnRenamed("emp_id", "lead_engineer_id")
-    base = works.drop("lead_engineer_id")
-    return base.join(ids, F.lower(base["lead_engineer"]) == ids["name_key"], "left").drop("name_key")
+    return _looked_up(works.drop("lead_engineer_id"), F.lower("lead_engineer"), ids, "name_key")
 
 
 def canonical_spellings(tables: list[tuple[DataFrame, str]]) -> DataFrame:
@@ -128,7 +134,7 @@ def canonical_spellings(tables: list[tuple[DataFrame, str]]) -> DataFrame:
 
 def apply_canonical(df: DataFrame, name: str, spellings: DataFrame) -> DataFrame:
     columns = df.columns
-    joined = df.join(spellings, F.lower(df[name]) == spellings["key"], "left")
+    joined = _looked_up(df, F.lower(name), spellings.withColumnRenamed("key", "_key"), "_key")
     return joined.withColumn(name, F.coalesce("canonical", name)).select(*columns)
 
 

@@ -40,8 +40,10 @@ def _qualified(scores: DataFrame) -> DataFrame:
 def decide(scores: DataFrame, min_score: float, min_margin: float) -> DataFrame:
     """(qid, name, overlap, frac) -> (qid, matched, confidence, tied), abstaining on close calls.
 
-    Two mergeable aggregations: the leader per question, then everything relative to it.
+    Two mergeable aggregations: the leader per question, then everything relative to it. Names
+    are gathered for the questions that end in a tie only.
     """
+    scores = cut_lineage(scores)
     rank = F.struct("overlap", "frac")
     leaders = scores.groupBy("qid").agg(F.max(F.struct("overlap", "frac", "name")).alias("top"))
     top_overlap, top_frac = F.col("top.overlap"), F.col("top.frac")
@@ -55,21 +57,22 @@ def decide(scores: DataFrame, min_score: float, min_margin: float) -> DataFrame:
             F.first("top").alias("top"),
             F.count_if(same).alias("n_same"),
             F.max(F.when(others, rank)).alias("runner"),
-            F.array_sort(F.collect_set(F.when(same, F.col("name")))).alias("same_names"),
-            F.array_sort(F.collect_set(F.when(near, F.col("name")))).alias("near_names"),
         )
     )
     margin = top_frac - F.coalesce(F.col("runner.frac"), F.lit(0.0))
-    tie = (
-        F.when(F.col("n_same") >= 2, F.col("same_names"))
-        .when(margin < min_margin, F.col("near_names"))
-        .otherwise(F.array().cast("array<string>"))
+    settled = (F.col("n_same") < 2) & (margin >= min_margin)
+    judged = cut_lineage(summary.select("qid", "top", "n_same", settled.alias("settled")))
+    ties = (
+        scores.join(judged.filter("not settled"), "qid")
+        .filter(F.when(F.col("n_same") >= 2, same).otherwise(near))
+        .groupBy("qid")
+        .agg(F.array_sort(F.collect_set("name")).alias("tied"))
     )
-    return summary.select(
+    return judged.join(ties, "qid", "left").select(
         "qid",
-        F.when((F.col("n_same") < 2) & (margin >= min_margin), F.col("top.name")).alias("matched"),
+        F.when(F.col("settled"), F.col("top.name")).alias("matched"),
         top_frac.alias("confidence"),
-        tie.alias("tied"),
+        F.coalesce("tied", F.array().cast("array<string>")).alias("tied"),
     )
 
 
@@ -157,20 +160,21 @@ def narrow_ties(hits: DataFrame, asked: DataFrame) -> DataFrame:
 
 def _settle(hits: DataFrame, asked_words: DataFrame, method: str) -> DataFrame:
     """Hits of one tier -> one row per question that had any."""
-    grouped = hits.groupBy("qid").agg(
-        F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names")
-    )
+    grouped = hits.groupBy("qid").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
     several = hits.join(grouped.filter("n > 1").select("qid"), "qid", "left_semi")
     narrowed = narrow_ties(several, asked_words).select(
         "qid", F.col("matched").alias("narrowed"), F.col("confidence").alias("narrowed_confidence")
     )
+    narrowed = cut_lineage(narrowed)
+    # Names are gathered for questions that stay tied only.
+    ties = several.join(narrowed, "qid", "left_anti").groupBy("qid").agg(F.array_sort(F.collect_set("name")).alias("names"))
     single = F.col("n") == 1
     won = F.col("narrowed").isNotNull()
-    settled = grouped.join(narrowed, "qid", "left").select(
+    settled = grouped.join(narrowed, "qid", "left").join(ties, "qid", "left").select(
         "qid",
-        F.when(single, F.col("names")[0]).otherwise(F.col("narrowed")).alias("matched"),
+        F.when(single, F.col("first_name")).otherwise(F.col("narrowed")).alias("matched"),
         F.when(won, F.col("narrowed_confidence")).otherwise(F.lit(CONFIDENCE[method])).alias("confidence"),
-        F.when(single | won, F.array().cast("array<string>")).otherwise(F.col("names")).alias("tied"),
+        F.coalesce("names", F.array().cast("array<string>")).alias("tied"),
         F.when(won, "fuzzy").otherwise(method).alias("method"),
     )
     return cut_lineage(settled)
@@ -215,7 +219,7 @@ def resolve(
     rest = asked.join(exact.select("qid"), "qid", "left_anti")
     acronym = _settle(cut_lineage(acronym_hits(rest, names)), asked_words, "acronym")
     settled = exact.select("qid").union(acronym.select("qid"))
-    scores = cut_lineage(fuzzy_scores(asked_words.join(settled, "qid", "left_anti"), names))
+    scores = fuzzy_scores(asked_words.join(settled, "qid", "left_anti"), names)
     fuzzy = decide(scores, min_score, min_margin).withColumn("method", F.lit("fuzzy"))
     found = exact.unionByName(acronym).unionByName(fuzzy)
     return questions.select("qid").join(found, "qid", "left").select(

@@ -257,16 +257,16 @@ PERSON = v.person_name_sql("s_suppkey")
 @query(
     f"""SELECT l.work_id, s.emp_id AS lead_engineer_id
         FROM leads l JOIN (SELECT s_suppkey, {PERSON} AS name FROM supplier) n ON n.s_suppkey = l.lead_id
-        LEFT JOIN (SELECT lower({PERSON}) AS k, min(CAST(s_suppkey AS VARCHAR)) AS emp_id
-                   FROM supplier WHERE s_nationkey < 20 GROUP BY 1) s ON s.k = lower(n.name)""",
+        LEFT JOIN (SELECT lower(CASE WHEN s_nationkey < 20 THEN {PERSON} END) AS k, min(CAST(s_suppkey AS VARCHAR)) AS emp_id
+                   FROM supplier GROUP BY 1) s ON s.k = CASE WHEN l.work_id % 11 <> 0 THEN lower(n.name) END""",
     "leads",
 )
 def lead_key_backfill(spark: SparkSession, sf: str) -> DataFrame:
-    """The roster knows only some of the leads; the others keep a NULL id."""
-    roster = v.table(spark, sf, "supplier").filter("s_nationkey < 20").select(
-        F.col("s_suppkey").cast("string").alias("emp_id"), v.person_name("s_suppkey").alias("name")
-    )
-    named = v.leads(spark, sf).select("work_id", F.upper(v.person_name("lead_id")).alias("lead_engineer"))
+    """Some people of the roster and some leads have no name; such works keep a NULL id."""
+    name = F.when(F.col("s_nationkey") < 20, v.person_name("s_suppkey"))
+    roster = v.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("emp_id"), name.alias("name"))
+    lead = F.when(F.col("work_id") % 11 != 0, F.upper(v.person_name("lead_id")))
+    named = v.leads(spark, sf).select("work_id", lead.alias("lead_engineer"))
     return merge.backfill_lead_ids(named, roster).select("work_id", "lead_engineer_id")
 
 
