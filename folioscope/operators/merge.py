@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.text import blank_to_null
 from folioscope.operators.extract import SAME_VALUE_RUPEES
@@ -140,7 +140,8 @@ def apply_canonical(df: DataFrame, name: str, spellings: DataFrame) -> DataFrame
 
 # --- several records of one work -----------------------------------------------------------------
 
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 64
+CELL_BUCKETS = 65_536
 # A step maps a value in [lo, hi] to ``to`` and leaves every other value alone.
 STEP = "struct<lo:bigint,hi:bigint,to:bigint>"
 
@@ -150,10 +151,12 @@ def merge_records(records: DataFrame, key: str = "package_no", seq: str = "seq",
 
     In order of completeness (then ``seq``), each further record replaces the current value when
     it is positive, different and less than SAME_VALUE_RUPEES away. ``seq`` must be a unique
-    integer. The fold is sequential, but the effect of a run of records on any value is a small
-    set of intervals, and such effects compose. Records are therefore folded in chunks of at
-    most ``chunk_rows``, then the chunks' effects in groups of that size, until one effect per
-    key is left, so no task ever holds a key's records as a whole.
+    integer. Only values that lie in one run with the first record's, each less than that far
+    from the next, can ever become current; the other records are left out. The fold is
+    sequential, but the effect of a run of records on any value is a small set of intervals, and
+    such effects compose. Records are therefore folded in chunks of at most ``chunk_rows``, then
+    the chunks' effects in groups of that size, until one effect per key is left. That one
+    grows with the distinct values of the run.
     """
     order = F.struct((-F.col("completeness")).alias("o"), F.col(seq).alias("s"))
     row = F.struct(*records.columns)
@@ -169,7 +172,9 @@ def merge_records(records: DataFrame, key: str = "package_no", seq: str = "seq",
         F.col(seq).cast("bigint").alias("_s"),
         F.col("value_inr").cast("bigint").alias("_v"),
     )
-    effect = _compose_all(rest, chunk_rows)
+    primary = cut_lineage(primary)
+    starts = primary.filter("_row.value_inr is not null").select("_key", F.col("_row.value_inr").cast("bigint").alias("_v"))
+    effect = _compose_all(cut_lineage(_within_reach(rest, starts)), chunk_rows)
     start = F.col("_row.value_inr")
     merged = primary.join(effect, "_key", "left").withColumn(
         "_value",
@@ -188,6 +193,33 @@ def merge_records(records: DataFrame, key: str = "package_no", seq: str = "seq",
     )
 
 
+def _within_reach(rest: DataFrame, starts: DataFrame) -> DataFrame:
+    """Rows of ``rest`` that one run of values joins with their key's start: (_key, _v).
+
+    Values are put in buckets of SAME_VALUE_RUPEES, so neighbours of a run are in the same or in
+    adjacent buckets. Runs of buckets are found inside cells of CELL_BUCKETS, and only those that
+    touch a cell's edge are joined across cells.
+    """
+    bucket = F.floor(F.col("_v") / SAME_VALUE_RUPEES).cast("bigint")
+    cell = F.floor(F.col("_b") / CELL_BUCKETS).cast("bigint")
+    buckets = rest.select("_key", "_v").union(starts).select("_key", bucket.alias("_b")).distinct()
+
+    def joined(runs: DataFrame, *by: str) -> DataFrame:
+        """Adjacent (_lo, _hi) runs of a key become one."""
+        order = Window.partitionBy("_key", *by).orderBy("_lo")
+        begins = F.coalesce((F.col("_lo") > F.lag("_hi").over(order) + 1).cast("int"), F.lit(1))
+        numbered = runs.withColumn("_begins", begins).withColumn("_run", F.sum("_begins").over(order))
+        return numbered.groupBy("_key", *by, "_run").agg(F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi")).select("_key", "_lo", "_hi")
+
+    runs = cut_lineage(joined(buckets.select("_key", cell.alias("_cell"), F.col("_b").alias("_lo"), F.col("_b").alias("_hi")), "_cell"))
+    at_edge = (F.pmod("_lo", F.lit(CELL_BUCKETS)) == 0) | (F.pmod(F.col("_hi") + 1, F.lit(CELL_BUCKETS)) == 0)
+    runs = runs.filter(~at_edge).union(joined(runs.filter(at_edge)))
+    reach = runs.join(starts.select("_key", bucket.alias("_b")), "_key").filter(F.col("_b").between(F.col("_lo"), F.col("_hi")))
+    # One run a key; a hot key's rows can be split over several tasks.
+    reach = cut_lineage(reach.select("_key", "_lo", "_hi"))
+    return rest.join(reach, "_key").filter(bucket.between(F.col("_lo"), F.col("_hi"))).select(*rest.columns)
+
+
 def _follow(steps: Column, nxt: Column) -> Column:
     """The effect of ``steps`` followed by the intervals ``nxt``, as intervals again."""
     def hit(point: Column) -> Column:

@@ -118,6 +118,17 @@ def test_merge_near_and_far_values(spark):
     ]
 
 
+def test_merge_of_far_values_and_runs_over_cell_edges(spark):
+    edge = merge.CELL_BUCKETS * merge.SAME_VALUE_RUPEES
+    rows = [("far", 1, i, 5000 * i + 7) for i in range(20_000)]
+    rows += [("edge", 3, 30_000 + i, edge - 1200 + 600 * i) for i in range(6)] + [("edge", 9, 29_999, edge - 1200)]
+    rows += [("none", 2, 40_000, None), ("none", 1, 40_001, 5), ("zero", 2, 40_002, 0), ("zero", 1, 40_003, 5)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "package_no string, completeness int, seq bigint, value_inr bigint, client_name string")
+    assert pairs(merge.merge_records(df), "package_no", "value_inr") == [
+        ("edge", edge + 1800), ("far", 7), ("none", None), ("zero", 5),
+    ]
+
+
 def test_canonical_spelling_prefers_mixed_case(spark):
     works = spark.createDataFrame([("ACME LTD",), ("Zed",), ("beta",)], "n string")
     ledger = spark.createDataFrame([("Acme Ltd",), ("ZED",), ("Beta",), ("nan",)], "n string")
