@@ -111,6 +111,31 @@ def test_flat_graph_finds_links(spark):
     assert flatgraph.near_duplicates(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_flat_graph_keeps_small_groups_beside_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "SHARD", 4)  # so many shards that small groups fall apart
+    x = np.random.default_rng(4).standard_normal((600, 4))
+    x[400:] = x[400]
+    x = x.astype(np.float32).astype(float)
+    df = settings(spark).createDataFrame([(i, [float(v) for v in r], None) for i, r in enumerate(x)], VECTORS)
+    got = {r["vec_id"]: r["n_links"] for r in flatgraph.near_duplicates(df).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = ((u @ u.T) >= 0.9).sum(1) - 1
+    linked = np.flatnonzero(true[:400])
+    assert np.mean([got[i] / true[i] for i in linked]) >= 0.97 and all(got[i] <= true[i] for i in range(600))
+
+
+def test_every_link_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(flatgraph, "BLOCK", 100)
+    ids, x = usable_vectors()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    df = settings(spark).createDataFrame([(int(i), 1, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, weight long, embedding array<float>")
+    found = flatgraph._every_link(df, flatgraph.centroids(u, 5), 0.9)
+    got = {r["vec_id"]: r["n"] for r in found.groupBy("vec_id").agg(F.sum("links").alias("n")).collect()}
+    u = np.array(x, np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert [got.get(i, 0) for i in range(len(ids))] == (((u @ u.T) >= 0.9).sum(1) - 1).tolist()
+
+
 def test_robust_pruning_and_search_recall():
     _, x = usable_vectors()
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
