@@ -8,7 +8,11 @@ distance, and these are merged over buckets and tables.
 
 The number of probes is fitted: ``AUDIT`` queries get their exact neighbours by a full scan, and the fewest probes are
 taken with which ``recall`` of these lie in visited buckets; if even ``MOST_PROBES`` are too few, the tables get fewer
-hash values. With none there is one bucket, and the search is exact. (Data without near neighbours needs that.)
+hash values. With none there is one bucket, and the search is exact. (Data without near neighbours needs that;
+it compares every query with every vector, and the log says so.)
+
+Queries that met fewer than ``k`` candidates, although there are more, are answered exactly: blocks of ``SHORT`` of them
+pass over all rows.
 
 Equal vectors are candidates through the first ``k + 1`` of their ids only, which is all that an answer can hold.
 Buckets larger than ``PIECE`` are split and their queries sent to every part. Distances are Euclidean in double
@@ -19,8 +23,10 @@ most common and null ids take no part, as query or candidate; rows that repeat a
 from __future__ import annotations
 
 import heapq
+import logging
 import math
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +35,10 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioscope.llm.vectors import against_all, matrix, sample, usable
 from folioscope.session import cut_lineage
 
+log = logging.getLogger(__name__)
+
 TABLES, MOST_PROBES, AUDIT, FIT = 4, 96, 64, 4096
-BUCKET, PIECE = 1024, 4096
+BUCKET, PIECE, SHORT = 1024, 4096, 2048
 
 
 class Tables:
@@ -148,9 +156,44 @@ def _fit(rows: DataFrame, queries: DataFrame, total: int, k: int, recall: float)
         if needed < MOST_PROBES:
             return tables, needed + 1
         hashes -= 1
+    if total > k:
+        log.warning("no hash values reach the recall of %.2f: one bucket, every query is compared with all %d vectors", recall, total)
     return Tables(fitted, 0), 1
 
 
+def _of_all(rows: DataFrame, ids: np.ndarray, x: np.ndarray, k: int) -> DataFrame:
+    """(query_id, vec_id, score): from each task its k nearest of each query, over all rows."""
+    shared = rows.sparkSession.sparkContext.broadcast((ids, x))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, x = shared.value
+        found = [(np.empty(0, np.int64), np.empty(0))] * len(ids)
+        for batch in batches:
+            if batch.num_rows:
+                block_ids, block = batch.column("vec_id").to_numpy(), matrix(batch.column("embedding"))
+                for i, (own, q) in enumerate(zip(ids, x, strict=True)):
+                    v, d = (np.concatenate(c) for c in zip(found[i], _nearest(block, block_ids, q, own, k), strict=True))
+                    first = np.lexsort((v, d))[:k]
+                    found[i] = v[first], d[first]
+        v, d = (np.concatenate(c) for c in zip(*found, strict=True))
+        yield pa.record_batch([pa.array(np.repeat(ids, [len(f[0]) for f in found])), pa.array(v), pa.array(d)], ["query_id", "vec_id", "score"])
+
+    return cut_lineage(rows.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double"))
+
+
+def _completed(found: DataFrame, met: DataFrame, rows: DataFrame, asked: DataFrame, least: int, k: int) -> DataFrame:
+    """``found`` and exact results of the queries that ``met`` fewer than ``least`` candidates."""
+    met = met.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("met"))
+    short = cut_lineage(asked.join(met, "vec_id", "left").where(F.coalesce("met", F.lit(0)) < least).select("vec_id", "embedding"))
+    more = short.toLocalIterator()  # at most SHORT rows are held
+    while True:
+        queue = list(islice(more, SHORT))
+        if not queue:
+            return found
+        log.info("%d queries met fewer than %d candidates: all rows are compared", len(queue), least)
+        found = found.union(_of_all(rows, np.array([r["vec_id"] for r in queue], np.int64), np.array([r["embedding"] for r in queue]), k))
+
+
 def nearest(embeddings: DataFrame, queries, k: int = 10, recall: float = 0.97) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every usable row that ``queries`` (a condition) selects."""
     rows = usable(embeddings).withColumn("embedding", F.col("embedding").cast("array<double>"))
@@ -230,7 +273,9 @@ def nearest(embeddings: DataFrame, queries, k: int = 10, recall: float = 0.97) -
             yield send()
 
     ordered = both.repartition("table", "bucket", "piece").sortWithinPartitions("table", "bucket", "piece", "role")
-    found = ordered.mapInArrow(rank_bucket, "query_id long, vec_id long, score double")
+    found = cut_lineage(ordered.mapInArrow(rank_bucket, "query_id long, vec_id long, score double"))
+    met = found.select("query_id", "vec_id").distinct()
+    found = _completed(found, met, rows, asked, min(k, total - 1), k)
     # At most k rows come from each task for a query and 20,000 visits.
     merged = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

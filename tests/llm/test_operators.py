@@ -162,6 +162,16 @@ def test_multiprobe_recall_and_exact_scores(spark):
     assert lsh.nearest(spark.createDataFrame([], VECTORS), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_multiprobe_answers_outliers_in_full(spark):
+    x = np.random.default_rng(6).standard_normal((3000, 4))
+    x[40] = 1000.0
+    rows = [(i, v.astype(np.float32).tolist(), 1) for i, v in enumerate(x)]
+    got = [r for r in lsh.nearest(settings(spark).createDataFrame(rows, VECTORS), F.col("vec_id") % 20 == 0).collect() if r["query_id"] == 40]
+    far = np.sqrt(((x.astype(np.float32).astype(float) - x[40]) ** 2).sum(1))
+    far[40] = np.inf
+    assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"])] == np.lexsort((np.arange(3000), far))[:10].tolist()
+
+
 def test_probes_come_by_estimated_success():
     place = np.array([0.1, 0.6, 0.45])
     score = np.r_[place, 1 - place] ** 2
