@@ -257,6 +257,13 @@ def test_pages(spark):
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def test_short_pages_with_much_boilerplate_get_a_template(spark):
+    notice = "<div>" + " ".join(prose(77, 35)) + "</div>"
+    rows = [(i, f"http://n.example/{i}", f"<html><body>{notice}<p>only page {i} says w{i}</p></body></html>") for i in range(4)]
+    got = wrappers.extract(settings(spark).createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: f"only page {i} says w{i}" for i in range(4)}
+
+
 # --- 5: sharding ----------------------------------------------------------------------------------------------------
 
 
