@@ -264,6 +264,16 @@ def test_short_pages_with_much_boilerplate_get_a_template(spark):
     assert {r["page_id"]: r["text"] for r in got} == {i: f"only page {i} says w{i}" for i in range(4)}
 
 
+def test_linked_titles_teasers_and_slug_ids_keep_their_text():
+    body = "<h1><a href=/t>A linked title</a></h1><p>Some words of the page itself.</p><p><a href=/p>A linked paragraph</a></p><ul><li><a href=/r>First reference</a></ul>"
+    kept = "A linked title\n\nSome words of the page itself.\n\nA linked paragraph\n\nFirst reference"
+    assert wrappers.main_text(f"<body><ul><li><a href=/s>Start</a></ul><div>{body}</div></body>") == kept
+    teaser = wrappers.main_text(f"<body><div>{body}</div><article>Teaser</article></body>")
+    assert teaser == kept + "\n\nTeaser"
+    ids = "<article><h2 id='social-security'>Security</h2><section id='related-work'><p>Work</p></section><div class='related'>Other</div><div id='comments'>Nice</div></article>"
+    assert wrappers.main_text(ids) == "Security\n\nWork"
+
+
 # --- 5: sharding ----------------------------------------------------------------------------------------------------
 
 
