@@ -1,13 +1,14 @@
-"""Operator 8: removal of long repeated word spans through a compacted de Bruijn graph of token k-mers.
+"""Operator 8: removal of long repeated word spans through minimizers of token k-mers.
 
-Edges are the k-mers of ``K`` words. Each window of ``window`` words is filed under its least k-mer (the leftmost of
-equals), which depends on the window's words alone. Consecutive windows under the same occurrence of a k-mer form a
-path; its words have one hash. So the graph is kept compacted: one row for about every 16 words.
+The dealt method is a De Bruijn graph whose nonbranching paths are compacted by joins. This is another one: there are
+no edges, degrees or compacting joins, because a list of edges has one row a word. Each window of ``window`` words is
+filed under its least k-mer of ``K`` words (the leftmost of equals), which depends on the window's words alone.
+Consecutive windows under the same occurrence of a k-mer form a path; its words have one hash. So there is one row for about every 16 words.
 
 * A k-mer that lies in one document only can't be part of a repeat and goes.
-* A repeated k-mer whose paths all have the same words is nonbranching: its whole path is decided at once by the
+* A repeated k-mer whose paths all have the same words is unambiguous: its whole path is decided at once by the
   smallest document that holds it.
-* A branching k-mer has several different paths. One source coordinate (document, first window) of each is looked up
+* Another k-mer has several different paths. One source coordinate (document, first window) of each is looked up
   in the texts, and its windows are compared by their hashes across all paths: that decides each window exactly.
 
 Counts per k-mer, per path and per window are aggregated before they are shuffled, so a passage that a third of the
