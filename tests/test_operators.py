@@ -73,7 +73,7 @@ def test_sum_after_is_strict(spark):
     )
     got = {(r[0], r[1]): r[2] for r in ranking.sum_after(facts, starts, "k", "day", "v", "start").collect()}
     assert got == {
-        ("a", d(2020, 1, 1)): 15, ("a", d(2020, 1, 2)): None, ("a", d(2019, 1, 1)): 16, ("b", d(2020, 1, 1)): 7,
+        ("a", d(2020, 1, 1)): 15, ("a", d(2020, 1, 2)): 0, ("a", d(2019, 1, 1)): 16, ("b", d(2020, 1, 1)): 7,
     }
 
 
