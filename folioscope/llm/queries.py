@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import arrow_ids, bpe, cotraining, flatgraph, lsh, mixing, ring, setjoin, substrings, wrappers
+from folioscope.llm import arrow_ids, bpe, cotraining, divergence, flatgraph, lsh, mixing, oracle, ring, setjoin, substrings, wrappers
 from folioscope.llm.common import table
 
 
@@ -55,5 +55,13 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
-QUERIES = {"op1_flat_graph": op1_flat_graph, "op2_mixing": op2_mixing, "op3_multiprobe": op3_multiprobe, "op4_wrappers": op4_wrappers, "op5_ring_shards": op5_ring_shards, "op6_quality": op6_quality, "op7_ngram_jaccard": op7_ngram_jaccard, "op8_substrings": op8_substrings, "op9_arrow_ids": op9_arrow_ids, "op10_byte_bpe": op10_byte_bpe}
-ORACLE_SQL: dict[str, str] = {}
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+OPERATORS = (
+    op1_flat_graph, op2_mixing, op3_multiprobe, op4_wrappers, op5_ring_shards, op6_quality, op7_ngram_jaccard,
+    op8_substrings, op9_arrow_ids, op10_byte_bpe, op12_divergence,
+)
+QUERIES = {query.__name__: query for query in OPERATORS}
+ORACLE_SQL: dict[str, str] = {"op12_divergence": oracle.DIVERGENCE}
