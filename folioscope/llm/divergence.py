@@ -18,6 +18,8 @@ value 0. A source alone in its language has no pairs. No documents, no rows. Oth
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,27 +30,49 @@ from folioscope.llm.common import pieces
 from folioscope.llm.transducer import LOWER, Transducer, build, words_in
 from folioscope.session import cut_lineage
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A term as UTF-8 bytes, after A-Z are lower-cased.
+_TERM, _SMALL = re.compile(rb"[^\x00-\x60\x7B-\x7F]+"), LOWER.tobytes()
 SCALE = 1_000_000_000
 #: Terms of one transducer, bytes of transducers broadcast at once, bytes of text that walk at once.
 SHARD_TERMS, ROUND_BYTES, WALK_BYTES = 1 << 17, 64 << 20, 1 << 20
 #: Ordinals and sources compared in one task.
 BLOCK, TILE = 1024, 128
-#: (group, ordinal) counts a task holds.
+#: Counts of terms, or of (group, ordinal), that a task holds.
 HELD = 1 << 19
 
 _SHARD = "lang string, first binary, n long, arcs binary, final binary"
 
 
-def document_terms(text: Column) -> Column:
-    return F.regexp_extract_all(F.translate(text, CAPITALS, SMALL), F.lit(TERM), F.lit(0))
-
-
 def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
     """(lang, term) of the terms in at least ``least_docs`` documents of the language."""
-    met = docs.select("lang", F.explode(F.array_distinct(document_terms(F.col("text")))).alias("term"))
-    return met.groupBy("lang", "term").agg(F.count("*").alias("docs")).where(F.col("docs") >= least_docs).select("lang", "term")
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, Counter] = {}
+        long_terms = 0  # bytes of terms of more than 64 bytes; the others are bounded by their number
+
+        def rows_out() -> Iterator[pa.RecordBatch]:
+            for lang, counted in met.items():
+                terms, n = pa.array(counted.keys(), pa.binary()), pa.array(counted.values(), pa.int64())
+                for at in range(0, len(terms), 50_000):
+                    part = terms[at : at + 50_000]
+                    yield pa.record_batch([pa.array([lang] * len(part)), part, n[at : at + 50_000]], ["lang", "term", "docs"])
+            met.clear()
+
+        for piece in pieces(batches, "text"):
+            for lang, text in zip(*(piece.column(c).to_pylist() for c in ("lang", "text")), strict=True):
+                distinct: set[bytes] = set()
+                for part in _slices(text):
+                    distinct.update(_TERM.findall(part.translate(_SMALL)))
+                met.setdefault(lang, Counter()).update(distinct)
+                long_terms += sum(len(x) for x in distinct if len(x) > 64)
+            if sum(map(len, met.values())) > HELD or long_terms > 64 * HELD:
+                yield from rows_out()
+                long_terms = 0
+        yield from rows_out()
+
+    counted = docs.select("lang", F.col("text").cast("binary").alias("text")).mapInArrow(task, "lang string, term binary, docs long")
+    kept = counted.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
+    return kept.select("lang", F.col("term").cast("string").alias("term"))
 
 
 def _shards(kept: DataFrame, shard_terms: int) -> DataFrame:
