@@ -37,7 +37,7 @@ from folioscope.llm.words import mix
 from folioscope.session import cut_lineage
 
 #: Words of one filter, filter bits a word, bits that a key sets, bytes of filters broadcast at once.
-SHARD_WORDS, BITS_A_WORD, BITS, ROUND_BYTES = 1 << 20, 16, 4, 64 << 20
+SHARD_WORDS, BITS_A_WORD, BITS, ROUND_BYTES = 1 << 14, 16, 4, 64 << 20
 #: Distinct words a task counts, bytes of long words it holds, bytes of text searched at once, edits generated at once.
 HELD, HELD_BYTES, SLICE_BYTES, EDITS = 400_000, 32 << 20, 1 << 20, 1 << 18
 
@@ -154,13 +154,13 @@ def _shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((keys >> _U(32)) % _U(shards)).astype(np.int64)
 
 
-def _blocks(keys: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Block and bits of each key; both from a second mix, as the first chose the shard."""
+def _blocks(keys: np.ndarray, blocks: int | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Block and bits of each key in a filter of so many; both from a second mix, as the first chose the shard."""
     x = mix(keys ^ _U(0x9FB21C651E98DF25))
     bits = np.zeros(len(keys), _U)
     for i in range(BITS):
         bits |= _U(1) << ((x >> _U(6 * i)) & _U(63))
-    return ((x >> _U(32)) * _U(blocks) >> _U(32)).astype(np.int64), bits
+    return ((x >> _U(32)) * np.asarray(blocks, _U) >> _U(32)).astype(np.int64), bits
 
 
 def _filters(words: DataFrame, shards: DataFrame) -> DataFrame:
@@ -184,20 +184,22 @@ class _Probe:
     def __init__(self, lengths: list[tuple[int, int, list[int]]], filters: list[tuple[int, int, bytes]]) -> None:
         self.shards = {size: shards for size, shards, _ in lengths}
         self.letters = {size: np.array(letters) for size, _, letters in lengths}
-        self.filters = {(size, shard): np.frombuffer(bits, _U) for size, shard, bits in filters}
-        self.sizes = {size for size, _ in self.filters}
+        # A length's filters of this round one after the other, and each shard's first block and number of blocks.
+        self.bits: dict[int, np.ndarray] = {}
+        self.first, self.blocks = ({size: np.zeros(n, np.int64) for size, n in self.shards.items()} for _ in range(2))
+        for size in {f[0] for f in filters}:
+            own = [(shard, np.frombuffer(bits, _U)) for of, shard, bits in filters if of == size]
+            self.bits[size] = np.concatenate([bits for _, bits in own])
+            places = np.array([shard for shard, _ in own])
+            self.blocks[size][places] = [len(bits) for _, bits in own]
+            self.first[size][places] = np.cumsum([0] + [len(bits) for _, bits in own])[:-1]
 
     def passed(self, keys: np.ndarray, size: int) -> np.ndarray:
         """Places of the keys that a filter of this round lets through."""
-        out = []
-        shard = _shard_of(keys, self.shards[size]) if self.shards[size] > 1 else None
-        for i in range(self.shards[size]):
-            bits = self.filters.get((size, i))
-            if bits is not None:
-                mine = np.arange(len(keys)) if shard is None else np.flatnonzero(shard == i)
-                at, own = _blocks(keys[mine], len(bits))
-                out.append(mine[(bits[at] & own) == own])
-        return np.concatenate(out) if out else np.empty(0, np.int64)
+        shard = _shard_of(keys, self.shards[size])
+        blocks = self.blocks[size][shard]
+        at, own = _blocks(keys, blocks)
+        return np.flatnonzero(((self.bits[size][self.first[size][shard] + at] & own) == own) & (blocks > 0))
 
     def edits(self, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(word, place, letter or -1, key) of the edits let through, for words of one length."""
@@ -205,7 +207,7 @@ class _Probe:
         power = _powers(length)
         parts = _CODE[letters] * power
         whole = parts.sum(axis=1, dtype=_U)
-        if length - 1 in self.sizes:
+        if length - 1 in self.bits:
             before = np.zeros(n, _U)
             for i in range(length):
                 own = np.arange(n) if i == 0 else np.flatnonzero(letters[:, i] != letters[:, i - 1])
@@ -213,7 +215,7 @@ class _Probe:
                 hit = self.passed(keys, length - 1)
                 yield own[hit], np.full(len(hit), i), np.full(len(hit), -1), keys[hit]
                 before = before + parts[:, i]
-        if length in self.sizes:
+        if length in self.bits:
             used = self.letters[length]
             for i in range(length):
                 word, letter = np.nonzero(used[None, :] > letters[:, i, None])
