@@ -82,6 +82,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
+def slices(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text in slices of about ``size`` bytes that end where no word of letters goes on."""
+    at = 0
+    while at < len(text):
+        end = at + size
+        while end < len(text) and (text[end] >= 128 or chr(text[end]).isalpha()):
+            end += 1
+        yield text[at:end]
+        at = end
+
+
 def map_pieces(
     df: DataFrame, column: str, fn: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str
 ) -> DataFrame:

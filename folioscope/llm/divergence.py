@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from folioscope.llm.common import pieces
+from folioscope.llm.common import pieces, slices
 from folioscope.llm.transducer import LOWER, Transducer, build, words_in
 from folioscope.session import cut_lineage
 
@@ -61,7 +61,7 @@ def kept_terms(docs: DataFrame, least_docs: int) -> DataFrame:
         for piece in pieces(batches, "text"):
             for lang, text in zip(*(piece.column(c).to_pylist() for c in ("lang", "text")), strict=True):
                 distinct: set[bytes] = set()
-                for part in _slices(text):
+                for part in slices(text):
                     distinct.update(_TERM.findall(part.translate(_SMALL)))
                 met.setdefault(lang, Counter()).update(distinct)
                 long_terms += sum(len(x) for x in distinct if len(x) > 64)
@@ -168,17 +168,6 @@ def _summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return group[first], place[first], np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _slices(text: bytes) -> Iterator[bytes]:
-    """A text in slices that end where no term goes on."""
-    at = 0
-    while at < len(text):
-        end = at + WALK_BYTES
-        while end < len(text) and (text[end] >= 128 or chr(text[end]).isalpha()):
-            end += 1
-        yield text[at:end]
-        at = end
-
-
 def _counted(docs: DataFrame, rows: list[dict]) -> DataFrame:
     """(lang, source, ord, n): a task's occurrences of the terms of ``rows``."""
     shared = docs.sparkSession.sparkContext.broadcast(rows)
@@ -215,7 +204,7 @@ def _counted(docs: DataFrame, rows: list[dict]) -> DataFrame:
                 if lang not in walkers:
                     continue
                 group = groups.setdefault((lang, source), len(groups))
-                for part in _slices(text):
+                for part in slices(text):
                     if bytes_of[lang] + len(part) > WALK_BYTES and waiting[lang]:
                         walk(lang, waiting[lang])
                         waiting[lang], bytes_of[lang] = [], 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from folioscope.llm import arrow_ids, bpe, cotraining, divergence, flatgraph, lsh, mixing, oracle, ring, setjoin, spelling, substrings, wrappers
+from folioscope.llm import arrow_ids, bpe, cotraining, counterfactual, divergence, flatgraph, lsh, mixing, oracle, ring, setjoin, spelling, substrings, wrappers
 from folioscope.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(bpe.round_trip(docs, path, public_tokenizers.PATTERN))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counterfactual.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
 
@@ -65,7 +69,7 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OPERATORS = (
     op1_flat_graph, op2_mixing, op3_multiprobe, op4_wrappers, op5_ring_shards, op6_quality, op7_ngram_jaccard,
-    op8_substrings, op9_arrow_ids, op10_byte_bpe, op12_divergence, op13_spelling,
+    op8_substrings, op9_arrow_ids, op10_byte_bpe, op11_toxicity, op12_divergence, op13_spelling,
 )
 QUERIES = {query.__name__: query for query in OPERATORS}
 ORACLE_SQL: dict[str, str] = {"op12_divergence": oracle.DIVERGENCE, "op13_spelling": oracle.SPELLING}

@@ -31,15 +31,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from folioscope.llm.common import pieces
+from folioscope.llm.common import pieces, slices
 from folioscope.llm.transducer import LOWER
 from folioscope.llm.words import mix
 from folioscope.session import cut_lineage
 
 #: Words of one filter, filter bits a word, bits that a key sets, bytes of filters broadcast at once.
 SHARD_WORDS, BITS_A_WORD, BITS, ROUND_BYTES = 1 << 14, 16, 4, 64 << 20
-#: Distinct words a task counts, bytes of long words it holds, bytes of text searched at once, edits generated at once.
-HELD, HELD_BYTES, SLICE_BYTES, EDITS = 400_000, 32 << 20, 1 << 20, 1 << 18
+#: Distinct words a task counts, bytes of long words it holds, edits generated at once.
+HELD, HELD_BYTES, EDITS = 400_000, 32 << 20, 1 << 18
 
 #: Letters by number: a to z, then U+00C0 to U+00FF.
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(map(chr, range(0xC0, 0x100)))
@@ -81,7 +81,7 @@ def count_words(docs: DataFrame, least_length: int = 7, least_count: int = 2, ev
                     continue
                 name = b"%d:" % doc_id if doc_id is not None else b":"
                 runs: Counter[str] = Counter()
-                for part in _slices(text):
+                for part in slices(text):
                     runs.update(run.findall(part.translate(small).decode(errors="replace")))
                 for word, n in runs.items():
                     h = zlib.crc32(name + word.encode())
@@ -103,17 +103,6 @@ def count_words(docs: DataFrame, least_length: int = 7, least_count: int = 2, ev
     return counted.where(F.col("n") >= least_count)
 
 
-def _slices(text: bytes) -> Iterator[bytes]:
-    """A text in slices that end before an ASCII byte that is no letter."""
-    at = 0
-    while at < len(text):
-        end = at + SLICE_BYTES
-        while end < len(text) and (text[end] >= 128 or chr(text[end]).isalpha()):
-            end += 1
-        yield text[at:end]
-        at = end
-
-
 def _numbers(word: str) -> np.ndarray:
     return _NUMBER[np.frombuffer(word.encode("latin-1"), np.uint8)]
 
