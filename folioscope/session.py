@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscope.scratch import Scratch, scratch
+
 # Settings that only change how a plan is executed, never what it returns.
 RUNTIME_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,6 +17,8 @@ RUNTIME_CONF = {
     # Split a hot join key even where that costs one more exchange downstream.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    # Shuffle files go at the end of the execution that wrote them, not when the driver collects garbage.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
     # The JVM leaves methods above 8000 bytecodes uncompiled; such stages run faster without
     # whole-stage code, as compiled projections split into small methods.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -61,13 +64,28 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="run-", dir="/tmp")
 
 
+def tables_of(spark: SparkSession) -> Scratch:
+    """The session's intermediate tables in the shared folder."""
+    return scratch(spark, shared_folder(spark))
+
+
+def begin_query(spark: SparkSession) -> SparkSession:
+    """Settings of a query, and an end to what the queries before it have left."""
+    tables_of(tune(spark)).sweep(collect=True)
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result as a table in the shared folder and read it back.
 
     Used where a result feeds several later steps. Unlike a cached copy it survives the loss of
-    executors, and the written table's size lets the planner choose its joins.
+    executors, and the written table's size lets the planner choose its joins. The table goes
+    when no plan can read it any more (see :mod:`folioscope.scratch`).
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/folioscope/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tables_of(df.sparkSession).write(df)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete results of :func:`cut_lineage` whose last reader has been written."""
+    if tables:
+        tables_of(tables[0].sparkSession).release(*tables)
