@@ -32,17 +32,13 @@ def test_a_table_lives_as_long_as_a_plan_reads_it(spark, tables):
     assert tables.sweep(collect=True, wait=1.5) == 1 and there(tables) == [] and tables.held == 0
 
 
-def test_chains_of_tables_leave_only_the_last(spark, tables, monkeypatch):
-    monkeypatch.setattr("folioscope.scratch.QUIET_BYTES", 0)  # so that every doubling collects
-    tables._collect_at = 0
+def test_chains_of_tables_leave_only_the_last(spark, tables):
     df = spark.range(20_000)
-    for _ in range(12):
+    for _ in range(5):
         df = tables.write(df.select((F.col("id") + 1).alias("id")))
-        time.sleep(0.5)
-    assert df.agg(F.min("id"), F.max("id")).first() == (12, 20_011)
-    assert len(there(tables)) <= 9
-    tables.sweep(collect=True, wait=1.5)
-    assert len(there(tables)) == 1
+        tables.sweep(collect=True, wait=1.5)
+        assert len(there(tables)) <= 2
+    assert df.agg(F.min("id"), F.max("id")).first() == (5, 20_004)
 
 
 def test_release_and_closing(spark, tables):
