@@ -11,6 +11,8 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from folioscope.session import tune
+
 #: Characters of a word: everything but space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -48,7 +50,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def settings(spark: SparkSession) -> SparkSession:
-    ship(spark)
+    ship(tune(spark))
     for key, value in ARROW_CONF.items():
         spark.conf.set(key, value)
     return spark

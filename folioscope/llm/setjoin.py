@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from folioscope.llm import words as w
 from folioscope.llm.common import map_pieces, pieces, row_key
 from folioscope.llm.components import connected
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, release
 
 #: First shingles two partners have in common at least, and members of an opened piece of a group.
 SHARED, PIECE = 3, 256
@@ -289,6 +289,7 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     pieces_of = docs_in.groupBy("grp").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
     members = docs_in.join(pieces_of, "grp").select("grp", "doc", "size", "component", F.pmod(F.xxhash64("doc"), "pieces").alias("piece"))
     found = cut_lineage(_open_groups(candidates, members, sets, percent))
+    release(sets, alive, banded, candidates, docs_in)
 
     whole = connected(near.union(found).union(shared_ids))
     by_class = classes.drop("key").join(whole.withColumnRenamed("node", "doc"), "doc", "left").select("n", "sig1", "sig2", F.coalesce("component", "doc").alias("component_id"))

@@ -12,7 +12,8 @@ Consecutive windows under the same occurrence of a k-mer form a path; its words
   in the texts, and its windows are compared by their hashes across all paths: that decides each window exactly.
 
 Counts per k-mer, per path and per window are aggregated before they are shuffled, so a passage that a third of the
-documents share meets as one row a task. Windows are compared by 64-bit hashes of their words.
+documents share meets as one row a task. A path that a document repeats is one row with all its places, so a line that
+a document repeats a thousand times joins once. Windows are compared by 64-bit hashes of their words.
 
 Null and empty texts have no words; texts shorter than a window lose nothing. Windows are judged between different
 doc_ids only, so repeated rows of one doc_id keep their words. Rows with a null doc_id keep theirs, too.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm import words as w
 from folioscope.llm.common import map_pieces, pieces, row_key
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, release
 
 K = 20
 
@@ -64,20 +65,24 @@ def _least_places(kmers: np.ndarray, width: int) -> np.ndarray:
 
 
 def _occurrences(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """A row for each path of each document, with all its first windows there."""
+
     def task():
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-            ids, tags, found = piece.column("doc_id").to_pylist(), piece.column("tag").to_pylist(), [[] for _ in range(6)]
-            for doc_id, tag, hashes in zip(ids, tags, w.batches(piece.column("text").to_pylist(), fold=False), strict=True):
-                kmer, path, first, count = paths(hashes, window, k)
-                for held, x in zip(found, (np.full(len(kmer), doc_id), np.full(len(kmer), tag), kmer.view(np.int64), path.view(np.int64), first, count), strict=True):
-                    held.append(x)
-            kinds = (np.int64, np.int32, np.int64, np.int64, np.int32, np.int32)
-            columns = [pa.array(np.concatenate(x).astype(t, copy=False) if x else np.empty(0, t)) for x, t in zip(found, kinds, strict=True)]
-            return pa.record_batch(columns, ["doc_id", "tag", "kmer", "path", "first", "count"])
+            ids, tags = (np.array(piece.column(c).to_pylist(), t) for c, t in (("doc_id", np.int64), ("tag", np.int32)))
+            found = [paths(hashes, window, k) for hashes in w.batches(piece.column("text").to_pylist(), fold=False)]
+            kmer, path, first, count = (np.concatenate(x) if x else np.empty(0, np.uint64) for x in (list(zip(*found, strict=True)) or [()] * 4))
+            doc = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+            order = np.lexsort((first, path, kmer, doc))
+            doc, kmer, path, first, count = (x[order] for x in (doc, kmer, path, first, count))
+            new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (kmer[1:] != kmer[:-1]) | (path[1:] != path[:-1])][: len(doc)])
+            firsts = pa.ListArray.from_arrays(pa.array(np.r_[new, len(doc)].astype(np.int32)), pa.array(first.astype(np.int32)))
+            columns = [pa.array(x) for x in (ids[doc[new]], tags[doc[new]], kmer[new].view(np.int64), path[new].view(np.int64))]
+            return pa.record_batch([*columns, firsts, pa.array(count[new].astype(np.int32))], ["doc_id", "tag", "kmer", "path", "firsts", "count"])
 
         return step
 
-    return map_pieces(docs, "text", task, "doc_id long, tag int, kmer long, path long, first int, count int")
+    return map_pieces(docs, "text", task, "doc_id long, tag int, kmer long, path long, firsts array<int>, count int")
 
 
 def _source_windows(texts: DataFrame, window: int) -> DataFrame:
@@ -147,13 +152,15 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = K) -> DataFrame:
     # Written, so that the join below has two plain exchanges and a hot k-mer's rows can be split.
     repeated = cut_lineage(by_kmer.where("least < most").select("kmer", "least", (F.col("low") != F.col("high")).alias("branching")))
     met = cut_lineage(found.join(repeated, "kmer"))
+    release(found, repeated)
     branching = met.where("branching")
     # Source coordinate of every path of a branching k-mer: its first place in its smallest document.
-    sources = branching.groupBy("kmer", "path").agg(F.min(F.struct("doc_id", "tag", "first", "count")).alias("at"))
+    sources = branching.groupBy("kmer", "path").agg(F.min(F.struct("doc_id", "tag", F.element_at("firsts", 1).alias("first"), "count")).alias("at"))
     sources = cut_lineage(sources.select("kmer", "path", "at.*", F.lit(True).alias("source")))
-    decided = met.where("not branching and doc_id > least").select("doc_id", "tag", "first", "count", "path", F.lit(False).alias("source"))
-    looked_up = sources.select("doc_id", "tag", "first", "count", "path", "source")
-    spans = decided.union(looked_up).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("first", "count", "path", "source")).alias("spans"))
+    span = lambda first, source: F.struct(first.alias("first"), "count", "path", F.lit(source).alias("source"))
+    decided = met.where("not branching and doc_id > least").select("doc_id", "tag", F.transform("firsts", lambda f: span(f, False)).alias("spans"))
+    looked_up = sources.select("doc_id", "tag", F.array(span(F.col("first"), True)).alias("spans"))
+    spans = decided.union(looked_up).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     # Documents whose branching paths have their source elsewhere are needed later, too.
     wanted = branching.select("doc_id", "tag").distinct().withColumn("open", F.lit(True))
     spans = spans.join(wanted, ["doc_id", "tag"], "full")
@@ -168,10 +175,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, k: int = K) -> DataFrame:
     # A path's own later copies are covered by its source; its windows also by the smallest document of any path.
     by_path = judged.groupBy("path").agg(F.collect_list(F.struct("offset", "least")).alias("judged"))
     later = branching.join(own, ["kmer", "path"]).join(by_path, "path", "left")
-    whole = later.where("doc_id > source_doc").select("doc_id", "tag", F.col("first").cast("long").alias("start"), F.col("count").cast("long").alias("count"))
-    part = later.where("doc_id = source_doc").select("doc_id", "tag", "first", F.explode("judged").alias("j")).where("j.least < doc_id")
-    part = part.select("doc_id", "tag", (F.col("first") + F.col("j.offset")).alias("start"), F.lit(1).cast("long").alias("count"))
-    covered = whole.union(part).groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "count")).alias("covered"))
+    run = lambda start, count: F.struct(start.cast("long").alias("start"), count.cast("long").alias("count"))
+    whole = later.where("doc_id > source_doc").select("doc_id", "tag", F.transform("firsts", lambda f: run(f, F.col("count"))).alias("covered"))
+    part = later.where("doc_id = source_doc").withColumn("elsewhere", F.filter("judged", lambda j: j["least"] < F.col("doc_id")))
+    windows_at = F.flatten(F.transform("firsts", lambda f: F.transform("elsewhere", lambda j: run(f + j["offset"], F.lit(1)))))
+    part = part.where(F.size("elsewhere") > 0).select("doc_id", "tag", windows_at.alias("covered"))
+    covered = whole.union(part).groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("covered")).alias("covered"))
     last = open_texts.drop("n_words", "kept_sha256").join(covered, ["doc_id", "tag"], "left")
     sure = F.filter(F.coalesce("spans", F.array().cast(dict(texts.dtypes)["spans"])), lambda s: ~s["source"])
     more = F.coalesce("covered", F.array().cast("array<struct<start:bigint,count:bigint>>"))
