@@ -3,8 +3,8 @@
 Every table written for a session belongs to its :class:`Scratch`. Readers are not declared: a plan that reads a table
 holds the table's file index, so the JVM's reachability of that index counts the readers, through any number of
 derived DataFrames. Once the last of them is gone, the next sweep deletes the files. Sweeps come with every write and
-at the start of every query; a write also collects garbage first when the tables have doubled since the last time, so
-tables never hold more than about twice what is still readable. ``release`` deletes a table whose last reader has
+at the start of every query; a write also collects garbage when the tables have doubled since the last time, so they
+never hold much more than twice what is still readable. ``release`` deletes a table whose last reader has
 just been written, without waiting for that, and what is left goes when the Python process ends.
 """
 
@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Tables below this size never cause a garbage collection by themselves.
 QUIET_BYTES = 64 << 20
+#: Many small tables are collected every so many writes, which keeps the plans on the driver few as well.
+COLLECT_EVERY = 8
 
 
 @dataclass
@@ -39,7 +41,7 @@ class Scratch:
         self._jvm, self._hadoop = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self.root = f"{folder}/folioscope/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:8]}"
         self.tables: dict[str, _Table] = {}
-        self._collect_at = QUIET_BYTES
+        self._collect_at, self._writes = QUIET_BYTES, 0
 
     def write(self, df: DataFrame) -> DataFrame:
         """The rows of ``df`` from a table of its own."""
@@ -51,7 +53,8 @@ class Scratch:
         size = self._store(path, lambda fs, p: fs.getContentSummary(p).getLength())
         self.tables[path] = _Table(path, self._jvm.java.lang.ref.WeakReference(index), size)
         del index
-        self.sweep(collect=self.held > self._collect_at)
+        self._writes += 1
+        self.sweep(collect=self.held > self._collect_at or self._writes % COLLECT_EVERY == 0)
         return table
 
     @property
