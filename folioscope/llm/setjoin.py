@@ -23,7 +23,7 @@ texts are hashed in pieces. Classes are told apart by 128 bits of their set and
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -144,18 +144,27 @@ def _signatures(source: DataFrame, k: int, percent: int, level: np.ndarray) -> D
     return map_pieces(source, "text", task, "doc_id long, key long, n long, sig1 long, sig2 long, bands array<long>, first array<long>")
 
 
-def _whole_sets(source: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(doc, shingles) of the wanted texts, computed anew from them."""
+def _attach(rows: DataFrame, source: DataFrame, keys: DataFrame, k: int) -> DataFrame:
+    """``rows`` with the whole set of their doc in ``shingles``; ``keys``: (doc, key) of the text that stands for a doc.
+
+    Sets are computed from the texts behind the join that asks for them, once a doc, and kept nowhere. The condition,
+    which always holds, lets the planner filter the texts by the written docs before they are shuffled. Repeated rows
+    of a text repeat its rows, which changes no result.
+    """
+    others = [c for c in rows.columns if c != "doc"]
+    asked = rows.groupBy("doc").agg(F.collect_list(F.struct(*others)).alias("asked"))
+    asked = cut_lineage(asked.join(keys.select("doc", "key"), "doc")).where("size(asked) > 0")
+    texts = source.withColumnRenamed("doc_id", "doc").join(asked, ["doc", "key"]).select("doc", "asked", "text")
 
     def task():
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
             sets = pa.array([s.tobytes() for s in _sets(piece, k)], pa.binary())
-            return pa.record_batch([piece.column("doc_id"), sets], ["doc", "shingles"])
+            return pa.record_batch([piece.column("doc"), piece.column("asked"), sets], ["doc", "asked", "shingles"])
 
         return step
 
-    texts = source.join(wanted, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    return map_pieces(texts.select("doc_id", "text"), "text", task, "doc long, shingles binary")
+    found = map_pieces(texts, "text", task, f"doc long, asked {dict(asked.dtypes)['asked']}, shingles binary")
+    return found.select("doc", F.explode("asked").alias("ask"), "shingles").select("ask.*", "doc", "shingles")
 
 
 def _streamed(rows: DataFrame, keys: list[str], fn, names: list[str]) -> DataFrame:
@@ -183,20 +192,14 @@ def _streamed(rows: DataFrame, keys: list[str], fn, names: list[str]) -> DataFra
     return ordered.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def _attach(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows with the whole set of their doc. The condition, which always holds, lets the planner filter the sets by
-    the written rows' ids before they are shuffled."""
-    return cut_lineage(rows).where("role >= 0").join(sets, "doc")
-
-
-def _with_leaders(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _with_leaders(stars: DataFrame, attach: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
     """(a, b, linked) for members and the leader they meet under a band, if they have half in common."""
     salts = stars.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_ROWS).alias("salts"))
     stars = stars.join(salts, "leader")
     members = stars.select("leader", F.pmod(F.xxhash64("doc"), "salts").alias("salt"), F.lit(1).alias("role"), "doc")
     copies = salts.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
     leaders = copies.select("leader", "salt", F.lit(0).alias("role"), F.col("leader").alias("doc"))
-    rows = _attach(members.union(leaders), sets).select("leader", "salt", "role", "doc", "shingles")
+    rows = attach(members.union(leaders)).select("leader", "salt", "role", "doc", "shingles")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         lead, at = np.empty(0, _U), None
@@ -213,14 +216,16 @@ def _with_leaders(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _streamed(rows, ["leader", "salt"], compare, ["a", "b", "linked"])
 
 
-def _open_groups(candidates: DataFrame, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _open_groups(
+    candidates: DataFrame, members: DataFrame, attach: Callable[[DataFrame], DataFrame], percent: int
+) -> DataFrame:
     """Links (a, b) of queries into each qualifying group. members: (grp, doc, piece, size, component)."""
     last = members.groupBy("grp").agg(F.max("piece").alias("last"))
     own = members.select("doc", "size", "component")
     queries = candidates.join(last, "grp").select("grp", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("piece"), F.lit(1).alias("role"), "doc").join(own, "doc")
     inside = members.join(candidates.select("grp").distinct(), "grp", "left_semi").select("grp", "piece", F.lit(0).alias("role"), "doc", "size", "component")
     columns = ["grp", "piece", "role", "doc", "size", "component"]
-    rows = _attach(queries.select(*columns).union(inside.select(*columns)), sets).select(*columns, "shingles")
+    rows = attach(queries.select(*columns).union(inside.select(*columns))).select(*columns, "shingles")
 
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         at, held, union = None, [], None
@@ -248,30 +253,31 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, key, n_shingles, component_id) for every row of ``docs``; key as in :func:`row_key`."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
     level = _sketch(source, words)
-    signed = cut_lineage(_signatures(source, words, percent, level))
-    known = signed.where("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "key")).alias("first_row"))
+    whole_rows = cut_lineage(_signatures(source, words, percent, level))
+    classes = whole_rows.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "key")).alias("first_row"))
     classes = cut_lineage(classes.select("n", "sig1", "sig2", F.col("first_row.doc_id").alias("doc"), F.col("first_row.key").alias("key")))
-    of_rows = known.select("doc_id", "n", "sig1", "sig2").join(classes.withColumnRenamed("key", "_k"), ["n", "sig1", "sig2"]).select("doc_id", "doc")
-    same_id = of_rows.groupBy("doc_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("doc_id", "low")
-    shared_ids = of_rows.join(same_id, "doc_id").select(F.col("doc").alias("a"), F.col("low").alias("b"))
-    heads = signed.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+    heads = whole_rows.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
     postings = heads.select(F.explode("first").alias("token"), F.col("doc_id").alias("doc"))
     same = Window.partitionBy("token")
     alive = postings.withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
     alive = cut_lineage(alive.where("low < high").select("token", "doc"))
+    signed = cut_lineage(whole_rows.drop("first"))
+    release(whole_rows)
+    known = signed.where("n > 0 and doc_id is not null")
+    of_rows = known.select("doc_id", "n", "sig1", "sig2").join(classes.withColumnRenamed("key", "_k"), ["n", "sig1", "sig2"]).select("doc_id", "doc")
+    same_id = of_rows.groupBy("doc_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("doc_id", "low")
+    shared_ids = of_rows.join(same_id, "doc_id").select(F.col("doc").alias("a"), F.col("low").alias("b"))
     least = F.least(F.lit(SHARED).cast("long"), F.ceil(F.col("n") * percent / 100))
     wanted = alive.groupBy("doc").agg(F.count("*").alias("met")).join(classes.select("doc", "key", "n"), "doc").where(F.col("met") >= least)
     wanted = cut_lineage(wanted.select("doc", "key", "n"))
 
-    # A condition that always holds tells the planner that a filter of these ids on the texts pays.
-    asked = wanted.where("n > 0").select(F.col("doc").alias("doc_id"), "key")
-    sets = cut_lineage(_whole_sets(source, asked, words))
+    asked = wanted.select(F.col("doc").alias("doc_id"), "key")
+    attach = lambda rows: _attach(rows, source, wanted, words)
     banded = signed.join(asked, ["doc_id", "key"], "left_semi").select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "value"))
     banded = cut_lineage(banded)
     led = banded.groupBy("band", "value").agg(F.min("doc").alias("leader"), F.count("*").alias("met")).where("met > 1")
     stars = banded.join(led, ["band", "value"]).where("doc <> leader").select("leader", "doc").distinct()
-    similar = cut_lineage(_with_leaders(cut_lineage(stars), sets, percent))
+    similar = cut_lineage(_with_leaders(cut_lineage(stars), attach, percent))
     near = similar.where("linked = 1").select("a", "b")
 
     parts = connected(near)
@@ -286,10 +292,11 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     matrix = matrix.join(between, "token").select("token", F.col("grp").alias("to"), "top")
     shared = met.join(matrix, "token").where("top > rank").groupBy("doc", "to").agg(F.count("*").alias("shared"), F.first("n").alias("n"))
     candidates = cut_lineage(shared.where(F.col("shared") >= least).select("doc", F.col("to").alias("grp")))
+    release(alive)
     pieces_of = docs_in.groupBy("grp").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
     members = docs_in.join(pieces_of, "grp").select("grp", "doc", "size", "component", F.pmod(F.xxhash64("doc"), "pieces").alias("piece"))
-    found = cut_lineage(_open_groups(candidates, members, sets, percent))
-    release(sets, alive, banded, candidates, docs_in)
+    found = cut_lineage(_open_groups(candidates, members, attach, percent))
+    release(banded, candidates, docs_in)
 
     whole = connected(near.union(found).union(shared_ids))
     by_class = classes.drop("key").join(whole.withColumnRenamed("node", "doc"), "doc", "left").select("n", "sig1", "sig2", F.coalesce("component", "doc").alias("component_id"))
