@@ -43,7 +43,8 @@ class LibraryEncoder:
     def __init__(self, model: str, pattern: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings the library gives one id wherever they stand; a text that holds one is encoded in one piece.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype
         self.splitter = Splitter(pattern, self.one)
         vocabulary = self.tokenizer.get_vocab()
@@ -74,17 +75,18 @@ class LibraryEncoder:
         """Ids of each text. Words that are not known yet are encoded together first."""
         cut: list[list[tuple[str, list[str]]] | None] = []
         new: set[str] = set()
-        for text in texts:
-            lines = self.splitter.split(text) if text else None
+        whole = {i for i, text in enumerate(texts) if any(token in text for token in self.added)}
+        for i, text in enumerate(texts):
+            lines = self.splitter.split(text) if text and i not in whole else None
             cut.append(lines and [(line[0], line[1:]) for line in (x.split(" ") for x in lines)])
             for _, rest in cut[-1] or ():
                 new.update(rest)
         first, spaced = self.splitter.first, self.splitter.spaced
         missing = [w for w in new.difference(spaced) if w not in spaced.old and len(w) <= CACHE_CHARS]
         spaced.keep(dict(zip(missing, self.spaced_words(missing), strict=True)))
-        for text, lines in zip(texts, cut, strict=True):
+        for i, (text, lines) in enumerate(zip(texts, cut, strict=True)):
             if lines is None:
-                yield self.splitter(text)
+                yield self.one(text) if i in whole else self.splitter(text)
                 continue
             out: list[bytes] = []
             for head, rest in lines:

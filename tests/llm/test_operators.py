@@ -38,6 +38,7 @@ def corpus():
     rows += [(40, None, "en", "s1"), (41, "", "en", "s1"), (42, "one two", "en", "s2"), (43, "One  TWO", "en", "s2"), (44, " \t\n", "en", ""), (45, "a b " * 300, "en", "s1")]
     rows += [(46, "été naïve  x\n\ny 12中文 it's z " * 3, "fr", "s1"), (47, " ".join(prose(9, 6000)), "en", "s2"), (None, "no id here", "en", "s1")]
     rows += [rows[0], (3, "another text with the same id", "en", "s2"), (48, "z" * 5000, "de", "s1")]
+    rows += [(49, "end <|endoftext|> inside\n<|endoftext|>", "en", "s1")]
     return [(i, t, lang, s, None if t is None else len(t), "clash", 7, "clash") for i, t, lang, s in rows]
 
 
@@ -403,7 +404,6 @@ def test_branching_repeats(spark):
 def test_arrow_files(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     manifest = arrow_ids.write_files(docs, path, public_tokenizers.PATTERN, length=64)
     got = sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in arrow_ids.read_documents(manifest).collect())
     want, at, stream = [], 0, []
@@ -413,6 +413,7 @@ def test_arrow_files(docs, empty):
         at += len(ids)
         stream.append(ids)
     assert got == want
+    assert any(library.token_to_id("<|endoftext|>") in x for x in stream)
     first = manifest.orderBy("base").first()
     ids, mask = arrow_ids.read_sequence(first["path"], 1)
     assert mask[:10].all() and ids[:10].tolist() == np.concatenate(stream)[64:74].tolist()
