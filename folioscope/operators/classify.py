@@ -66,6 +66,16 @@ def tabular_class(columns: list[str], sheet: str = "") -> str:
     return "unknown"
 
 
+def header_class(header: Column | str) -> Column:
+    """:func:`tabular_class` of a header line, for many files at once; a line names no sheet."""
+    low = F.lower(as_col(header))
+    return (
+        F.when(low.contains("invoice no") & low.contains("outstanding"), "receivables_ageing")
+        .when(low.contains("asset id"), "plant_machinery_register")
+        .otherwise("unknown")
+    )
+
+
 def credential_type(text: Column | str) -> Column:
     upper = F.upper(as_col(text))
     return (

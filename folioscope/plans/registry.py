@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from folioscope.plans import linking_queries, portfolio_queries, text_queries
+from folioscope.plans import linking_queries, portfolio_queries, source_queries, text_queries
 
-REGISTERED: dict = {**portfolio_queries.QUERIES, **text_queries.QUERIES, **linking_queries.QUERIES}
+REGISTERED: dict = {**portfolio_queries.QUERIES, **text_queries.QUERIES, **linking_queries.QUERIES, **source_queries.QUERIES}

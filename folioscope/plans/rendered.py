@@ -225,3 +225,34 @@ def certificate_pages(spark: SparkSession, sf: str) -> DataFrame:
     return w.select(F.concat(F.lit("DOC-"), k.cast("string")).alias("doc_id"), F.explode(pages).alias("p")).select(
         "doc_id", "p.page_no", "p.text"
     )
+
+
+def receivables_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """An ageing sheet of all order lines, a third of them without a client."""
+    lines = v.table(spark, sf, "lineitem")
+    return lines.select(
+        F.concat_ws("-", F.lit("INV"), "l_orderkey", "l_linenumber").alias("Invoice No"),
+        F.when(F.col("l_returnflag") == "A", F.lit("nan"))
+        .otherwise(F.concat(F.lit("Client "), F.col("l_suppkey").cast("string"), F.lit(" (Govt)"))).alias("Client"),
+        F.date_format("l_shipdate", "dd/MM/yyyy").alias("Invoice Date"),
+        F.concat(F.lit("INR "), indian_grouping(v.cents(F.col("l_extendedprice")))).alias("Invoiced (INR)"),
+        F.concat(F.lit(" "), "l_linestatus").alias("Status"),
+        F.col("l_quantity").alias("Received (INR)"),
+        (-F.col("l_quantity")).cast("string").alias("Outstanding (INR)"),
+    )
+
+
+def asset_sheet(spark: SparkSession, sf: str) -> DataFrame:
+    """A plant register of all parts, a fifth of them without an id."""
+    key = F.col("p_partkey")
+    return v.table(spark, sf, "part").select(
+        F.when(key % 5 == 4, F.lit("n/a")).otherwise(key.cast("string")).alias("Asset ID"),
+        F.col("p_type").alias("Type"),
+        F.concat(F.lit(" "), "p_brand").alias("Make"),
+        F.when(key % 3 == 0, F.lit("unknown")).otherwise((F.col("p_size") + 2000).cast("string")).alias("Acquired"),
+        F.col("p_retailprice").alias("Cost (INR)"),
+        F.lit("Good").alias("Condition"),
+        F.col("p_name").alias("Location"),
+        F.lit("Owned").alias("Ownership"),
+        (key % 2 == 0).alias("Safety Certified"),
+    )

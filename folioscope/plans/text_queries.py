@@ -401,18 +401,7 @@ def letter_match(spark: SparkSession, sf: str) -> DataFrame:
 )
 def receivables_conform(spark: SparkSession, sf: str) -> DataFrame:
     """An ageing sheet: mixed text and numeric money cells, rows without a client skipped."""
-    lines = v.table(spark, sf, "lineitem")
-    sheet = lines.select(
-        F.concat_ws("-", F.lit("INV"), "l_orderkey", "l_linenumber").alias("Invoice No"),
-        F.when(F.col("l_returnflag") == "A", F.lit("nan"))
-        .otherwise(F.concat(F.lit("Client "), F.col("l_suppkey").cast("string"), F.lit(" (Govt)"))).alias("Client"),
-        F.date_format("l_shipdate", "dd/MM/yyyy").alias("Invoice Date"),
-        F.concat(F.lit("INR "), money.indian_grouping(v.cents(F.col("l_extendedprice")))).alias("Invoiced (INR)"),
-        F.concat(F.lit(" "), "l_linestatus").alias("Status"),
-        F.col("l_quantity").alias("Received (INR)"),
-        (-F.col("l_quantity")).cast("string").alias("Outstanding (INR)"),
-    )
-    return extract.conform_receivables_sheet(sheet)
+    return extract.conform_receivables_sheet(r.receivables_sheet(spark, sf))
 
 
 @query(
@@ -423,19 +412,7 @@ def receivables_conform(spark: SparkSession, sf: str) -> DataFrame:
        FROM part WHERE p_partkey % 5 <> 4"""
 )
 def asset_conform(spark: SparkSession, sf: str) -> DataFrame:
-    key = F.col("p_partkey")
-    sheet = v.table(spark, sf, "part").select(
-        F.when(key % 5 == 4, F.lit("n/a")).otherwise(key.cast("string")).alias("Asset ID"),
-        F.col("p_type").alias("Type"),
-        F.concat(F.lit(" "), "p_brand").alias("Make"),
-        F.when(key % 3 == 0, F.lit("unknown")).otherwise((F.col("p_size") + 2000).cast("string")).alias("Acquired"),
-        F.col("p_retailprice").alias("Cost (INR)"),
-        F.lit("Good").alias("Condition"),
-        F.col("p_name").alias("Location"),
-        F.lit("Owned").alias("Ownership"),
-        (key % 2 == 0).alias("Safety Certified"),
-    )
-    return extract.conform_asset_sheet(sheet)
+    return extract.conform_asset_sheet(r.asset_sheet(spark, sf))
 
 
 @query(

@@ -85,6 +85,15 @@ class Scratch:
                 for path in [p for p in self.tables if root.rstrip("/").endswith(p.split(":", 1)[-1].lstrip("/"))]:
                     self._drop(path)
 
+    @contextmanager
+    def folder(self) -> Iterator[str]:
+        """A folder for files that a sink writes and a source reads before the block ends."""
+        path = f"{self.root}/files-{uuid.uuid4().hex}"
+        try:
+            yield path
+        finally:
+            self._store(path, lambda fs, p: fs.delete(p, True))
+
     @contextmanager
     def closing(self) -> Iterator[Scratch]:
         """Whatever is written inside goes at the end, read or not: results must have been written elsewhere."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from folioscope.functions.text import doc_id_from_path
-from folioscope.operators.classify import classify_pages, index_class, tabular_class
+from folioscope.operators.classify import classify_pages, header_class, index_class, tabular_class
+from folioscope.sources.answers import csv_cells
+from folioscope.sources.order import file_order
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
@@ -57,6 +59,32 @@ def read_tabular(spark: SparkSession, path: str, sheet: str = "") -> tuple[str,
     return tabular_class(df.columns, sheet), df
 
 
+def read_sheets(spark: SparkSession, root: str, pattern: str = "*.csv") -> dict[str, DataFrame]:
+    """All headed CSVs below ``root`` by class: {class: rows}, cells as text.
+
+    The first line of each file that is not blank decides its class. Files of one header line are parsed together; sheets
+    of a class whose columns differ are united by name. Files of no known class give no rows. Of repeated column
+    names the first counts.
+    """
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
+    lines = found.select(file_order().alias("pos"), "value").filter(F.trim("value") != "").withColumn("file", F.col("pos.file"))
+    first = lines.groupBy("file").agg(F.min(F.struct("pos", "value")).alias("first"))
+    heads = first.select("file", F.col("first.pos").alias("first_pos"), F.col("first.value").alias("header"))
+    heads = heads.withColumn("cls", header_class("header")).filter(F.col("cls") != "unknown")
+    rows = lines.join(heads, "file").filter(F.col("pos") != F.col("first_pos"))
+    # One row for each layout of a known class.
+    layouts = heads.groupBy("cls", "header").agg(F.transform(csv_cells(F.col("header")), F.trim).alias("names"))
+    sheets: dict[str, DataFrame] = {}
+    for layout in layouts.orderBy("cls", "header").collect():
+        kind = ", ".join(f"c{i} string" for i in range(len(layout["names"])))
+        cells = rows.filter(F.col("header") == layout["header"]).select(F.from_csv("value", kind).alias("c"))
+        kept = {n: i for i, n in reversed(list(enumerate(layout["names"]))) if n}
+        sheet = cells.select(*[F.col(f"c.c{i}").alias(n) for n, i in sorted(kept.items(), key=lambda x: x[1])])
+        before = sheets.get(layout["cls"])
+        sheets[layout["cls"]] = sheet if before is None else before.unionByName(sheet, allowMissingColumns=True)
+    return sheets
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Page texts (doc_id, page_no, text) from Parquet, or one text file per document."""
     if path.endswith(".parquet"):

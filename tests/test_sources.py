@@ -152,3 +152,95 @@ def test_plausibility(spark, value, kind, strict, loose):
 
     df = spark.createDataFrame([(value, kind)], "v double, k string")
     assert tuple(df.select(scoring.implausible("v", "k"), scoring.implausible_loose("v", "k", F.lit(5000))).first()) == (strict, loose)
+
+
+@pytest.mark.parametrize("open_cost, block", [("4194304", "134217728"), ("0", "64"), ("1", "200")])
+def test_last_row_wins_over_files_however_they_are_packed(spark, tmp_path, open_cost, block):
+    (tmp_path / "a.csv").write_text("".join(f"q{i},{i}\n" for i in range(40)))
+    (tmp_path / "b.csv").write_text("\nnote,answer,qid\n" + "".join(f"x,{i + 0.5},q{i}\n" for i in range(0, 40, 2)) + "qid,7,q39\n")
+    (tmp_path / "c.csv").write_text('question_id,answer\nq1,"INR 1,000"\nq1,900\nqid,3\n')
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.openCostInBytes", "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", open_cost)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        got = {r["qid"]: r["answer"] for r in answers.read_answers(spark, str(tmp_path)).collect()}
+    finally:
+        for k, x in before.items():
+            spark.conf.set(k, x)
+    want = {f"q{i}": float(i) for i in range(40)} | {f"q{i}": i + 0.5 for i in range(0, 40, 2)} | {"q39": 7.0, "q1": 900.0, "qid": 3.0}
+    assert got == want
+
+
+def test_answers_of_an_empty_folder(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("\n \n")
+    assert answers.read_answers(spark, str(tmp_path)).count() == 0
+
+
+def test_questions_keep_their_order_over_files_and_blocks(spark, tmp_path):
+    for n, name in enumerate("abc"):
+        lines = [json.dumps({"qid": f"{name}{i:03d}", "question": "?"}) for i in range(50)]
+        lines.append(json.dumps({"questions": [{"qid": f"{name}9{i}", "question": "?"} for i in range(3)]}))
+        (tmp_path / f"{name}.json").write_text("\n".join(lines))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        read = questions.read_questions(spark, str(tmp_path), lines=True)
+        assert read.rdd.getNumPartitions() > 6
+        got = [r["qid"] for r in read.orderBy("pos").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [q for n in "abc" for q in [f"{n}{i:03d}" for i in range(50)] + [f"{n}9{i}" for i in range(3)]]
+
+
+def test_ordered_sink_writes_many_parts_with_one_header(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("(id * 7919) % 2000 AS pos", "concat('q, ', (id * 7919) % 2000) AS question_id", "CAST(if(id % 5 = 0, NULL, id) AS DOUBLE) AS answer")
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        answers.write_submission(rows, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    parts = sorted((tmp_path / "out").glob("part-*.csv"))
+    assert len(parts) > 1
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert lines[0] == "question_id,answer" and sum(x == lines[0] for x in lines) == 1
+    assert [x.split('"')[1] for x in lines[1:]] == [f"q, {i}" for i in range(2000)]
+    read = {r["qid"]: r["answer"] for r in answers.read_answers(spark, str(tmp_path / "out")).collect()}
+    assert len(read) == 2000 and read["q, 0"] is None and read[f"q, {7919 % 2000}"] == 1.0
+    answers.write_submission(rows.limit(0), str(tmp_path / "none"))
+    assert "".join(p.read_text() for p in (tmp_path / "none").glob("part-*.csv")) == "question_id,answer\n"
+
+
+def test_a_published_table_changes_in_one_step(spark, tmp_path):
+    path = str(tmp_path / "works")
+    with pytest.raises(ValueError):
+        tables.published_table(spark, path)
+    first = spark.createDataFrame([("A", 1), ("B", None)], "k string, v int")
+    assert tables.publish_table(first, path, unique=["k"]) == 2
+    reader = tables.published_table(spark, path)
+    assert tables.publish_table(first.filter("k = 'A'"), path, unique=["k"], required=["k", "v"]) == 1
+    assert reader.count() == 2  # the version before stays for those who read it
+    assert [tuple(r) for r in tables.published_table(spark, path).collect()] == [("A", 1)]
+    for rows, message in ((first, "NULL in v"), (first.union(first), "NULL in v; repeated k")):
+        with pytest.raises(tables.RejectedTable, match=message):
+            tables.publish_table(rows, path, unique=["k"], required=["v"])
+    assert [tuple(r) for r in tables.published_table(spark, path).collect()] == [("A", 1)]
+    assert tables.publish_table(first.limit(0), path, unique=["k"]) == 0
+    assert tables.published_table(spark, path).count() == 0
+    assert len(list((tmp_path / "works").glob("v-*"))) == 2
+
+
+def test_sheets_of_a_mixed_folder_are_routed_by_header(spark, tmp_path):
+    (tmp_path / "x" / "y").mkdir(parents=True)
+    (tmp_path / "one.csv").write_text("\nInvoice No,Client,Outstanding (INR)\nI1,A,5\nInvoice No,B,6\n")
+    (tmp_path / "x" / "two.csv").write_text('Client,Outstanding (INR),Invoice No,Invoice No,Note\nC,7,I2,again,"a, b"\nD,8\n')
+    (tmp_path / "x" / "y" / "three.csv").write_text("Asset ID,Type\n1,Crane\n")
+    (tmp_path / "x" / "four.csv").write_text("name,value\nn,1\n")
+    (tmp_path / "x" / "five.csv").write_text("")
+    sheets = files.read_sheets(spark, str(tmp_path))
+    assert sorted(sheets) == ["plant_machinery_register", "receivables_ageing"]
+    got = sorted(tuple(r) for r in sheets["receivables_ageing"].select("Client", "Invoice No", "Outstanding (INR)").fillna("-").collect())
+    assert got == [("A", "I1", "5"), ("B", "Invoice No", "6"), ("C", "I2", "7"), ("D", "-", "8")]
+    assert sorted(r["Note"] or "" for r in sheets["receivables_ageing"].collect()) == ["", "", "", "a, b"]
+    assert [tuple(r) for r in sheets["plant_machinery_register"].collect()] == [("1", "Crane")]
+    assert len({files.tabular_class(c) for c in (["Invoice No", "Outstanding"], ["asset ID"], ["x"])}) == 3
