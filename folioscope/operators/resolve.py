@@ -158,10 +158,28 @@ def narrow_ties(hits: DataFrame, asked: DataFrame) -> DataFrame:
     return decide(_qualified(scores), TIE_MIN_SCORE, TIE_MIN_MARGIN).filter(F.col("matched").isNotNull())
 
 
-def _settle(hits: DataFrame, asked_words: DataFrame, method: str) -> DataFrame:
-    """Hits of one tier -> one row per question that had any."""
+def _settle_hits(hits: DataFrame, asked_words: DataFrame, method: str) -> DataFrame:
+    """Hits (qid, name) of one tier -> one row per question that had any."""
     grouped = hits.groupBy("qid").agg(F.count("*").alias("n"), F.min("name").alias("first_name"))
-    several = hits.join(grouped.filter("n > 1").select("qid"), "qid", "left_semi")
+    return _settle(grouped, hits.join(_tied(grouped), "qid", "left_semi"), asked_words, method)
+
+
+def _settle_classes(hits: DataFrame, members: DataFrame, asked_words: DataFrame, method: str) -> DataFrame:
+    """The same for hits (qid, _pool, class): only the classes of questions with several names are expanded to names."""
+    sizes = members.groupBy(POOL, "class").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
+    grouped = cut_lineage(
+        hits.join(sizes, [POOL, "class"]).groupBy("qid").agg(F.sum("n_names").alias("n"), F.min("first_name").alias("first_name"))
+    )
+    several = hits.join(_tied(grouped), "qid", "left_semi").join(members, [POOL, "class"]).select("qid", "name")
+    return _settle(grouped, cut_lineage(several), asked_words, method)
+
+
+def _tied(grouped: DataFrame) -> DataFrame:
+    return grouped.filter("n > 1").select("qid")
+
+
+def _settle(grouped: DataFrame, several: DataFrame, asked_words: DataFrame, method: str) -> DataFrame:
+    """``grouped`` (qid, n, first_name) of all questions with hits, ``several``: the hits (qid, name) where n > 1."""
     narrowed = narrow_ties(several, asked_words).select(
         "qid", F.col("matched").alias("narrowed"), F.col("confidence").alias("narrowed_confidence")
     )
@@ -187,10 +205,24 @@ def exact_hits(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     return scoped.join(catalog.select(POOL, "name"), [POOL, "name"], "left_semi").select("qid", "name")
 
 
-def acronym_hits(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+def acronym_classes(catalog: DataFrame) -> DataFrame:
+    """(_pool, class, name): the names of a pool by their set of acronyms, which is the class.
+
+    Names without an acronym are in no class.
+    """
+    spelled = F.array_join(acronyms("name"), " ")
+    return catalog.select(POOL, "name", spelled.alias("class")).filter(F.col("class") != "").distinct()
+
+
+def acronym_class_hits(questions: DataFrame, members: DataFrame) -> DataFrame:
+    """(qid, _pool, acronym, class): short words of a question that spell an acronym of a class.
+
+    An acronym is listed once for each class that has it, however many names that class has.
+    """
     asked = questions.select("qid", POOL, F.explode(acronym_tokens("question")).alias("acronym"))
-    known = catalog.select(POOL, "name", F.explode(acronyms("name")).alias("acronym"))
-    return asked.join(known, [POOL, "acronym"]).select("qid", "name").distinct()
+    # A question has no acronym of more than six letters.
+    listed = members.select(POOL, "class").distinct().select(POOL, "class", F.explode(F.split("class", " ")).alias("acronym"))
+    return asked.join(listed.filter(F.length("acronym") <= 6), [POOL, "acronym"]).select("qid", POOL, "acronym", "class")
 
 
 def resolve(
@@ -215,9 +247,11 @@ def resolve(
         (words if words is not None else name_words("question")).alias("words"),
     )
     asked_words = question_words(asked, names)
-    exact = _settle(cut_lineage(exact_hits(asked, names)), asked_words, "exact")
+    exact = _settle_hits(cut_lineage(exact_hits(asked, names)), asked_words, "exact")
     rest = asked.join(exact.select("qid"), "qid", "left_anti")
-    acronym = _settle(cut_lineage(acronym_hits(rest, names)), asked_words, "acronym")
+    members = cut_lineage(acronym_classes(names))
+    spelled = cut_lineage(acronym_class_hits(rest, members).select("qid", POOL, "class").distinct())
+    acronym = _settle_classes(spelled, members, asked_words, "acronym")
     settled = exact.select("qid").union(acronym.select("qid"))
     scores = fuzzy_scores(asked_words.join(settled, "qid", "left_anti"), names)
     fuzzy = decide(scores, min_score, min_margin).withColumn("method", F.lit("fuzzy"))

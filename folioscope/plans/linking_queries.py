@@ -102,21 +102,34 @@ NAMED_TOKENS_SQL = (
 ORG_SQL = "concat(p_type, ' ', p_name, ', ', p_brand)"
 
 
+ACRONYM_CLASSES_SQL = f"""WITH orgs AS (SELECT DISTINCT {ORG_SQL} AS name FROM part),
+        m AS (SELECT name, array_to_string({ACRONYMS_SQL.format(c='name')}, ' ') AS class FROM orgs)"""
+
+
+def _orgs(spark: SparkSession, sf: str) -> DataFrame:
+    org = F.concat("p_type", F.lit(" "), "p_name", F.lit(", "), "p_brand")
+    return _pooled(v.table(spark, sf, "part").select(org.alias("name")).distinct())
+
+
 @query(
-    f"""WITH orgs AS (SELECT DISTINCT {ORG_SQL} AS name FROM part),
-        a AS (SELECT DISTINCT name, unnest({ACRONYMS_SQL.format(c='name')}) AS acronym FROM orgs),
-        q AS (SELECT doc_id, unnest({NAMED_TOKENS_SQL.format(c='text')}) AS acronym FROM documents),
-        h AS (SELECT DISTINCT doc_id, name FROM q JOIN a ON a.acronym = q.acronym)
-        SELECT doc_id, count(*) AS n_names, min(name) AS first_name, max(name) AS last_name FROM h GROUP BY doc_id"""
+    f"""{ACRONYM_CLASSES_SQL},
+        a AS (SELECT class, count(*) AS n_names, min(name) AS first_name FROM m WHERE class <> '' GROUP BY class),
+        l AS (SELECT *, unnest(string_split(class, ' ')) AS acronym FROM a),
+        q AS (SELECT doc_id, unnest({NAMED_TOKENS_SQL.format(c='text')}) AS acronym FROM documents)
+        SELECT doc_id, q.acronym, class, n_names, first_name FROM q JOIN l ON l.acronym = q.acronym"""
 )
 def acronym_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Acronym tier alone: short words of documents that spell initials of catalog names."""
-    org = F.concat("p_type", F.lit(" "), "p_name", F.lit(", "), "p_brand")
-    names = v.table(spark, sf, "part").select(org.alias("name")).distinct()
-    hits = rs.acronym_hits(_pooled(_documents(spark, sf)), _pooled(names))
-    return hits.groupBy(F.col("qid").alias("doc_id")).agg(
-        F.count("*").alias("n_names"), F.min("name").alias("first_name"), F.max("name").alias("last_name")
-    )
+    """Acronym tier alone: every short word of a document that spells initials of catalog names, by class of names."""
+    members = cut_lineage(rs.acronym_classes(_orgs(spark, sf)))
+    hits = rs.acronym_class_hits(_pooled(_documents(spark, sf)), members)
+    sizes = members.groupBy("class").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
+    return hits.join(sizes, "class").select(F.col("qid").alias("doc_id"), "acronym", "class", "n_names", "first_name")
+
+
+@query(ACRONYM_CLASSES_SQL + " SELECT class, name FROM m WHERE class <> ''")
+def acronym_members(spark: SparkSession, sf: str) -> DataFrame:
+    """The names of each class of equal acronyms."""
+    return rs.acronym_classes(_orgs(spark, sf)).select("class", "name")
 
 
 CASCADE_SQL = (

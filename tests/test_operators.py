@@ -7,6 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
+from folioscope.functions import text as tx
 from folioscope.operators import classify, extract, linking, merge, portfolio, ranking, resolve as rs
 from folioscope.operators.answers import answer_questions
 from folioscope.operators.containment import contained_names
@@ -486,3 +487,19 @@ def test_ranks_and_medians_keep_missing_keys_and_values(spark):
     assert got == {5: 1, 1: 2, 2: 3, 4: 1, 3: 2}
     medians = {r["k"]: (r["n"], r["median"]) for r in ranking.exact_median(df, ["k"], "v").collect()}
     assert medians == {"a": (2, 1_000_002.5), None: (2, 8.0)}
+
+
+def test_acronym_classes_keep_every_hit(spark):
+    names = [f"{a} {b} Works{c}" for a in ("Public", "Port") for b in ("Water", "Way", "Rail") for c in ("", ", Delhi", " of Pune")]
+    catalog = spark.createDataFrame([("", x) for x in [*names, *names[:3], "", "x"]], f"{rs.POOL} string, name string")
+    members = rs.acronym_classes(catalog)
+    assert sorted(r["name"] for r in members.collect()) == sorted(names)
+    asked = [(1, "pww and prw of PWWOP"), (2, "PWW"), (3, "none"), (4, None), (5, "pwwd pwwd")]
+    q = spark.createDataFrame([("", *x) for x in asked], f"{rs.POOL} string, qid int, question string")
+    hits = rs.acronym_class_hits(q, members).join(members, [rs.POOL, "class"])
+    spelled = {r["name"]: r["a"] for r in catalog.select("name", tx.acronyms("name").alias("a")).collect()}
+    want = {(i, t, n) for i, text in asked for t in set((text or "").upper().split()) for n in names if t in spelled[n]}
+    got = [(r["qid"], r["acronym"], r["name"]) for r in hits.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {i for i, *_ in got} >= {1, 2, 5}
+    settled = {r["qid"]: r for r in rs.resolve(q.drop(rs.POOL), catalog.drop(rs.POOL), "name").collect()}
+    assert settled[2]["method"] == "acronym" and settled[2]["tied"] == sorted(n for n in names if "PWW" in spelled[n])
