@@ -7,7 +7,7 @@ from pyspark.sql import Column, functions as F
 from folioscope.functions import fixed_values as fv
 from folioscope.functions.text import as_col, literal_map
 
-# Fixed layouts, day first: 2021-03-10, 06/02/2011, January 12, 2015, 12 January 2015.
+# Fixed layouts, day first: 2019-08-23, 23/08/2019, August 23, 2019, 23 August 2019.
 YEAR_FIRST = r"^(\d{4})([-/])(\d{1,2})\2(\d{1,2})$"
 DAY_FIRST = r"^(\d{1,2})([-/])(\d{1,2})\2(\d{4})$"
 MONTH_NAME_FIRST = r"^([A-Za-z]+)\s+(\d{1,2})(?:,\s*|\s+)(\d{4})$"

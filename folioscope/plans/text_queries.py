@@ -347,13 +347,13 @@ def credential_extract(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     f"""SELECT {v.person_name_sql('s_suppkey')} AS name, concat('EMP-', s_suppkey) AS emp_id,
                concat('Manager ', s_nationkey) AS designation, 'Roads' AS business_unit, '12 years' AS experience_years,
-               'B.E.' AS qualification, DATE '2015-01-12' AS date_of_joining FROM supplier"""
+               'B.E.' AS qualification, DATE '2014-08-23' AS date_of_joining FROM supplier"""
 )
 def cv_extract(spark: SparkSession, sf: str) -> DataFrame:
     page = F.concat(
         F.lit("CURRICULUM VITAE\nName "), v.person_name("s_suppkey"), F.lit("\nEmployee ID EMP-"), F.col("s_suppkey").cast("string"),
         F.lit("\nDesignation Manager "), F.col("s_nationkey").cast("string"),
-        F.lit("\nBusiness Unit Roads\nTotal Experience 12 years\nQualification B.E.\nDate of Joining January 12, 2015\n"),
+        F.lit("\nBusiness Unit Roads\nTotal Experience 12 years\nQualification B.E.\nDate of Joining August 23, 2014\n"),
     )
     docs = v.table(spark, sf, "supplier").select(F.concat(F.lit("CV-"), F.col("s_suppkey").cast("string")).alias("doc_id"), page.alias("page1"))
     return extract.cv_records(docs)
