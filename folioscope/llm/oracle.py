@@ -96,3 +96,69 @@ WITH RECURSIVE steps(i, c, k) AS (
 )
 SELECT judged.word, form, root, n, n_near, form_n FROM judged JOIN roots ON roots.word = judged.word
 """
+
+#: Words as the operators take them; a shingle's words are joined by a space, which no word holds.
+JACCARD = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i : i + 3], ' '))) AS shingle
+  FROM texts WHERE len(w) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM sets a JOIN sets b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT x, y FROM met JOIN sizes s ON s.doc_id = x JOIN sizes t ON t.doc_id = y WHERE 100 * common >= 85 * (s.n + t.n - common)
+), ways AS (
+  SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links
+), reached(doc_id, place) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reached.doc_id, ways.b FROM reached JOIN ways ON ways.a = reached.place
+), components AS (
+  SELECT doc_id, min(place) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, c.component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN components c ON c.doc_id = d.doc_id
+"""
+
+REPEATS = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT rid, doc_id, i, array_to_string(w[i : i + 49], ' ') AS span
+  FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM texts WHERE len(w) >= 50)
+), first_of AS (
+  SELECT span, min(doc_id) AS least FROM windows GROUP BY span
+), repeats AS (
+  SELECT rid, i FROM windows JOIN first_of USING (span) WHERE least < doc_id
+), placed AS (
+  SELECT rid, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM texts WHERE len(w) > 0
+), judged AS (
+  SELECT p.rid, p.i, p.word, coalesce(max(r.i) OVER (PARTITION BY p.rid ORDER BY p.i) >= p.i - 49, false) AS gone
+  FROM placed p LEFT JOIN repeats r ON r.rid = p.rid AND r.i = p.i
+), kept AS (
+  SELECT rid, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS plain FROM judged GROUP BY rid
+)
+SELECT doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(plain, '')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (rid)
+"""
+
+NEAR_VECTORS = r"""
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+    AND len(list_filter(embedding, lambda c: c <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.9
+), reached(vec_id, place) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT reached.vec_id, links.y FROM reached JOIN links ON links.x = reached.place
+), components AS (
+  SELECT vec_id, min(place) AS component_id FROM reached GROUP BY vec_id
+), counts AS (
+  SELECT x AS vec_id, count(*) AS n FROM links GROUP BY x
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e LEFT JOIN counts ON counts.vec_id = e.vec_id LEFT JOIN components ON components.vec_id = e.vec_id
+"""

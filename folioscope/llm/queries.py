@@ -72,4 +72,7 @@ OPERATORS = (
     op8_substrings, op9_arrow_ids, op10_byte_bpe, op11_toxicity, op12_divergence, op13_spelling,
 )
 QUERIES = {query.__name__: query for query in OPERATORS}
-ORACLE_SQL: dict[str, str] = {"op12_divergence": oracle.DIVERGENCE, "op13_spelling": oracle.SPELLING}
+ORACLE_SQL: dict[str, str] = {
+    "op1_flat_graph": oracle.NEAR_VECTORS, "op7_ngram_jaccard": oracle.JACCARD, "op8_substrings": oracle.REPEATS,
+    "op12_divergence": oracle.DIVERGENCE, "op13_spelling": oracle.SPELLING,
+}
