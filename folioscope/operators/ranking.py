@@ -1,21 +1,19 @@
 """Ordered statistics that stay parallel when one key holds a large share of the rows.
 
-A plain window would sort a whole key in one task. These operators split a key's rows by value
-bucket (a pure function of the value, so a recomputed task lands in the same bucket), aggregate
-the buckets, and only ever order rows inside one bucket.
+A plain window would sort a whole key in one task. These operators cut the order (key, value, tie) into ranges
+that Spark's range exchange samples from the rows themselves, so a hot key, a dense stretch of values and many equal
+values are spread over as many tasks as they fill, whatever the values' unit. Ranges are ordered, so what lies before a
+range is a running sum over one row per key and range. A recomputed range exchange may cut elsewhere, so
+the ranges are written before they are read twice.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-BUCKET_WIDTH = 1_000_000
-SALTS = 16
-
+from folioscope.session import cut_lineage
 
-def _bucket(value: Column, width: int) -> Column:
-    """Missing values share the lowest bucket, so they rank last."""
-    return F.coalesce(F.floor(value / F.lit(width)).cast("bigint"), F.lit(-(1 << 62)))
+SALTS = 16
 
 
 def _join_null_safe(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFrame:
@@ -25,70 +23,73 @@ def _join_null_safe(rows: DataFrame, side: DataFrame, on: list[str]) -> DataFram
     return rows.join(side, same).drop(*[f"_on_{c}" for c in on])
 
 
-def _bucket_offsets(per_bucket: DataFrame, keys: list[str], measure: str) -> DataFrame:
-    """Sum of ``measure`` over the buckets above each bucket."""
-    above = (
-        Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    return per_bucket.select(
-        *keys, "_bucket", F.coalesce(F.sum(measure).over(above), F.lit(0).cast("bigint")).alias("_offset")
-    )
+def _ranges(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """Rows sorted within ordered ranges of (keys, order), with their place ``_at``: range << 33 | row."""
+    by = [*map(F.col, keys), *order]
+    return cut_lineage(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+
+
+def _range_of(at: str = "_at") -> Column:
+    return F.shiftright(at, 33).cast("int")
+
 
+def _offsets(per_range: DataFrame, keys: list[str], measure: str) -> DataFrame:
+    """Sum of ``measure`` over a key's ranges before each range: one row per key and range."""
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return per_range.withColumn("_offset", F.coalesce(F.sum(measure).over(before), F.lit(0).cast("bigint"))).drop(measure)
 
-def rank_descending(
-    df: DataFrame, keys: list[str], value: str, tie: str, rank: str = "rank", width: int = BUCKET_WIDTH
-) -> DataFrame:
+
+def rank_descending(df: DataFrame, keys: list[str], value: str, tie: str, rank: str = "rank") -> DataFrame:
     """Row number within ``keys`` by ``value`` descending, then ``tie`` ascending.
 
-    Rows without a value rank last; rows without a key are a group of their own.
+    Rows without a value rank last; rows without a key are a group of their own. A key's rows are consecutive in every
+    range, so a row's number is its distance from the key's first row there, plus the key's rows in earlier ranges.
     """
-    rows = df.withColumn("_bucket", _bucket(F.col(value), width))
-    counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    offsets = _bucket_offsets(counts, keys, "_n")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(F.desc(value), F.asc(tie))
+    rows = _ranges(df, keys, [F.desc_nulls_last(value), F.asc(tie)]).withColumn("_range", _range_of())
+    per_range = rows.groupBy(*keys, "_range").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    offsets = _offsets(per_range, keys, "_n")
     return (
-        _join_null_safe(rows.withColumn("_rn", F.row_number().over(inside)), offsets, [*keys, "_bucket"])
-        .withColumn(rank, F.col("_rn") + F.col("_offset"))
-        .drop("_bucket", "_rn", "_offset")
+        _join_null_safe(rows, offsets, [*keys, "_range"])
+        .withColumn(rank, F.col("_at") - F.col("_first") + F.col("_offset") + 1)
+        .drop("_at", "_range", "_first", "_offset")
     )
 
 
-def sum_at_or_above(
-    facts: DataFrame, bars: DataFrame, key: str, value: str, bar: str, width: int = BUCKET_WIDTH
-) -> DataFrame:
+def _running_sum(points: DataFrame, keys: list[str], order: list[Column], measure: str, out: str) -> DataFrame:
+    """``points`` with the sum of ``measure`` over their key's points up to each one in the order."""
+    ranged = _ranges(points, keys, order).withColumn("_range", _range_of())
+    offsets = _offsets(ranged.groupBy(*keys, "_range").agg(F.sum(measure).alias("_n")), keys, "_n")
+    inside = Window.partitionBy(*keys, "_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return (
+        _join_null_safe(ranged.withColumn("_run", F.sum(measure).over(inside)), offsets, [*keys, "_range"])
+        .withColumn(out, F.col("_run") + F.col("_offset"))
+        .drop("_at", "_range", "_run", "_offset")
+    )
+
+
+def sum_at_or_above(facts: DataFrame, bars: DataFrame, key: str, value: str, bar: str) -> DataFrame:
     """For every distinct (key, bar): the sum of ``value`` over the key's rows with value >= bar.
 
     Facts are pre-aggregated per (key, value); bars join them as extra points on the same axis,
-    so the cost follows rows + bars instead of their product within a key.
+    so the cost follows rows + bars instead of their product within a key. Rows and bars without a key
+    or a value have no place on the axis.
     """
     points = (
-        facts.select(F.col(key).alias("_key"), F.col(value).alias("_at"), F.col(value).alias("_v"))
-        .groupBy("_key", "_at")
-        .agg(F.sum("_v").alias("_sum"))
+        facts.filter(F.col(key).isNotNull() & F.col(value).isNotNull())
+        .select(F.col(key).alias("_key"), F.col(value).alias("_axis"))
+        .groupBy("_key", "_axis")
+        .agg(F.sum("_axis").alias("_sum"))
         .withColumn("_is_bar", F.lit(0))
     )
     wanted = (
-        bars.select(F.col(key).alias("_key"), F.col(bar).alias("_at"))
+        bars.filter(F.col(key).isNotNull() & F.col(bar).isNotNull())
+        .select(F.col(key).alias("_key"), F.col(bar).alias("_axis"))
         .distinct()
-        .select("_key", "_at", F.lit(0).cast("bigint").alias("_sum"), F.lit(1).alias("_is_bar"))
-    )
-    axis = points.unionByName(wanted).withColumn("_bucket", _bucket(F.col("_at"), width))
-    per_bucket = axis.groupBy("_key", "_bucket").agg(F.sum("_sum").alias("_n"))
-    offsets = _bucket_offsets(per_bucket, ["_key"], "_n")
-    running = (
-        Window.partitionBy("_key", "_bucket")
-        .orderBy(F.desc("_at"), "_is_bar")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .select("_key", "_axis", F.lit(0).cast("bigint").alias("_sum"), F.lit(1).alias("_is_bar"))
     )
-    return (
-        axis.withColumn("_run", F.sum("_sum").over(running))
-        .filter(F.col("_is_bar") == 1)
-        .join(offsets, ["_key", "_bucket"])
-        .select(
-            F.col("_key").alias(key),
-            F.col("_at").alias(bar),
-            (F.col("_run") + F.col("_offset")).alias("total_at_or_above"),
-        )
+    summed = _running_sum(points.unionByName(wanted), ["_key"], [F.desc("_axis"), F.asc("_is_bar")], "_sum", "_total")
+    return summed.filter("_is_bar = 1").select(
+        F.col("_key").alias(key), F.col("_axis").alias(bar), F.col("_total").alias("total_at_or_above")
     )
 
 
@@ -128,7 +129,8 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
 
     A mergeable quantile sketch gives each key a narrow bracket that must contain the middle
     ranks; the second pass counts what lies below it and orders only the values inside it. Rows
-    meet their bracket under a salt taken from the value, so a hot key is spread over SALTS tasks.
+    meet their bracket under a salt taken from the value, so a hot key is spread over SALTS tasks;
+    the values inside are ordered in ranges.
     """
     rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     brackets = rows.groupBy(*keys).agg(
@@ -145,8 +147,7 @@ def exact_median(df: DataFrame, keys: list[str], value: str, out: str = "median"
         .groupBy(*keys, F.when(inside, F.col("_v")).alias("_v"))
         .agg(F.count("*").alias("_c"), F.first("n").alias("n"))
     )
-    upto = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_v"))
-    placed = counted.withColumn("_hi", F.sum("_c").over(upto)).withColumn("_lo", F.col("_hi") - F.col("_c"))
+    placed = _running_sum(counted, keys, [F.asc_nulls_first("_v")], "_c", "_hi").withColumn("_lo", F.col("_hi") - F.col("_c"))
     # Zero-based middle ranks; they coincide for odd n.
     lower, upper = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
 

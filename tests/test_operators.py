@@ -5,7 +5,7 @@ import random
 import statistics
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from folioscope.functions import text as tx
 from folioscope.operators import classify, extract, linking, merge, portfolio, ranking, resolve as rs
@@ -46,7 +46,7 @@ def test_rank_and_top_two(spark):
     for k, v, i in rows:
         groups.setdefault(k, []).append((-v, i))
     ranks = {(k, i): n + 1 for k, g in groups.items() for n, (_, i) in enumerate(sorted(g))}
-    ranked = ranking.rank_descending(df, ["k"], "v", "i", width=100)
+    ranked = ranking.rank_descending(df, ["k"], "v", "i")
     assert {(r["k"], r["i"]): r["rank"] for r in ranked.collect()} == ranks
     gaps = {k: (lambda s: s[0] - (s[1] if len(s) > 1 else 0))(sorted((-v for v, _ in g), reverse=True)) for k, g in groups.items()}
     assert {r["k"]: r["gap"] for r in ranking.top_two_gap(df, ["k"], "v", "i").collect()} == gaps
@@ -56,12 +56,41 @@ def test_sum_at_or_above(spark):
     rows = [(k, abs(v) % 5000, i) for k, v, i in _skewed(3)]
     df = spark.createDataFrame(rows, "k string, v bigint, i bigint")
     bars = [(k, b) for k in ("hot", "same", "one", "k3", "unknown") for b in (0, 5, 6, 2500, 10**6)]
-    got = ranking.sum_at_or_above(df, spark.createDataFrame(bars, "k string, bar bigint"), "k", "v", "bar", width=50)
+    got = ranking.sum_at_or_above(df, spark.createDataFrame(bars, "k string, bar bigint"), "k", "v", "bar")
     assert {(r[0], r[1]): r[2] for r in got.collect()} == {
         (k, b): sum(v for kk, v, _ in rows if kk == k and v >= b) for k, b in bars
     }
 
 
+@pytest.mark.parametrize("values", ["below a million", "equal", "spread"])
+def test_hot_keys_are_cut_into_ranges_whatever_their_values(spark, values):
+    n = 24_000
+    value = {"below a million": F.pmod(F.xxhash64("i"), F.lit(1000)), "equal": F.lit(7), "spread": F.xxhash64("i") % 10**9}[values]
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, "other").otherwise("hot").alias("k"), F.col("id").alias("i"))
+    df = df.withColumn("v", value.cast("bigint")).repartition(6)
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        ranges = ranking._ranges(df, ["k"], [F.desc("v"), F.asc("i")]).groupBy(ranking._range_of().alias("r")).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(ranges) >= parts - 1 and max(r["count"] for r in ranges) <= 3 * n / parts
+    order = Window.partitionBy("k").orderBy(F.desc("v"), "i")
+    want = df.withColumn("rank", F.row_number().over(order))
+    got = ranking.rank_descending(df, ["k"], "v", "i").select("k", "i", "v", F.col("rank").cast("int"))
+    assert got.exceptAll(want).isEmpty() and got.count() == n
+
+
+def test_ranks_of_empty_tables_and_sums_of_missing_keys(spark):
+    none = spark.createDataFrame([], "k string, v bigint, i bigint")
+    assert ranking.rank_descending(none, ["k"], "v", "i").collect() == []
+    assert ranking.exact_median(none, ["k"], "v").collect() == []
+    facts = spark.createDataFrame([("a", 5, 1), ("a", None, 2), (None, 8, 3)], "k string, v bigint, i bigint")
+    bars = spark.createDataFrame([("a", 5), ("a", None), (None, 1)], "k string, bar bigint")
+    assert [tuple(r) for r in ranking.sum_at_or_above(facts, bars, "k", "v", "bar").collect()] == [("a", 5, 5)]
+
+
 def test_sum_after_is_strict(spark):
     d = datetime.date
     facts = spark.createDataFrame(
