@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from folioscope.functions.text import blank_to_null
@@ -140,10 +144,9 @@ def apply_canonical(df: DataFrame, name: str, spellings: DataFrame) -> DataFrame
 
 # --- several records of one work -----------------------------------------------------------------
 
-CHUNK_ROWS = 64
+CHUNK_ROWS = 4096
+FAN_IN = 64
 CELL_BUCKETS = 65_536
-# A step maps a value in [lo, hi] to ``to`` and leaves every other value alone.
-STEP = "struct<lo:bigint,hi:bigint,to:bigint>"
 
 
 def merge_records(records: DataFrame, key: str = "package_no", seq: str = "seq", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -151,12 +154,12 @@ def merge_records(records: DataFrame, key: str = "package_no", seq: str = "seq",
 
     In order of completeness (then ``seq``), each further record replaces the current value when
     it is positive, different and less than SAME_VALUE_RUPEES away. ``seq`` must be a unique
-    integer. Only values that lie in one run with the first record's, each less than that far
-    from the next, can ever become current; the other records are left out. The fold is
-    sequential, but the effect of a run of records on any value is a small set of intervals, and
-    such effects compose. Records are therefore folded in chunks of at most ``chunk_rows``, then
-    the chunks' effects in groups of that size, until one effect per key is left. That one
-    grows with the distinct values of the run.
+    integer. Keys of up to ``chunk_rows`` records are folded as they are. Of longer keys, only values that
+    lie in one run with the first record's, each less than that far from the next, can ever become current; the
+    other records are left out. The fold is sequential, but the effect of a run of records on any value is a
+    set of intervals, and such effects compose: records are folded in chunks of at most ``chunk_rows``, then the chunks'
+    effects in groups of FAN_IN, until one effect per key is left. That one grows with the distinct values of the run.
+    Records without a key are one group, which keeps its first record's value.
     """
     order = F.struct((-F.col("completeness")).alias("o"), F.col(seq).alias("s"))
     row = F.struct(*records.columns)
@@ -173,24 +176,36 @@ def merge_records(records: DataFrame, key: str = "package_no", seq: str = "seq",
         F.col("value_inr").cast("bigint").alias("_v"),
     )
     primary = cut_lineage(primary)
-    starts = primary.filter("_row.value_inr is not null").select("_key", F.col("_row.value_inr").cast("bigint").alias("_v"))
-    effect = _compose_all(cut_lineage(_within_reach(rest, starts)), chunk_rows)
-    start = F.col("_row.value_inr")
-    merged = primary.join(effect, "_key", "left").withColumn(
-        "_value",
-        F.coalesce(
-            F.try_element_at(
-                F.filter("_steps", lambda p: (p["lo"] <= start) & (start <= p["hi"])), F.lit(1)
-            )["to"],
-            start,
-        ),
-    )
+    starts = primary.filter("_row.value_inr is not null").select("_key", F.col("_row.value_inr").cast("bigint").alias("_start"), "_n")
+    values = _fold_short(rest, starts.filter(F.col("_n").between(2, chunk_rows)))
+    long = starts.filter(F.col("_n") > chunk_rows)
+    if not long.isEmpty():
+        values = values.union(_fold_long(rest, long, chunk_rows))
     fields = [c for c in records.columns if c not in ("value_inr", "client_name")]
-    return merged.select(
+    return primary.join(values, "_key", "left").select(
         *[F.col(f"_row.{c}").alias(c) for c in fields],
         F.coalesce(blank_to_null("_row.client_name"), "_client").alias("client_name"),
-        F.col("_value").alias("value_inr"),
+        F.coalesce("_value", "_row.value_inr").alias("value_inr"),
+    )
+
+
+def _fold_short(rest: DataFrame, starts: DataFrame) -> DataFrame:
+    """(_key, _value) of keys with few records, folded in their order."""
+    def step(current: Column, r: Column) -> Column:
+        return F.when(F.abs(r["_v"] - current) < SAME_VALUE_RUPEES, r["_v"]).otherwise(current)
+
+    listed = rest.join(starts.select("_key", "_start"), "_key").groupBy("_key").agg(
+        F.first("_start").alias("_start"), F.array_sort(F.collect_list(F.struct("_o", "_s", "_v"))).alias("_rows")
     )
+    return listed.select("_key", F.aggregate("_rows", F.col("_start"), step).alias("_value"))
+
+
+def _fold_long(rest: DataFrame, starts: DataFrame, chunk_rows: int) -> DataFrame:
+    """(_key, _value) of keys with many records, folded through the effects of chunks."""
+    near = cut_lineage(_within_reach(rest, starts.select("_key", F.col("_start").alias("_v"))))
+    met = _compose_all(near, chunk_rows).join(starts.select("_key", "_start"), "_key")
+    hit = F.filter("_steps", lambda p: (p["lo"] <= F.col("_start")) & (F.col("_start") <= p["hi"]))
+    return met.select("_key", F.coalesce(F.try_element_at(hit, F.lit(1))["to"], "_start").alias("_value"))
 
 
 def _within_reach(rest: DataFrame, starts: DataFrame) -> DataFrame:
@@ -220,82 +235,86 @@ def _within_reach(rest: DataFrame, starts: DataFrame) -> DataFrame:
     return rest.join(reach, "_key").filter(bucket.between(F.col("_lo"), F.col("_hi"))).select(*rest.columns)
 
 
-def _follow(steps: Column, nxt: Column) -> Column:
-    """The effect of ``steps`` followed by the intervals ``nxt``, as intervals again."""
-    def hit(point: Column) -> Column:
-        return F.try_element_at(F.filter(nxt, lambda q: (q["lo"] <= point) & (point <= q["hi"])), F.lit(1))["to"]
-
-    def interval(lo: Column, hi: Column, to: Column) -> Column:
-        return F.struct(lo.alias("lo"), hi.alias("hi"), to.alias("to"))
-
-    def minus_one(open_parts: Column, p: Column) -> Column:
-        """Cut the interval ``p`` out of every open part."""
-        return F.flatten(
-            F.transform(
-                open_parts,
-                lambda q: F.filter(
-                    F.array(
-                        interval(q["lo"], F.least(q["hi"], p["lo"] - 1), q["to"]),
-                        interval(F.greatest(q["lo"], p["hi"] + 1), q["hi"], q["to"]),
-                    ),
-                    lambda r: r["lo"] <= r["hi"],
-                ),
-            )
-        )
+class Effect:
+    """What a run of records does to any value: disjoint intervals (lo, hi, to) in order; others stay as they are."""
 
-    moved = F.transform(steps, lambda p: interval(p["lo"], p["hi"], F.coalesce(hit(p["to"]), p["to"])))
-    untouched = F.aggregate(steps, nxt, minus_one)
-    joined = F.array_sort(F.concat(moved, untouched))
-    # Neighbouring intervals with the same target become one.
-    return F.aggregate(
-        joined,
-        F.array().cast(f"array<{STEP}>"),
-        lambda acc, p: F.when(
-            (F.size(acc) > 0)
-            & (F.try_element_at(acc, F.lit(-1))["hi"] + 1 == p["lo"])
-            & (F.try_element_at(acc, F.lit(-1))["to"] == p["to"]),
-            F.concat(
-                F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-                F.array(interval(F.try_element_at(acc, F.lit(-1))["lo"], p["hi"], p["to"])),
-            ),
-        ).otherwise(F.concat(acc, F.array(p))),
-    )
+    def __init__(self, lo: Iterable[int] = (), hi: Iterable[int] = (), to: Iterable[int] = ()) -> None:
+        self.lo, self.hi, self.to = list(lo), list(hi), list(to)
+
+    def of(self, value: int) -> int:
+        at = bisect_right(self.lo, value) - 1
+        return self.to[at] if at >= 0 and value <= self.hi[at] else value
+
+    def assign(self, lo: int, hi: int, to: int) -> None:
+        """Map [lo, hi] to ``to``, whatever was there before."""
+        first, last = bisect_left(self.hi, lo), bisect_right(self.lo, hi)  # the intervals that overlap
+        put = [(lo, hi, to)]
+        if first < last:
+            if self.lo[first] < lo:
+                put.insert(0, (self.lo[first], lo - 1, self.to[first]))
+            if self.hi[last - 1] > hi:
+                put.append((hi + 1, self.hi[last - 1], self.to[last - 1]))
+        for held, new in zip((self.lo, self.hi, self.to), zip(*put), strict=True):
+            held[first:last] = new
+
+    def after(self, first: Effect) -> Effect:
+        """The effect of ``first`` and then this one."""
+        out = Effect(self.lo, self.hi, self.to)
+        for lo, hi, to in zip(first.lo, first.hi, [self.of(t) for t in first.to], strict=True):
+            out.assign(lo, hi, to)
+        return out.joined()
+
+    def joined(self) -> Effect:
+        """Touching intervals with one target become one."""
+        out = Effect()
+        for lo, hi, to in zip(self.lo, self.hi, self.to, strict=True):
+            if out.to and out.to[-1] == to and out.hi[-1] + 1 == lo:
+                out.hi[-1] = hi
+            else:
+                out.lo.append(lo), out.hi.append(hi), out.to.append(to)
+        return out
+
+
+def _effect_of(values: Iterable[int], reach: int) -> Effect:
+    """The effect of values in their order, built from the last one back: what a value leads to is known by then."""
+    out = Effect()
+    for v in reversed(list(values)):
+        out.assign(v - reach, v + reach, out.of(v))
+    return out.joined()
+
+
+STEPS = pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64()), ("to", pa.int64())]))
 
 
 def _compose_all(rest: DataFrame, chunk_rows: int) -> DataFrame:
     """(_key, _o, _s, _v) -> (_key, _steps): the composed effect of a key's records in order."""
     reach = SAME_VALUE_RUPEES - 1
-    # Chunks are cut on the unique sequence number, which bounds them whatever the key is.
-    effects = rest.select(
-        "_key",
-        "_o",
-        F.floor(F.col("_s") / chunk_rows).cast("bigint").alias("_c"),
-        F.struct(
-            F.col("_s").alias("at"),
-            F.array(
-                F.struct((F.col("_v") - reach).alias("lo"), (F.col("_v") + reach).alias("hi"), F.col("_v").alias("to"))
-            ).alias("steps"),
-        ).alias("e"),
-    )
+    names = ["_key", "_o", "_c"]
+    schema = f"_key {dict(rest.dtypes)['_key']}, _o bigint, _c bigint, _steps array<struct<lo:bigint,hi:bigint,to:bigint>>"
 
-    def fold(df: DataFrame, by: list[str]) -> DataFrame:
-        parts = F.array_sort(F.collect_list("e"))
-        return df.groupBy(*by).agg(
-            F.aggregate(
-                F.transform(parts, lambda e: e["steps"]),
-                F.array().cast(f"array<{STEP}>"),
-                _follow,
-            ).alias("_steps")
-        )
+    def one(table: pa.Table, effect: Effect) -> pa.Table:
+        steps = [{"lo": lo, "hi": hi, "to": to} for lo, hi, to in zip(effect.lo, effect.hi, effect.to, strict=True)]
+        head = table.select(names).slice(0, 1)
+        return head.append_column("_steps", pa.array([steps], STEPS))
 
-    def as_effect(df: DataFrame, at: str) -> DataFrame:
-        return df.withColumn("e", F.struct(F.col(at).alias("at"), F.col("_steps").alias("steps"))).drop("_steps")
+    def records(table: pa.Table) -> pa.Table:
+        return one(table, _effect_of(table.sort_by("_s").column("_v").to_pylist(), reach))
 
-    level = fold(effects, ["_key", "_o", "_c"])
-    span = rest.agg(F.max(F.floor(F.col("_s") / chunk_rows))).first()[0] or 0
+    def effects(table: pa.Table) -> pa.Table:
+        whole = Effect()
+        for steps in table.sort_by("_at").column("_steps").to_pylist():
+            whole = Effect(*zip(*[(p["lo"], p["hi"], p["to"]) for p in steps])).after(whole)
+        return one(table, whole)
+
+    def up(level: DataFrame, at: str, chunk: Column, o: Column) -> DataFrame:
+        return level.select("_key", o.cast("bigint").alias("_o"), chunk.cast("bigint").alias("_c"), F.col(at).alias("_at"), "_steps")
+
+    # Chunks are cut on the unique sequence number, which bounds them whatever the key is.
+    chunks = rest.withColumn("_c", F.floor(F.col("_s") / chunk_rows).cast("bigint"))
+    level = cut_lineage(chunks.groupBy(*names).applyInArrow(records, schema))
+    span = level.agg(F.max("_c") - F.min("_c")).first()[0] or 0
     while span > 0:
-        # Most keys have one chunk; only the long ones need another level.
-        level = cut_lineage(as_effect(level, "_c").withColumn("_c", F.floor(F.col("_c") / chunk_rows).cast("bigint")))
-        level = fold(level, ["_key", "_o", "_c"])
-        span //= chunk_rows
-    return fold(as_effect(level, "_o"), ["_key"])
+        level = cut_lineage(up(level, "_c", F.floor(F.col("_c") / FAN_IN), F.col("_o")).groupBy(*names).applyInArrow(effects, schema))
+        span = level.agg(F.max("_c") - F.min("_c")).first()[0] or 0
+    whole = up(level, "_o", F.lit(0), F.lit(0)).groupBy(*names).applyInArrow(effects, schema)
+    return whole.select("_key", "_steps")

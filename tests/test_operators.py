@@ -154,9 +154,38 @@ def test_merge_of_far_values_and_runs_over_cell_edges(spark):
     rows += [("edge", 3, 30_000 + i, edge - 1200 + 600 * i) for i in range(6)] + [("edge", 9, 29_999, edge - 1200)]
     rows += [("none", 2, 40_000, None), ("none", 1, 40_001, 5), ("zero", 2, 40_002, 0), ("zero", 1, 40_003, 5)]
     df = spark.createDataFrame([(*r, None) for r in rows], "package_no string, completeness int, seq bigint, value_inr bigint, client_name string")
-    assert pairs(merge.merge_records(df), "package_no", "value_inr") == [
-        ("edge", edge + 1800), ("far", 7), ("none", None), ("zero", 5),
-    ]
+    for chunk in (4, merge.CHUNK_ROWS):
+        assert pairs(merge.merge_records(df, chunk_rows=chunk), "package_no", "value_inr") == [
+            ("edge", edge + 1800), ("far", 7), ("none", None), ("zero", 5),
+        ]
+
+
+def test_merge_of_one_long_run_and_of_records_without_a_key(spark):
+    rng = random.Random(3)
+    values = [10**6 + 400 * i for i in range(20_000)]
+    rng.shuffle(values)
+    rows = [("run", rng.randrange(3), i, v, None) for i, v in enumerate(values)]
+    rows += [(None, 1, 30_000, 900, None), (None, 2, 30_001, 500, "C")]
+    cols = ["package_no", "completeness", "seq", "value_inr", "client_name"]
+    df = spark.createDataFrame(rows, "package_no string, completeness int, seq bigint, value_inr bigint, client_name string").repartition(4)
+    want = _fold([dict(zip(cols, r)) for r in rows if r[0]])[0]
+    got = {r["package_no"]: (r["value_inr"], r["client_name"]) for r in merge.merge_records(df).collect()}
+    assert got == {"run": (want, None), None: (500, "C")}
+    assert merge.merge_records(df.limit(0)).collect() == []
+
+
+def test_effects_compose_like_the_fold():
+    rng = random.Random(8)
+    for _ in range(300):
+        values = [rng.randrange(60) for _ in range(rng.randrange(12))]
+        cut = rng.randrange(len(values) + 1)
+        whole = merge._effect_of(values[cut:], 4).after(merge._effect_of(values[:cut], 4))
+        assert all(hi < lo for hi, lo in zip(whole.hi, whole.lo[1:]))
+        for start in range(-6, 70):
+            current = start
+            for v in values:
+                current = v if abs(v - current) <= 4 else current
+            assert whole.of(start) == current == merge._effect_of(values, 4).of(start)
 
 
 def test_canonical_spelling_prefers_mixed_case(spark):
