@@ -3,7 +3,8 @@
 Every name gets one *anchor* that any text containing it must also have; texts are joined on
 the anchor and only those candidates are verified. Names with three or more words use their
 rarest inner word: it is delimited on both sides, so it is a whole word of the text too. Shorter
-names may start or end inside a word of the text, so they use a run of characters.
+names may start or end inside a word of the text: two words use the characters around what
+separates them, which a text has once per word, and single words use a run of characters.
 """
 
 from __future__ import annotations
@@ -20,6 +21,11 @@ GRAM_SIZES = (16, 8, 4, 2, 1)
 # Single tokens are short, so finer steps cost little there and leave few false candidates.
 TOKEN_GRAM_SIZES = (12, 8, 6, 5, 4, 3, 2, 1)
 WORD = "[\\p{L}\\p{N}]+"
+# Characters before and after the separator of two words, longest first.
+END_SIZES = (4, 2, 1)
+START_SIZES = (16, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1)
+# A seam of m and n characters is kind -(100 m + n); kind 0 is a word, others are run lengths.
+SEAMS = {-(100 * m + n): (m, n) for m in END_SIZES for n in START_SIZES}
 
 
 def _tokens(text: Column) -> Column:
@@ -31,6 +37,24 @@ def _runs(text: Column, size: int) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
+def _seams(text: Column, kind: int) -> Column:
+    """The last characters of a word, what follows up to the next word, and the first characters of that."""
+    m, n = SEAMS[kind]
+    letter = "[\\p{L}\\p{N}]"
+    return F.regexp_extract_all(text, F.lit(f"(?=({letter}{{{m}}}[^\\p{{L}}\\p{{N}}]+{letter}{{{n}}}))"), F.lit(1))
+
+
+def _found(text: Column, kind: int) -> Column:
+    """All anchors of one kind in a text."""
+    if kind == 0:
+        return _tokens(text)
+    return _runs(text, kind) if kind > 0 else _seams(text, kind)
+
+
+def _largest(length: Column, sizes: tuple[int, ...]) -> Column:
+    return reduce(lambda acc, n: F.when(length >= n, F.lit(n)).otherwise(acc), reversed(sizes), F.lit(None))
+
+
 def _rarest(options: DataFrame) -> DataFrame:
     """(name, kind, anchor) options -> one anchor per name: fewest names share it, then longest."""
     shared = options.groupBy("kind", "anchor").agg(F.count("*").alias("df"))
@@ -43,38 +67,35 @@ def _rarest(options: DataFrame) -> DataFrame:
 
 
 def _name_options(names: DataFrame, whole_words: bool, sizes: tuple[int, ...]) -> DataFrame:
-    """Every possible anchor of every distinct name: (name, kind, anchor). kind 0 = word, n = run."""
-    low = F.lower("name")
-    tokens = _tokens(low)
-    if whole_words:
-        by_word = F.size(tokens) > 0
-        inner = tokens
-    else:
-        by_word = F.size(tokens) >= 3
-        inner = F.slice(tokens, 2, F.greatest(F.size(tokens) - 2, F.lit(0)))
-    size = reduce(
-        lambda acc, n: F.when(F.length(low) >= n, F.lit(n)).otherwise(acc), reversed(sizes), F.lit(None)
-    )
-    kinds = F.when(by_word, 0).otherwise(size)
+    """Every possible anchor of every distinct name: (name, kind, anchor). kind 0 = word, n = run, below 0 = seam."""
+    named = names.filter(F.length("name") > 0).withColumn("_low", F.lower("name")).withColumn("_ws", _tokens(F.col("_low")))
+    low, tokens, n_tokens = F.col("_low"), F.col("_ws"), F.size("_ws")
+    by_word, inner = n_tokens > 0, tokens
+    two_words = F.lit(False)
+    if not whole_words:
+        by_word, inner = n_tokens >= 3, F.slice(tokens, 2, F.greatest(n_tokens - 2, F.lit(0)))
+        two_words = n_tokens == 2
+    first, second = F.try_element_at(tokens, F.lit(1)), F.try_element_at(tokens, F.lit(2))
+    m, n = _largest(F.length(first), END_SIZES), _largest(F.length(second), START_SIZES)
+    between = F.regexp_extract(low, f"{WORD}([^\\p{{L}}\\p{{N}}]+){WORD}", 1)
+    seam = F.concat(F.right(first, m), between, F.left(second, n))
+    kinded = named.withColumn("kind", F.when(by_word, 0).when(two_words, -(100 * m + n)).otherwise(_largest(F.length(low), sizes)))
+    kind = F.col("kind")
     anchors = reduce(
-        lambda acc, n: F.when(F.col("kind") == n, _runs(low, n)).otherwise(acc),
+        lambda acc, size: F.when(kind == size, _runs(low, size)).otherwise(acc),
         sizes,
-        F.when(F.col("kind") == 0, inner),
-    )
-    return (
-        names.filter(F.length("name") > 0)
-        .withColumn("kind", kinds)
-        .select("name", "kind", F.explode(F.array_distinct(anchors)).alias("anchor"))
+        F.when(kind == 0, inner).when(kind < 0, F.array(seam)),
     )
+    return kinded.select("name", "kind", F.explode(F.array_distinct(anchors)).alias("anchor"))
 
 
-def _text_anchors(texts: DataFrame, text_id: str, text: str, sizes: list[int]) -> DataFrame:
-    """(text_id, kind, anchor) for words and for the run lengths the catalog really uses."""
+def _text_anchors(texts: DataFrame, text_id: str, text: str, kinds: list[int]) -> DataFrame:
+    """(text_id, kind, anchor) for the kinds of anchor the catalog really uses; each kind has tasks of its own."""
     low = F.lower(text)
     parts = []
-    for kind in sizes:
-        found = _tokens(low) if kind == 0 else _runs(low, kind)
-        parts.append(texts.select(text_id, F.lit(kind).alias("kind"), F.explode(F.array_distinct(found)).alias("anchor")))
+    for kind in kinds:
+        found = F.explode(F.array_distinct(_found(low, kind)))
+        parts.append(texts.select(text_id, F.lit(kind).alias("kind"), found.alias("anchor")))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -94,7 +115,7 @@ def contained_names(
     """
     wanted = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
     anchors = cut_lineage(_rarest(_name_options(wanted, whole_words, sizes)))
-    # At most nine values: decides which kinds of anchor the texts have to produce.
+    # A few dozen values at most: decides which kinds of anchor the texts have to produce.
     kinds = sorted(r[0] for r in anchors.select("kind").distinct().collect())
     if not kinds:
         return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))

@@ -138,15 +138,16 @@ def fuzzy_scores(asked: DataFrame, catalog: DataFrame) -> DataFrame:
     return _qualified(shared_words(asked, postings, [POOL]).join(totals, [POOL, "name"]))
 
 
-def narrow_ties(hits: DataFrame, asked: DataFrame) -> DataFrame:
-    """Re-score each question's tied names among themselves; rarity is counted within the tie."""
+def _tie_scores(hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """(qid, name, overlap, total, n_shared, min_df) of names within the tie of their question."""
     names = hits.select("qid", "name", F.explode(name_words("name")).alias("word"))
     df = names.groupBy("qid", "word").agg(F.count("*").alias("df"))
     asked = asked.select("qid", "word", F.lit(1).alias("hit"))
     shared, weight = F.col("hit").isNotNull(), F.lit(1.0) / F.col("df")
-    scores = (
-        names.join(df, ["qid", "word"])
-        .join(asked, ["qid", "word"], "left")
+    # Sizes before the explode say nothing about its rows, so neither side may be broadcast by them.
+    return (
+        names.hint("merge").join(df, ["qid", "word"])
+        .hint("merge").join(asked, ["qid", "word"], "left")
         .groupBy("qid", "name")
         .agg(
             F.sum(F.when(shared, weight).otherwise(0.0)).alias("overlap"),
@@ -155,6 +156,11 @@ def narrow_ties(hits: DataFrame, asked: DataFrame) -> DataFrame:
             F.min(F.when(shared, F.col("df"))).alias("min_df"),
         )
     )
+
+
+def narrow_ties(hits: DataFrame, asked: DataFrame) -> DataFrame:
+    """Re-score each question's tied names among themselves; rarity is counted within the tie."""
+    scores = _tie_scores(hits, asked)
     return decide(_qualified(scores), TIE_MIN_SCORE, TIE_MIN_MARGIN).filter(F.col("matched").isNotNull())
 
 
