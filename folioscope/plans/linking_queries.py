@@ -113,17 +113,15 @@ def _orgs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""{ACRONYM_CLASSES_SQL},
-        a AS (SELECT class, count(*) AS n_names, min(name) AS first_name FROM m WHERE class <> '' GROUP BY class),
-        l AS (SELECT *, unnest(string_split(class, ' ')) AS acronym FROM a),
+        l AS (SELECT name, unnest(string_split(class, ' ')) AS acronym FROM m WHERE class <> ''),
         q AS (SELECT doc_id, unnest({NAMED_TOKENS_SQL.format(c='text')}) AS acronym FROM documents)
-        SELECT doc_id, q.acronym, class, n_names, first_name FROM q JOIN l ON l.acronym = q.acronym"""
+        SELECT doc_id, q.acronym, name FROM q JOIN l ON l.acronym = q.acronym"""
 )
 def acronym_link(spark: SparkSession, sf: str) -> DataFrame:
-    """Acronym tier alone: every short word of a document that spells initials of catalog names, by class of names."""
+    """Acronym tier alone: every short word of a document with every catalog name whose initials it spells."""
     members = cut_lineage(rs.acronym_classes(_orgs(spark, sf)))
     hits = rs.acronym_class_hits(_pooled(_documents(spark, sf)), members)
-    sizes = members.groupBy("class").agg(F.count("*").alias("n_names"), F.min("name").alias("first_name"))
-    return hits.join(sizes, "class").select(F.col("qid").alias("doc_id"), "acronym", "class", "n_names", "first_name")
+    return hits.join(members, [rs.POOL, "class"]).select(F.col("qid").alias("doc_id"), "acronym", "name")
 
 
 @query(ACRONYM_CLASSES_SQL + " SELECT class, name FROM m WHERE class <> ''")
