@@ -42,7 +42,7 @@ def client_questions(spark: SparkSession, sf: str) -> DataFrame:
         *[F.struct(F.lit(t).alias("t"), F.lit(k).alias("k"), F.lit(q).alias("q")) for t, k, _, q in CLIENT_QUESTIONS]
     )
     return (
-        v.table(spark, sf, "customer")
+        v.spread(v.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey")
         .select("c_custkey", "c_name", F.explode(templates).alias("x"))
         .select(
             F.concat_ws("-", F.lit("c"), "c_custkey", "x.t").alias("qid"),
@@ -197,7 +197,7 @@ LABELS = [
 
 def certificate_pages(spark: SparkSession, sf: str) -> DataFrame:
     """A completion certificate per order, two pages: three labelled layouts and one in prose."""
-    w = v.table(spark, sf, "orders").select(
+    w = v.spread(v.table(spark, sf, "orders"), "o_orderkey").select(
         "o_orderkey", "o_custkey", v.cents(F.col("o_totalprice")).alias("value"), v.category_name().alias("category"),
         F.col("o_orderdate").cast("date").alias("day"),
     )
@@ -229,7 +229,7 @@ def certificate_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def receivables_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """An ageing sheet of all order lines, a third of them without a client."""
-    lines = v.table(spark, sf, "lineitem")
+    lines = v.spread(v.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
     return lines.select(
         F.concat_ws("-", F.lit("INV"), "l_orderkey", "l_linenumber").alias("Invoice No"),
         F.when(F.col("l_returnflag") == "A", F.lit("nan"))
@@ -245,7 +245,7 @@ def receivables_sheet(spark: SparkSession, sf: str) -> DataFrame:
 def asset_sheet(spark: SparkSession, sf: str) -> DataFrame:
     """A plant register of all parts, a fifth of them without an id."""
     key = F.col("p_partkey")
-    return v.table(spark, sf, "part").select(
+    return v.spread(v.table(spark, sf, "part"), "p_partkey").select(
         F.when(key % 5 == 4, F.lit("n/a")).otherwise(key.cast("string")).alias("Asset ID"),
         F.col("p_type").alias("Type"),
         F.concat(F.lit(" "), "p_brand").alias("Make"),

@@ -238,7 +238,8 @@ def shape_sql(q: str, raw: str, kind: str) -> str:
 def shape_classify(spark: SparkSession, sf: str) -> DataFrame:
     """Rendered questions, and every conversation turn taken as a question of each answer type."""
     kinds = F.explode(F.array(*[F.lit(k) for k in ("money", "count", "percent", "days")])).alias("answer_type")
-    turns = v.table(spark, sf, "conversations").select("conv_id", "turn", F.col("text").alias("question"), kinds).select(
+    said = v.spread(v.table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
+    turns = said.select("conv_id", "turn", F.col("text").alias("question"), kinds).select(
         F.concat_ws("-", F.lit("t"), "conv_id", "turn", "answer_type").alias("qid"), "question", "answer_type"
     )
     asked = r.client_questions(spark, sf).select("qid", "question", "answer_type").unionByName(turns)

@@ -84,6 +84,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by key over all shuffle partitions.
+
+    A file of narrow rows is one task up to 128 MB, compressed. Where each row becomes many texts that are read by dozens
+    of patterns, that task would have the whole work; the bare rows are cheap to move first.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def cents(c: Column) -> Column:
     return F.round(c * 100).cast("bigint")
 
