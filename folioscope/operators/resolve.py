@@ -246,6 +246,8 @@ def resolve(
     question's word set (for masking). Questions without any hit keep method 'none'.
     """
     names = _with_pool(catalog, pool).select(POOL, F.col(name).alias("name"))
+    if pool:  # names of pools that no question asks for can't be an answer
+        names = names.join(_with_pool(questions, pool).select(POOL).distinct(), POOL, "left_semi")
     # Hits and scores are small next to the texts and feed several steps each: written once.
     names = cut_lineage(names.filter(F.col("name").isNotNull() & F.col(POOL).isNotNull()).distinct())
     asked = _with_pool(questions, pool).select(
