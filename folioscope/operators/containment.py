@@ -119,10 +119,11 @@ def contained_names(
     kinds = sorted(r[0] for r in anchors.select("kind").distinct().collect())
     if not kinds:
         return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))
-    # Written, so that the texts are shuffled for verification only when the candidates are many.
+    # Written, so that the texts are shuffled for verification only when the candidates are many. The planner may know
+    # only the size of what the texts are built from, so they are never broadcast by it.
     candidates = cut_lineage(
         _text_anchors(texts, text_id, text, kinds)
-        .join(broadcast_checked(anchors), ["kind", "anchor"])
+        .hint("merge").join(broadcast_checked(anchors), ["kind", "anchor"])
         .select(text_id, "name")
     )
     low, needle = F.lower(text), F.lower("name")
@@ -132,7 +133,7 @@ def contained_names(
         verified = F.contains(low, needle)
     return (
         texts.select(text_id, text)
-        .join(broadcast_checked(candidates), text_id)
+        .hint("merge").join(broadcast_checked(candidates), text_id)
         .filter(verified)
         .select(text_id, F.col("name").alias(name))
     )
@@ -147,5 +148,5 @@ def contained_words(texts: DataFrame, words: DataFrame, text_id: str, text: str,
     """
     tokens = texts.select(text_id, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("_token"))
     vocabulary = cut_lineage(tokens.select("_token").distinct().withColumn("_body", F.col("_token")))
-    hits = contained_names(vocabulary, words, "_token", "_body", word, sizes=TOKEN_GRAM_SIZES)
-    return tokens.join(hits, "_token").select(text_id, word).distinct()
+    hits = cut_lineage(contained_names(vocabulary, words, "_token", "_body", word, sizes=TOKEN_GRAM_SIZES))
+    return tokens.hint("merge").join(broadcast_checked(hits), "_token").select(text_id, word).distinct()

@@ -15,6 +15,7 @@ from folioscope.functions.text import (
     words as plain_words,
 )
 from folioscope.operators.containment import contained_names
+from folioscope.operators.lookup import broadcast_checked
 from folioscope.session import cut_lineage
 
 MIN_SCORE, MIN_MARGIN = 0.3, 0.15
@@ -207,7 +208,8 @@ def _settle(grouped: DataFrame, several: DataFrame, asked_words: DataFrame, meth
 def exact_hits(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     """(qid, _pool, question) x (_pool, name): names contained in the text of their pool."""
     hits = contained_names(questions, catalog, "qid", "question", "name")
-    scoped = questions.select("qid", POOL).join(hits, "qid")
+    # Sizes known of questions may be those of what they are rendered from; none is broadcast by them.
+    scoped = questions.select("qid", POOL).hint("merge").join(hits, "qid")
     return scoped.join(catalog.select(POOL, "name"), [POOL, "name"], "left_semi").select("qid", "name")
 
 
@@ -228,7 +230,8 @@ def acronym_class_hits(questions: DataFrame, members: DataFrame) -> DataFrame:
     asked = questions.select("qid", POOL, F.explode(acronym_tokens("question")).alias("acronym"))
     # A question has no acronym of more than six letters.
     listed = members.select(POOL, "class").distinct().select(POOL, "class", F.explode(F.split("class", " ")).alias("acronym"))
-    return asked.join(listed.filter(F.length("acronym") <= 6), [POOL, "acronym"]).select("qid", POOL, "acronym", "class")
+    listed = broadcast_checked(listed.filter(F.length("acronym") <= 6))
+    return asked.hint("merge").join(listed, [POOL, "acronym"]).select("qid", POOL, "acronym", "class")
 
 
 def resolve(

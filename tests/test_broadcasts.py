@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from folioscope import session
-from folioscope.operators import containment, resolve
+from folioscope.operators import containment, lookup, resolve
 from folioscope.operators.lookup import broadcast_checked
 from folioscope.scratch import Scratch
 
@@ -57,3 +57,23 @@ def test_words_of_tied_names_are_not_broadcast(spark, tmp_path):
         assert "BroadcastHashJoin" not in physical(scored) and scored.count() == 1000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_texts_rendered_behind_a_shuffle_are_not_broadcast(spark, monkeypatch):
+    """What is measured in the shuffle of narrow rows says nothing about the texts built from them."""
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", 0)
+    session.tune(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        name = F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 6, "0"))
+        rows = spark.range(500).repartition(4, "id").withColumn("name", name)
+        asked = rows.select(F.explode(F.sequence(F.lit(1), F.lit(20))).alias("t"), "id", "name")
+        texts = asked.select((F.col("id") * 20 + F.col("t")).alias("qid"), F.concat(F.lit("all works for "), "name").alias("question"))
+        found = containment.contained_names(texts, rows, "qid", "question", "name")
+        assert len(found.collect()) == 10_000 and "BroadcastHashJoin" not in physical(found)
+        hits = resolve.exact_hits(texts.withColumn(resolve.POOL, F.lit("")), rows.select("name", F.lit("").alias(resolve.POOL)))
+        assert len(hits.collect()) == 10_000
+        # Names may be broadcast to the hits, but not the questions.
+        assert physical(hits).split("== Initial Plan ==")[0].count("BroadcastHashJoin") <= 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
