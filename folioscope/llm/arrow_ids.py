@@ -14,6 +14,7 @@ ids are the end id alone); rows with the same doc_id stay in the order of their
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
 from folioscope.llm.common import pieces
-from folioscope.llm.pretokens import CACHE_CHARS, Splitter
+from folioscope.llm.pretokens import Splitter, kept
 from folioscope.session import cut_lineage, shared_folder
 
 #: How byte-level vocabularies write a space, and unknown words encoded in one call.
 SPACE, LINE_WORDS = "\u0120", 2000
+_SPACED = re.compile(r" \S+")
 #: Ids a file holds before the next one is begun, and sequences in one record batch.
 FILE_IDS = 32 << 20
 BATCH_SEQUENCES = 64
@@ -46,7 +48,7 @@ class LibraryEncoder:
         #: Strings the library gives one id wherever they stand; a text that holds one is encoded in one piece.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype
-        self.splitter = Splitter(pattern, self.one)
+        self.texts = Splitter(pattern, self.segments, self.added)
         vocabulary = self.tokenizer.get_vocab()
         #: By id: whether the token begins with a space, as only the first token of a spaced word does.
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
@@ -58,6 +60,17 @@ class LibraryEncoder:
     def one(self, segment: str) -> bytes:
         return self.ids(segment).tobytes()
 
+    def segments(self, segments: list[bytes]) -> list[bytes]:
+        """Ids of each segment. Words with a space before them are encoded together."""
+        texts = [s.decode() for s in segments]
+        spaced = [i for i, t in enumerate(texts) if _SPACED.fullmatch(t)]
+        if any(x in "".join(texts) for x in self.added):
+            spaced = [i for i in spaced if not any(x in texts[i] for x in self.added)]
+        out: list[bytes | None] = [None] * len(texts)
+        for i, ids in zip(spaced, self.spaced_words([texts[i][1:] for i in spaced]), strict=True):
+            out[i] = ids
+        return [self.one(t) if ids is None else ids for t, ids in zip(texts, out, strict=True)]
+
     def spaced_words(self, words: list[str]) -> Iterator[bytes]:
         """Ids of each word with a space before it, encoded as one line and cut where a token begins with a space."""
         for at in range(0, len(words), LINE_WORDS):
@@ -71,31 +84,6 @@ class LibraryEncoder:
             bounds = [*(starts * size).tolist(), len(raw)]
             yield from (raw[i:j] for i, j in zip(bounds, bounds[1:]))
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
-        """Ids of each text. Words that are not known yet are encoded together first."""
-        cut: list[list[tuple[str, list[str]]] | None] = []
-        new: set[str] = set()
-        whole = {i for i, text in enumerate(texts) if any(token in text for token in self.added)}
-        for i, text in enumerate(texts):
-            lines = self.splitter.split(text) if text and i not in whole else None
-            cut.append(lines and [(line[0], line[1:]) for line in (x.split(" ") for x in lines)])
-            for _, rest in cut[-1] or ():
-                new.update(rest)
-        first, spaced = self.splitter.first, self.splitter.spaced
-        missing = [w for w in new.difference(spaced) if w not in spaced.old and len(w) <= CACHE_CHARS]
-        spaced.keep(dict(zip(missing, self.spaced_words(missing), strict=True)))
-        for i, (text, lines) in enumerate(zip(texts, cut, strict=True)):
-            if lines is None:
-                yield self.one(text) if i in whole else self.splitter(text)
-                continue
-            out: list[bytes] = []
-            for head, rest in lines:
-                if out:
-                    out.append(first["\n"])
-                out.append(first[head])
-                out.extend(map(spaced.__getitem__, rest))
-            yield b"".join(out)
-
 
 def _schema(length: int, dtype: str) -> pa.Schema:
     kind = pa.uint16() if dtype == "<u2" else pa.uint32()
@@ -167,19 +155,19 @@ def write_files(
         model = f.read()
     vocabulary = max(Tokenizer.from_str(model).get_vocab_size(), end_id + 1)
     dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
-    shared = spark.sparkContext.broadcast(model)
+    shared, key = spark.sparkContext.broadcast(model), (len(model), zlib.crc32(model.encode()), pattern, dtype)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         part, name = task.partitionId(), f"{task.partitionId():06d}-{task.taskAttemptId()}"
-        encoder, end = LibraryEncoder(shared.value, pattern, dtype), np.array([end_id], dtype)
+        encoder = kept("library", key, lambda: LibraryEncoder(shared.value, pattern, dtype))
+        end = np.array([end_id], dtype)
         done: list[tuple] = []
         file: _File | None = None
         for piece in pieces(batches, "text"):
-            ids, texts = piece.column("doc_id").to_pylist(), [t or "" for t in piece.column("text").to_pylist()]
-            for doc_id, raw in zip(ids, encoder.texts(texts), strict=True):
+            for doc_id, raw in zip(piece.column("doc_id").to_pylist(), encoder.texts(piece.column("text").to_pylist()), strict=True):
                 file = file or _File(root, f"{name}-{len(done)}", length, dtype)
-                file.add(doc_id, np.concatenate([np.frombuffer(raw, dtype), end]))
+                file.add(doc_id, np.concatenate([np.frombuffer(raw.as_buffer(), dtype), end]))
                 if file.n_ids >= FILE_IDS:
                     done.append((part, len(done), *file.close()))
                     file = None

@@ -2,8 +2,9 @@
 
 Whole pre-tokens that are in the vocabulary are found through a minimal perfect hash (hash and displace:
 every key has a slot of its own among exactly as many slots as keys). The others are merged by rank with a
-heap over a linked list of their bytes. Texts are mapped row by row; nothing is shuffled. The vocabulary
-file is read on the driver and broadcast: its size is fixed by the file, below a few MB.
+heap over a linked list of their bytes. Both happen once for each distinct segment of a slice of texts that the
+worker process does not remember. Texts are mapped row by row; nothing is shuffled. The vocabulary file is read
+on the driver and broadcast: its size is fixed by the file, below a few MB.
 
 Null text counts as empty: no ids, empty bytes. Rows with the same id are encoded independently, and other
 columns are ignored.
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
+import zlib
 from array import array
 
 import numpy as np
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from folioscope.llm.common import map_pieces
-from folioscope.llm.pretokens import Splitter
+from folioscope.llm.pretokens import Splitter, joined, kept
 
 _MASK = (1 << 64) - 1
 
@@ -33,6 +36,12 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _sum(path: str) -> tuple[int, int]:
+    with open(path, "rb") as f:
+        data = f.read()
+    return len(data), zlib.crc32(data)
+
+
 def _slot(h: int, shift: int, n: int) -> int:
     return (((h ^ (h >> 29)) * (2 * shift + 1) & _MASK) >> 24) % n
 
@@ -69,12 +78,15 @@ class PerfectHash:
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one pre-token: the adjacent pair of lowest rank is merged first, the leftmost of equals."""
-    n, rank = len(word), ranks.get
+    n, rank, push, pop = len(word), ranks.get, heapq.heappush, heapq.heappop
     after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
-    heap = [(r, i, 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+    # Rank, place and length of a pair in one number, which orders like the three of them.
+    bits, low = n.bit_length(), (1 << n.bit_length()) - 1
+    heap = [(r << bits | i) << bits | 2 for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
     heapq.heapify(heap)
     while heap:
-        _, i, length = heapq.heappop(heap)
+        pair = pop(heap)
+        i, length = pair >> bits & low, pair & low
         j = after[i]
         if not size[i] or j >= n or size[i] + size[j] != length:
             continue  # one of the two has been merged meanwhile
@@ -83,11 +95,11 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
             before[right] = i
             grown = length + size[right]
             if (r := rank(word[i : i + grown])) is not None:
-                heapq.heappush(heap, (r, i, grown))
+                push(heap, (r << bits | i) << bits | grown)
         if (left := before[i]) >= 0:
             grown = size[left] + length
             if (r := rank(word[left : left + grown])) is not None:
-                heapq.heappush(heap, (r, left, grown))
+                push(heap, (r << bits | left) << bits | grown)
     ids, i = [], 0
     while i < n:
         ids.append(ranks[word[i : i + size[i]]])
@@ -98,28 +110,41 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     def __init__(self, ranks: dict[bytes, int], whole: PerfectHash, pattern: str) -> None:
         self.ranks, self.whole, self.pattern = ranks, whole, regex.compile(pattern)
-        self.text = Splitter(pattern, self.segment)
+        self.texts = Splitter(pattern, lambda segments: list(map(self.segment, segments)))
 
-    def segment(self, segment: str) -> bytes:
+    def segment(self, segment: bytes) -> bytes:
         ids = array("I")
-        for m in self.pattern.finditer(segment):
-            word = m.group().encode()
+        for word in self.pattern.findall(segment.decode()):
+            word = word.encode()
             found = self.whole[word]
             ids.append(found) if found >= 0 else ids.extend(merge(word, self.ranks))
-        return np.asarray(ids, dtype="<u4").tobytes()
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+
+class Decoder:
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.tokens = pa.array(tokens, pa.large_binary())
+
+    def plain(self, ids: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The bytes of each row's tokens, laid end to end."""
+        ends = np.frombuffer(ids.buffers()[1], "<i8")[ids.offset : ids.offset + len(ids) + 1]
+        flat = np.frombuffer(ids.buffers()[2], "<u4", (ends[-1] - ends[0]) // 4, ends[0]) if ends[-1] else np.empty(0, "<u4")
+        return joined(self.tokens.take(pa.array(flat)), (ends - ends[0]) // 4)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each row's ids as little-endian unsigned 32-bit integers: (doc_id, ids binary)."""
-    ranks = read_ranks(path)
+    ranks, key = read_ranks(path), (_sum(path), pattern)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
 
     def task():
-        encoder = Encoder(*shared.value, pattern)
+        encoder = kept("bpe", key, lambda: Encoder(*shared.value, pattern))
 
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [encoder.text(t or "") for t in piece.column("text").to_pylist()]
-            return pa.record_batch([piece.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
+            ids = encoder.texts(piece.column("text").to_pylist())
+            return pa.record_batch([piece.column("doc_id"), ids.cast(pa.binary())], ["doc_id", "ids"])
 
         return step
 
@@ -134,19 +159,17 @@ def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
     return tokens
 
 
-def _plain(ids: bytes, tokens: list[bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-
 def decode(encoded: DataFrame, path: str) -> DataFrame:
     """The bytes the ids stand for: (doc_id, ids, decoded binary)."""
     shared = encoded.sparkSession.sparkContext.broadcast(_tokens(read_ranks(path)))
 
     def task():
+        decoder = Decoder(shared.value)
+
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
             ids = piece.column("ids")
-            plain = [_plain(x, shared.value) for x in ids.to_pylist()]
-            return pa.record_batch([piece.column("doc_id"), ids, pa.array(plain, pa.binary())], ["doc_id", "ids", "decoded"])
+            plain = decoder.plain(ids.cast(pa.large_binary()).fill_null(b""))
+            return pa.record_batch([piece.column("doc_id"), ids, plain.cast(pa.binary())], ["doc_id", "ids", "decoded"])
 
         return step
 
@@ -155,16 +178,17 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
 def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """:func:`decode` of :func:`encode` in one pass, so that a task needs one Python process: (doc_id, ids, decoded)."""
-    ranks = read_ranks(path)
-    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks), _tokens(ranks)))
+    ranks, key = read_ranks(path), (_sum(path), pattern)
+    shared = docs.sparkSession.sparkContext.broadcast((ranks, PerfectHash(ranks)))
 
     def task():
-        encoder, tokens = Encoder(*shared.value[:2], pattern), shared.value[2]
+        encoder = kept("bpe", key, lambda: Encoder(*shared.value, pattern))
+        decoder = kept("bpe tokens", key, lambda: Decoder(_tokens(encoder.ranks)))
 
         def step(piece: pa.RecordBatch) -> pa.RecordBatch:
-            ids = [encoder.text(t or "") for t in piece.column("text").to_pylist()]
-            plain = [_plain(x, tokens) for x in ids]
-            return pa.record_batch([piece.column("doc_id"), pa.array(ids, pa.binary()), pa.array(plain, pa.binary())], ["doc_id", "ids", "decoded"])
+            ids = encoder.texts(piece.column("text").to_pylist())
+            columns = [piece.column("doc_id"), ids.cast(pa.binary()), decoder.plain(ids).cast(pa.binary())]
+            return pa.record_batch(columns, ["doc_id", "ids", "decoded"])
 
         return step
 
