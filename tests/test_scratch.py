@@ -81,3 +81,14 @@ def test_shuffle_files_go_with_their_execution_and_results_can_be_asked_again(sp
     assert joined.count() == len(joined.collect()) == len(joined.collect()) == 100
     assert store.getAllFiles().size() <= before
     assert len(list(joined.toLocalIterator())) == 100
+
+
+def test_a_crowded_driver_collects_with_every_write(spark, tables, monkeypatch):
+    asked = []
+    monkeypatch.setattr(Scratch, "sweep", lambda self, collect=False, wait=0.0: asked.append(collect))
+    monkeypatch.setattr(Scratch, "_crowded", lambda self: len(asked) < 2, raising=False)
+    for _ in range(4):
+        tables.write(spark.range(5))
+    assert asked == [True, True, False, False]
+    monkeypatch.undo()
+    assert tables._crowded() in (True, False)
