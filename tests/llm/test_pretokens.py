@@ -57,3 +57,14 @@ def test_odd_white_space_and_added_tokens(odd_texts):
         encoder = arrow_ids.LibraryEncoder(f.read(), public_tokenizers.PATTERN, "<u2")
     got = [np.frombuffer(x, "<u2").tolist() for x in encoder.texts(odd_texts).to_pylist()]
     assert got == [library.encode(t or "", add_special_tokens=False).ids for t in odd_texts]
+
+
+def test_the_library_meets_a_word_once(monkeypatch):
+    """Words are encoded by the library together, and not again in later slices."""
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        encoder = arrow_ids.LibraryEncoder(f.read(), public_tokenizers.PATTERN, "<u2")
+    calls, ids = [], encoder.ids
+    monkeypatch.setattr(encoder, "ids", lambda text: calls.append(text) or ids(text))
+    first = encoder.texts(["one two three two", "one four"]).to_pylist()
+    assert calls == [" two three four", "one"]
+    assert encoder.texts(["one two three two", "one four"]).to_pylist() == first and len(calls) == 2
