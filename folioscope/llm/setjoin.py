@@ -5,10 +5,14 @@ Every text becomes a set of hashed word shingles. Sets that are equal are one cl
 1. A fixed-size sketch counts in how many texts a shingle occurs, over all texts. It only orders the shingles, rare
    ones first; any common order gives the same result.
 2. A set of ``n`` needs an overlap of ``need = ceil(t * n)`` with any partner. So two partners share at least
-   ``min(SHARED, need)`` of the first ``n - need + SHARED`` shingles of each, in that order. Only these are shuffled.
+   ``min(SHARED, need)`` of the first ``n - need + SHARED`` shingles of each, in that order: these are the early ones.
+   The same holds for any other number they share. So twice as many first shingles are shuffled (:func:`common`), and
+   a set that has too few of them in common with all others together leaves; then the sets that are left are held
+   against each other alone. Passages that texts repeat without being similar end here, even where the sketch is so
+   full that it can't tell them from rare ones. Only the others' early shingles go on.
 3. Sets that meet under a pair of min-hashes are compared with one leader exactly. What is linked so is one component;
    what has at least half in common with a leader is one group of similar sets.
-4. The matrix: for each group and first shingle the largest component of its members that hold it. A set meets a group
+4. The matrix: for each group and early shingle the largest component of its members that hold it. A set meets a group
    through the shingles they share there, if a larger component than its own holds them; pairs that share too few are
    dropped. So links inside a component are never looked for again, and of two components the smaller one asks.
 5. A qualifying group is opened in pieces of up to ``PIECE`` members: the query is first held against the union of
@@ -52,6 +56,12 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def common(n: int, percent: int) -> int:
+    """Shingles that a set of ``n`` and a partner no smaller share of their first ``n - need + common``; grows with ``n``."""
+    need = needed(n, percent)
+    return min(need, max(SHARED, n - need))
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether 100 * intersection >= percent * union, for sorted distinct arrays."""
     if percent * len(a) > 100 * len(b) or percent * len(b) > 100 * len(a):
@@ -113,7 +123,7 @@ def _sketch(source: DataFrame, k: int) -> np.ndarray:
 
 
 def _signatures(source: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
-    """(doc_id, key, n, sig1, sig2, bands, first): the set's identity, its bands, its first shingles in order."""
+    """(doc_id, key, n, sig1, sig2, bands, first): the set's identity, its bands, its first shingles, early ones before the others."""
     shared = source.sparkSession.sparkContext.broadcast(level)
 
     def task():
@@ -133,8 +143,9 @@ def _signatures(source: DataFrame, k: int, percent: int, level: np.ndarray) -> D
                 low = np.array([(s * o).min() for o in odd])
                 bands.append(w.mix(low[0::2] ^ w.mix(low[1::2] + np.arange(HASHES // 2, dtype=_U))).view(np.int64))
                 ordered = (level[s >> _U(44)].astype(_U) << _U(58)) | (s >> _U(6))
-                m = min(len(s), len(s) - needed(len(s), percent) + SHARED)
-                first.append((np.partition(ordered, m - 1)[:m] if m < len(s) else ordered).view(np.int64))
+                slack = len(s) - needed(len(s), percent)
+                early, m = min(len(s), slack + SHARED), slack + common(len(s), percent)
+                first.append((np.partition(ordered, (early - 1, m - 1))[:m] if early < len(s) else ordered).view(np.int64))
             lists = [pa.ListArray.from_arrays(np.cumsum([0] + [len(x) for x in y]).astype(np.int32), pa.array(np.concatenate(y) if y else np.empty(0, np.int64))) for y in (bands, first)]
             columns = [piece.column("doc_id"), piece.column("key"), pa.array(n, pa.int64()), pa.array(sig1, pa.int64()), pa.array(sig2, pa.int64()), *lists]
             return pa.record_batch(columns, ["doc_id", "key", "n", "sig1", "sig2", "bands", "first"])
@@ -249,6 +260,21 @@ def _open_groups(
     return _streamed(rows, ["grp", "piece"], compare, ["a", "b"])
 
 
+def _met(postings: DataFrame) -> DataFrame:
+    """Postings of the shingles that several docs hold."""
+    same = Window.partitionBy("token")
+    met = postings.withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
+    return cut_lineage(met.where("low < high").drop("low", "high"))
+
+
+def _wanted(met: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(doc, key, n) of the docs that hold as many of these postings as they share with a partner of any size."""
+    least = F.ceil(F.col("n") * percent / 100)  # the smallest partner
+    need = F.ceil(least * percent / 100)
+    counts = met.groupBy("doc").agg(F.count("*").alias("met")).join(classes.select("doc", "key", "n"), "doc")
+    return cut_lineage(counts.where(F.col("met") >= F.least(need, F.greatest(F.lit(SHARED).cast("long"), least - need))).select("doc", "key", "n"))
+
+
 def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, key, n_shingles, component_id) for every row of ``docs``; key as in :func:`row_key`."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key(F.col("text")).alias("key"), F.col("text").cast("binary").alias("text"))
@@ -257,10 +283,9 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     classes = whole_rows.where("n > 0 and doc_id is not null").groupBy("n", "sig1", "sig2").agg(F.min(F.struct("doc_id", "key")).alias("first_row"))
     classes = cut_lineage(classes.select("n", "sig1", "sig2", F.col("first_row.doc_id").alias("doc"), F.col("first_row.key").alias("key")))
     heads = whole_rows.join(classes.select(F.col("doc").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
-    postings = heads.select(F.explode("first").alias("token"), F.col("doc_id").alias("doc"))
-    same = Window.partitionBy("token")
-    alive = postings.withColumn("low", F.min("doc").over(same)).withColumn("high", F.max("doc").over(same))
-    alive = cut_lineage(alive.where("low < high").select("token", "doc"))
+    early = F.col("n") - F.ceil(F.col("n") * percent / 100) + SHARED
+    postings = heads.select(F.col("doc_id").alias("doc"), early.alias("early"), F.posexplode("first").alias("at", "token"))
+    listed = _met(postings.select("token", "doc", (F.col("at") < F.col("early")).alias("early")))
     signed = cut_lineage(whole_rows.drop("first"))
     release(whole_rows)
     known = signed.where("n > 0 and doc_id is not null")
@@ -268,8 +293,10 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     same_id = of_rows.groupBy("doc_id").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high").select("doc_id", "low")
     shared_ids = of_rows.join(same_id, "doc_id").select(F.col("doc").alias("a"), F.col("low").alias("b"))
     least = F.least(F.lit(SHARED).cast("long"), F.ceil(F.col("n") * percent / 100))
-    wanted = alive.groupBy("doc").agg(F.count("*").alias("met")).join(classes.select("doc", "key", "n"), "doc").where(F.col("met") >= least)
-    wanted = cut_lineage(wanted.select("doc", "key", "n"))
+    left = _wanted(listed, classes, percent)
+    alive = _met(listed.join(left.select("doc"), "doc", "left_semi"))
+    release(listed)
+    wanted = _wanted(alive, classes, percent)
 
     asked = wanted.select(F.col("doc").alias("doc_id"), "key")
     attach = lambda rows: _attach(rows, source, wanted, words)
@@ -286,7 +313,7 @@ def join_sets(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     of_group = similar.groupBy(F.col("a").alias("doc")).agg(F.min("b").alias("leader"))
     docs_in = docs_in.join(sizes, "component").join(of_group, "doc", "left")
     docs_in = cut_lineage(docs_in.select("doc", "n", "component", "size", F.coalesce("leader", "doc").alias("grp")))
-    met = alive.join(docs_in, "doc").select("token", "doc", "n", "grp", F.struct("size", "component").alias("rank"))
+    met = alive.where("early").join(docs_in, "doc").select("token", "doc", "n", "grp", F.struct("size", "component").alias("rank"))
     matrix = met.groupBy("token", "grp").agg(F.max("rank").alias("top"), F.min("rank").alias("low"))
     between = matrix.groupBy("token").agg(F.max("top").alias("t"), F.min("low").alias("l")).where("t > l").select("token")
     matrix = matrix.join(between, "token").select("token", F.col("grp").alias("to"), "top")

@@ -356,6 +356,46 @@ def test_one_of_each_group_stays(docs, empty):
     assert setjoin.join_sets(empty).count() == 0
 
 
+def near_prose(n, words, seed):
+    """Copies of a few texts with edits around the threshold, and texts that share a passage and nothing else."""
+    rng, rows = np.random.default_rng(seed), []
+    passages = [[f"p{p}x{i}" for i in range(40)] for p in range(3)]
+    for i in range(n):
+        if i % 2:
+            base = [f"b{i % 6}x{j}" for j in range(words - i % 9)]
+            for at in rng.integers(0, len(base), i % 7):
+                base[at] = f"e{i}x{at}"
+        else:
+            base = [f"u{i}x{j}" for j in range(words)] + passages[i % 3]
+        rows.append((i, " ".join(base)))
+    return rows
+
+
+def test_jaccard_components_whatever_the_order_of_shingles(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "_sketch", lambda *_: np.zeros(setjoin.COUNTERS, np.uint8))  # as a full sketch
+    settings(spark)
+    for words, percent in ((14, 80), (150, 85)):
+        rows = near_prose(120, words, words)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in setjoin.join_sets(docs, 4, percent).collect()}
+        assert got == brute_components(rows, 4, percent)
+
+
+def test_texts_that_share_passages_are_no_candidates(spark, monkeypatch):
+    opened, open_groups = [], setjoin._open_groups
+
+    def count(candidates, members, *rest):
+        opened.append((candidates.count(), members.count()))
+        return open_groups(candidates, members, *rest)
+
+    monkeypatch.setattr(setjoin, "_sketch", lambda *_: np.zeros(setjoin.COUNTERS, np.uint8))
+    monkeypatch.setattr(setjoin, "_open_groups", count)
+    rows = [row for row in near_prose(120, 300, 1) if row[0] % 2 == 0]
+    docs = settings(spark).createDataFrame(rows, "doc_id long, text string")
+    assert setjoin.join_sets(docs, 5, 80).where("doc_id <> component_id").count() == 0
+    assert opened == [(0, 0)]
+
+
 # --- 8: substrings --------------------------------------------------------------------------------------------------
 
 
