@@ -45,6 +45,8 @@ class LibraryEncoder:
     def __init__(self, model: str, pattern: str, dtype: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_str(model)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # it meets a word once; its own memory of words only costs time
         #: Strings the library gives one id wherever they stand; a text that holds one is encoded in one piece.
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = dtype

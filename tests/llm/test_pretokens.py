@@ -68,3 +68,15 @@ def test_the_library_meets_a_word_once(monkeypatch):
     first = encoder.texts(["one two three two", "one four"]).to_pylist()
     assert calls == [" two three four", "one"]
     assert encoder.texts(["one two three two", "one four"]).to_pylist() == first and len(calls) == 2
+
+
+def test_the_library_keeps_no_words_of_its_own(monkeypatch):
+    from types import SimpleNamespace
+
+    from folioscope.llm import arrow_ids
+
+    sizes = []
+    library = SimpleNamespace(model=SimpleNamespace(_resize_cache=sizes.append), get_added_tokens_decoder=dict, get_vocab=dict)
+    monkeypatch.setattr(arrow_ids, "Tokenizer", SimpleNamespace(from_str=lambda _: library))
+    arrow_ids.LibraryEncoder("", r"\S+", "<u2")
+    assert sizes == [0]
