@@ -21,6 +21,8 @@ GRAM_SIZES = (16, 8, 4, 2, 1)
 # Single tokens are short, so finer steps cost little there and leave few false candidates.
 TOKEN_GRAM_SIZES = (12, 8, 6, 5, 4, 3, 2, 1)
 WORD = "[\\p{L}\\p{N}]+"
+# Kinds of anchor with few names cost a pass over all texts each; up to so many names of up to so many characters are tried as they are instead.
+LITERAL_NAMES, LITERAL_CHARACTERS = 64, 64
 # Characters before and after the separator of two words, longest first.
 END_SIZES = (4, 2, 1)
 START_SIZES = (16, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1)
@@ -107,18 +109,65 @@ def contained_names(
     name: str,
     whole_words: bool = False,
     sizes: tuple[int, ...] = GRAM_SIZES,
+    literal: bool = False,
 ) -> DataFrame:
     """Distinct (text_id, name) pairs where the text contains the name, ignoring case.
 
     ``whole_words`` demands a word boundary on both sides. The text column itself is not carried
-    through the explode; it is joined back by id for the candidates only.
+    through the explode; it is joined back by id for the candidates only. ``literal`` lets the texts be tried
+    on the names of rare kinds one by one; how often a pair of a repeated text_id comes then depends on its kind.
     """
     wanted = names.select(F.col(name).alias("name")).filter(F.col("name").isNotNull()).distinct()
     anchors = cut_lineage(_rarest(_name_options(wanted, whole_words, sizes)))
     # A few dozen values at most: decides which kinds of anchor the texts have to produce.
-    kinds = sorted(r[0] for r in anchors.select("kind").distinct().collect())
-    if not kinds:
+    counts = anchors.groupBy("kind").agg(F.count("*").alias("n"), F.max(F.length("name")).alias("longest")).collect()
+    rare = _rare_kinds({r["kind"]: r["n"] for r in counts if literal and r["longest"] <= LITERAL_CHARACTERS})
+    kinds = sorted(r["kind"] for r in counts if r["kind"] not in rare)
+    parts = []
+    if rare:
+        few = anchors.filter(F.col("kind").isin(rare)).select("name", F.lower("name").alias("low")).collect()
+        parts.append(_literal_hits(texts, few, text_id, text, name, whole_words))
+    if kinds:
+        parts.append(_anchored_hits(texts, anchors, kinds, text_id, text, name, whole_words))
+    if not parts:
         return texts.select(text_id, F.lit(None).cast("string").alias(name)).filter(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rare_kinds(counts: dict[int, int]) -> list[int]:
+    """The kinds with the fewest names, LITERAL_NAMES in all at most."""
+    chosen, n = [], 0
+    for kind in sorted(counts, key=lambda k: (counts[k], k)):
+        n += counts[kind]
+        if n > LITERAL_NAMES:
+            break
+        chosen.append(kind)
+    return chosen
+
+
+def _holds(low: Column, needle: Column, whole_words: bool) -> Column:
+    found = F.contains(low, needle)
+    if whole_words:
+        found = found & F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), needle, F.lit(r"\E\b")))
+    return found
+
+
+def _literal_hits(texts: DataFrame, few: list, text_id: str, text: str, name: str, whole_words: bool) -> DataFrame:
+    """Names tried one by one on every text, all in one pass without a join."""
+    tried = F.array(*[F.struct(F.lit(r["name"]).alias("name"), F.lit(r["low"]).alias("low")) for r in few])
+    held = F.filter(tried, lambda x: _holds(F.col("_low"), x["low"], whole_words))
+    return (
+        texts.select(text_id, F.lower(text).alias("_low"))
+        .select(text_id, F.explode(held).alias("_x"))
+        .select(text_id, F.col("_x.name").alias(name))
+    )
+
+
+def _anchored_hits(
+    texts: DataFrame, anchors: DataFrame, kinds: list[int], text_id: str, text: str, name: str, whole_words: bool
+) -> DataFrame:
+    """Names found through their anchors, then verified."""
+    anchors = anchors.filter(F.col("kind").isin(kinds))
     # Written, so that the texts are shuffled for verification only when the candidates are many. The planner may know
     # only the size of what the texts are built from, so they are never broadcast by it.
     candidates = cut_lineage(
@@ -126,15 +175,10 @@ def contained_names(
         .hint("merge").join(broadcast_checked(anchors), ["kind", "anchor"])
         .select(text_id, "name")
     )
-    low, needle = F.lower(text), F.lower("name")
-    if whole_words:
-        verified = F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), needle, F.lit(r"\E\b")))
-    else:
-        verified = F.contains(low, needle)
     return (
         texts.select(text_id, text)
         .hint("merge").join(broadcast_checked(candidates), text_id)
-        .filter(verified)
+        .filter(_holds(F.lower(text), F.lower("name"), whole_words))
         .select(text_id, F.col("name").alias(name))
     )
 
@@ -148,5 +192,16 @@ def contained_words(texts: DataFrame, words: DataFrame, text_id: str, text: str,
     """
     tokens = texts.select(text_id, F.explode(F.array_distinct(F.split(F.lower(text), r"\s+"))).alias("_token"))
     vocabulary = cut_lineage(tokens.select("_token").distinct().withColumn("_body", F.col("_token")))
-    hits = cut_lineage(contained_names(vocabulary, words, "_token", "_body", word, sizes=TOKEN_GRAM_SIZES))
+    # A catalog far larger than the texts' vocabulary loses most of its words before anchors are chosen for them.
+    possible = cut_lineage(_beginning_in(vocabulary, words, word))
+    hits = cut_lineage(contained_names(vocabulary, possible, "_token", "_body", word, sizes=TOKEN_GRAM_SIZES))
     return tokens.hint("merge").join(broadcast_checked(hits), "_token").select(text_id, word).distinct()
+
+
+def _beginning_in(vocabulary: DataFrame, words: DataFrame, word: str) -> DataFrame:
+    """The words whose first characters some token has; the others can't lie inside one."""
+    runs = cut_lineage(_text_anchors(vocabulary, "_token", "_body", sorted(TOKEN_GRAM_SIZES)).select("kind", "anchor").distinct())
+    low = F.lower("name")
+    kinded = words.select(F.col(word).alias("name")).withColumn("kind", _largest(F.length(low), TOKEN_GRAM_SIZES))
+    starts = kinded.withColumn("anchor", F.left(low, F.col("kind"))).distinct()
+    return starts.join(broadcast_checked(runs), ["kind", "anchor"], "left_semi").select(F.col("name").alias(word))

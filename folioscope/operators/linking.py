@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from folioscope.functions import fixed_values as fv, money, text as tx
 from folioscope.operators.containment import contained_names, contained_words
-from folioscope.operators.lookup import left_lookup
+from folioscope.operators.lookup import broadcast_checked, left_lookup
 from folioscope.session import cut_lineage
 
 
@@ -54,17 +54,27 @@ def _first_name_groups(engineers: DataFrame) -> DataFrame:
     )
 
 
-def title_index(works: DataFrame) -> tuple[DataFrame, DataFrame]:
+def led_title_words(works: DataFrame) -> DataFrame:
+    """(lead, doc_id, word): the words of the titles of led works; repeated words stay repeated."""
+    return works.filter(F.col("lead_engineer").isNotNull()).select(
+        F.lower("lead_engineer").alias("lead"), "doc_id", F.explode(tx.title_words("project_name")).alias("word")
+    )
+
+
+def title_index(works: DataFrame, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Title words of led works, split by whether a word tells the lead's works apart.
 
+    ``wanted``: (word), the words that occur in any text to be examined. Other words can't count for a text, so without
+    them fewer wordings remain and every text still meets the same works with the same scores.
+
     Works of one lead whose titles agree in all shared words form a group, represented by its
     smallest doc_id. Returns (lead, group_doc, word, weight) for the shared words of each group
     and (lead, doc_id, group_doc, word, weight) for the words only one work has. A word such as
     'road' is thus listed once per distinct wording, not once per work.
     """
-    titles = works.filter(F.col("lead_engineer").isNotNull()).select(
-        F.lower("lead_engineer").alias("lead"), "doc_id", F.explode(tx.title_words("project_name")).alias("word")
-    )
+    titles = led_title_words(works)
+    if wanted is not None:
+        titles = titles.join(broadcast_checked(wanted), "word", "left_semi")
     counted = titles.groupBy("lead", "doc_id", "word").agg(F.count("*").alias("weight"))
     spread = counted.groupBy("lead", "word").agg((F.count("*") > 1).alias("shared"))
     flagged = cut_lineage(counted.join(spread, ["lead", "word"]))
@@ -103,22 +113,37 @@ def title_overlap(
     return with_own.unionByName(alike).filter("score >= 2")
 
 
+def shared_first_names(first_hits: DataFrame, settled: DataFrame) -> DataFrame:
+    """(qid, first): the first shared first name of each question that no stronger evidence settles.
+
+    Namesakes: only that name of a question is examined, and it decides when the wording fits the works of exactly one
+    bearer. Stronger evidence settles most questions before; the others meet bearers through title words, never the
+    whole group.
+    """
+    return (
+        first_hits.filter("n_people > 1")
+        .join(settled, "qid", "left_anti")
+        .groupBy("qid")
+        .agg(F.min_by("first", "first_emp_id").alias("first"))
+    )
+
+
 def engineer_candidates(
-    texts: DataFrame,
-    engineers: DataFrame,
-    certs: DataFrame,
-    aliases: DataFrame,
-    name_hits: DataFrame,
+    roster: DataFrame,
+    full: DataFrame,
+    alias_hits: DataFrame,
+    first_hits: DataFrame,
+    shared: DataFrame,
+    holders: DataFrame,
     word_hits: DataFrame,
     titles: tuple[DataFrame, DataFrame],
 ) -> DataFrame:
     """Name evidence per question, strongest first: (qid, engineer).
 
-    ``name_hits``: (qid, name), catalog names each text contains. ``word_hits``: (qid, word),
-    title words each text contains.
+    ``full`` (qid, name, emp_id), ``alias_hits`` (qid, canonical, alias_rank), ``first_hits`` (qid, n_people,
+    first_bearer, first_emp_id), ``shared`` (qid, first) and ``holders`` (qid, name, doc_id): what each text names.
+    ``word_hits``: (qid, word), title words the texts contain.
     """
-    roster = engineers.filter(F.col("name").isNotNull())
-    groups = _first_name_groups(roster)
 
     def ranked(df: DataFrame, priority: int, name: str, order: str) -> DataFrame:
         return df.select(
@@ -128,23 +153,6 @@ def engineer_candidates(
             F.col(name).alias("engineer"),
         )
 
-    full = name_hits.join(roster.groupBy("name").agg(F.min("emp_id").alias("emp_id")), "name")
-    # Aliases and first names count as whole words only; both are found in one pass.
-    bounded = groups.select(F.col("first").alias("name")).union(aliases.select("alias"))
-    bounded_hits = cut_lineage(contained_names(texts, bounded, "qid", "question", "name", whole_words=True))
-    alias_hits = bounded_hits.withColumnRenamed("name", "alias").join(aliases, "alias")
-    first_hits = bounded_hits.withColumnRenamed("name", "first").join(groups, "first")
-    unique = first_hits.filter("n_people = 1")
-    # Namesakes: only the first shared first name of a question is examined, and it decides
-    # when the wording fits the works of exactly one bearer. Stronger evidence settles most
-    # questions before; the others meet bearers through title words, never the whole group.
-    settled = full.select("qid").union(alias_hits.select("qid")).union(unique.select("qid"))
-    shared = (
-        first_hits.filter("n_people > 1")
-        .join(settled, "qid", "left_anti")
-        .groupBy("qid")
-        .agg(F.min_by("first", "first_emp_id").alias("first"))
-    )
     of_first = [words.withColumn("first", tx.first_name("lead")) for words in titles]
     bearers = roster.select(F.lower("name").alias("lead"), F.col("name").alias("bearer")).distinct()
     fitting = (
@@ -157,14 +165,13 @@ def engineer_candidates(
         .filter("n = 1")
         .withColumn("ord", F.lit(""))
     )
-    holders = name_hits.join(certs.groupBy("name").agg(F.min("doc_id").alias("doc_id")), "name")
     evidence = reduce(
         DataFrame.unionByName,
         [
             ranked(full, 1, "name", "emp_id"),
             # Zero-padded so that list order survives as text order.
             ranked(alias_hits.withColumn("ord", F.lpad(F.col("alias_rank").cast("string"), 9, "0")), 2, "canonical", "ord"),
-            ranked(unique, 3, "first_bearer", "first_emp_id"),
+            ranked(first_hits.filter("n_people = 1"), 3, "first_bearer", "first_emp_id"),
             ranked(fitting, 4, "bearer", "ord"),
             ranked(holders, 5, "name", "doc_id"),
         ],
@@ -183,15 +190,16 @@ def excluded_category(questions: DataFrame, works: DataFrame) -> DataFrame:
         "qid", F.explode(F.array_distinct(F.transform(F.regexp_extract_all(masked, F.lit("[a-z]+"), F.lit(0)), tx.stem))).alias("word")
     )
     split_words = F.split(F.trim(F.lower("category")), r"\s+")
-    known = (
-        works.filter(tx.blank_to_null("category").isNotNull())
-        .select("category")
+    # The same few words for every question: written, so that they are broadcast while they are few.
+    known = cut_lineage(
+        works.select("category")
         .distinct()
+        .filter(tx.blank_to_null("category").isNotNull())
         .select("category", F.size(split_words).alias("n_listed"), F.array_distinct(F.transform(split_words, tx.stem)).alias("ws"))
         .select("category", "n_listed", F.size("ws").alias("n_words"), F.explode("ws").alias("word"))
     )
     return (
-        asked.join(known, "word")
+        asked.hint("merge").join(broadcast_checked(known), "word")
         .groupBy("qid", "category", "n_words", "n_listed")
         .agg(F.count("*").alias("n_found"))
         .filter("n_found = n_words")
@@ -239,31 +247,58 @@ def link_questions(
     spark = questions.sparkSession
     texts = questions.select("qid", F.trim("question").alias("question"))
 
-    titles = title_index(works)
-    vocabulary = titles[0].select("word").union(titles[1].select("word"))
-    word_hits = cut_lineage(contained_words(texts, vocabulary, "qid", "question", "word"))
     aliases = alias_table(spark, client_aliases)
+    roster = engineers.filter(F.col("name").isNotNull())
     # Every catalog matched by plain containment is searched in one pass over the texts.
     searched_names = (
         engineers.select("name").union(certs.select("name")).union(clients.select("client_name")).union(aliases.select("alias"))
     )
-    name_hits = cut_lineage(contained_names(texts, searched_names, "qid", "question", "name"))
-    by_name = engineer_candidates(
-        texts, engineers, certs, alias_table(spark, engineer_aliases), name_hits, word_hits, titles
+    name_hits = cut_lineage(contained_names(texts, searched_names, "qid", "question", "name", literal=True))
+    # Most hits are clients; those of people are few and feed several steps.
+    people = cut_lineage(roster.select("name").union(certs.select("name")).distinct())
+    person_hits = cut_lineage(name_hits.join(broadcast_checked(people), "name", "left_semi"))
+    full = person_hits.join(roster.groupBy("name").agg(F.min("emp_id").alias("emp_id")), "name")
+    holders = person_hits.join(certs.groupBy("name").agg(F.min("doc_id").alias("doc_id")), "name")
+    # Aliases and first names count as whole words only; both are found in one pass.
+    groups = cut_lineage(_first_name_groups(roster))
+    nicknames = alias_table(spark, engineer_aliases)
+    bounded = groups.select(F.col("first").alias("name")).union(nicknames.select("alias"))
+    bounded_hits = cut_lineage(contained_names(texts, bounded, "qid", "question", "name", whole_words=True, literal=True))
+    alias_hits = bounded_hits.withColumnRenamed("name", "alias").join(nicknames, "alias")
+    first_hits = bounded_hits.withColumnRenamed("name", "first").join(groups, "first")
+    settled = full.select("qid").union(alias_hits.select("qid")).union(first_hits.filter("n_people = 1").select("qid"))
+    shared = cut_lineage(shared_first_names(first_hits, settled))
+
+    # Questions that name a person, a credential or a package; nothing below can link the others to a work.
+    mentions = texts.withColumns({"cid": tx.credential_id("question"), "pkg_no": tx.package_mention("question")})
+    keyed = mentions.filter(F.col("cid").isNotNull() | F.col("pkg_no").isNotNull())
+    linkable = cut_lineage(
+        keyed.select("qid").union(person_hits.select("qid")).union(bounded_hits.select("qid")).distinct()
     )
+    asked = cut_lineage(mentions.join(broadcast_checked(linkable), "qid", "left_semi"))
+    unlinked = texts.join(broadcast_checked(linkable), "qid", "left_anti")
+
+    # Titles are searched for questions without a package and for namesakes only.
+    open_ones = asked.filter(F.col("pkg_no").isNull()).select("qid").union(shared.select("qid")).distinct()
+    open_texts = cut_lineage(asked.select("qid", "question").join(open_ones, "qid", "left_semi"))
+    vocabulary = led_title_words(works).select("word").distinct()
+    word_hits = cut_lineage(contained_words(open_texts, vocabulary, "qid", "question", "word"))
+    titles = title_index(works, cut_lineage(word_hits.select("word").distinct()))
+    by_name = engineer_candidates(roster, full, alias_hits, first_hits, shared, holders, word_hits, titles)
     cert_by_id = (
         certs.withColumn("cid", tx.credential_id("cred_id"))
         .filter(F.col("cid").isNotNull())
         .groupBy("cid")
         .agg(F.min_by(F.struct("doc_id", "name", "issue_date"), "doc_id").alias("id_cert"))
     )
+    packages = cut_lineage(asked.select(F.lower("pkg_no").alias("pkg")).filter(F.col("pkg").isNotNull()).distinct())
     work_by_package = (
-        works.filter(F.col("package_no").isNotNull())
-        .groupBy(F.lower("package_no").alias("pkg"))
+        works.withColumn("pkg", F.lower("package_no"))
+        .join(broadcast_checked(packages), "pkg", "left_semi")
+        .groupBy("pkg")
         .agg(F.min_by(_work_struct(), "doc_id").alias("pkg_work"))
     )
-    mentions = texts.withColumns({"cid": tx.credential_id("question"), "pkg_no": tx.package_mention("question")})
-    named = left_lookup(mentions.withColumn("pkg", F.lower("pkg_no")).join(by_name, "qid", "left"), cert_by_id, ["cid"])
+    named = left_lookup(asked.withColumn("pkg", F.lower("pkg_no")).join(by_name, "qid", "left"), cert_by_id, ["cid"])
     named = left_lookup(named, work_by_package, ["pkg"]).withColumn(
         "engineer", F.coalesce("pkg_work.lead_engineer", "id_cert.name", "engineer")
     )
@@ -276,18 +311,24 @@ def link_questions(
     best = title_overlap(word_hits, searched, *titles).groupBy("qid").agg(
         F.min_by("doc_id", F.struct(-F.col("score"), F.col("doc_id"))).alias("title_doc")
     )
+    leads = cut_lineage(searched.select("lead").distinct())
     sole = (
-        works.filter(F.col("lead_engineer").isNotNull())
-        .groupBy(F.lower("lead_engineer").alias("lead"))
+        works.withColumn("lead", F.lower("lead_engineer"))
+        .join(broadcast_checked(leads), "lead", "left_semi")
+        .groupBy("lead")
         .agg(F.count("*").alias("n"), F.min("doc_id").alias("sole_doc"))
         .filter("n = 1")
         .select("lead", "sole_doc")
     )
-    chosen = (
+    found = cut_lineage(
         searched.join(best, "qid", "left")
         .join(sole, "lead", "left")
         .select("qid", F.coalesce("title_doc", "sole_doc").alias("found_doc"))
-        .join(works.select(F.col("doc_id").alias("found_doc"), _work_struct().alias("found_work")), "found_doc")
+        .filter(F.col("found_doc").isNotNull())
+    )
+    chosen = (
+        works.select(F.col("doc_id").alias("found_doc"), _work_struct().alias("found_work"))
+        .join(broadcast_checked(found), "found_doc")
         .select("qid", "found_work")
     )
     with_work = (
@@ -295,34 +336,46 @@ def link_questions(
         .withColumn("work", F.coalesce("pkg_work", "found_work"))
         .drop("pkg_work", "found_work", "pkg", "cid")
     )
-
-    exact_client = longest_name(name_hits, clients, "client_name")
-    aliased = first_alias(name_hits, aliases).withColumnRenamed("canonical", "alias_client")
-    with_client = cut_lineage(
-        with_work.join(exact_client, "qid", "left")
-        .join(aliased, "qid", "left")
-        .withColumn("client_name", F.coalesce("client_name", "alias_client", "work.client_name"))
-        .withColumn("cred_type", credential_type_named("question"))
-    )
-
     cert_by_holder = certs.groupBy(F.lower("name").alias("holder"), F.lower("cred_type").alias("kind")).agg(
         F.min_by(F.struct("doc_id", "name", "issue_date"), "doc_id").alias("held_cert")
     )
-    holders = with_client.withColumns({"holder": F.lower("engineer"), "kind": F.lower("cred_type")})
-    with_cert = left_lookup(holders, cert_by_holder, ["holder", "kind"]).withColumn("cert", F.coalesce("id_cert", "held_cert"))
-
-    excluded = excluded_category(with_client.select("qid", "question", "client_name"), works)
-    linked = with_cert.join(excluded, "qid", "left").select(
+    of_holder = with_work.withColumns({"holder": F.lower("engineer"), "kind": F.lower(credential_type_named("question"))})
+    with_cert = left_lookup(of_holder, cert_by_holder, ["holder", "kind"]).withColumn("cert", F.coalesce("id_cert", "held_cert"))
+    found_rows = with_cert.select(
         "qid",
+        "question",
         "engineer",
-        "client_name",
+        F.col("work.client_name").alias("work_client"),
         F.col("work.doc_id").alias("project_doc_id"),
         F.col("work.project_name").alias("project_name"),
         F.coalesce("pkg_no", "work.package_no").alias("package_no"),
         F.col("work.completion_date").alias("completion_date"),
         F.col("cert.doc_id").alias("cert_doc_id"),
         F.col("cert.issue_date").alias("issue_date"),
-        "cred_type",
+    )
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in found_rows.schema if f.name not in ("qid", "question")]
+
+    exact_client = longest_name(name_hits, clients, "client_name")
+    aliased = first_alias(name_hits, aliases).withColumnRenamed("canonical", "alias_client")
+    with_client = cut_lineage(
+        found_rows.unionByName(unlinked.select("qid", "question", *nothing))
+        .join(exact_client, "qid", "left")
+        .join(aliased, "qid", "left")
+        .withColumn("client_name", F.coalesce("client_name", "alias_client", "work_client"))
+        .drop("alias_client", "work_client")
+    )
+    excluded = excluded_category(with_client.select("qid", "question", "client_name"), works)
+    linked = with_client.join(excluded, "qid", "left").select(
+        "qid",
+        "engineer",
+        "client_name",
+        "project_doc_id",
+        "project_name",
+        "package_no",
+        "completion_date",
+        "cert_doc_id",
+        "issue_date",
+        credential_type_named("question").alias("cred_type"),
         money.threshold_rupees("question").alias("threshold_inr"),
         "excluded_category",
         tx.years_in("question").alias("years"),
