@@ -60,13 +60,16 @@ def words_to_number(c: Column | str) -> Column:
 def threshold_rupees(c: Column | str) -> Column:
     """The bar named in a question: digits + crore, words + crore, digits + lakh, else 0."""
     text = as_col(c)
+    # The unit's letters are looked for first; most questions name no unit.
+    low = F.lower(text)
+    in_crore, in_lakh = F.contains(low, F.lit("cr")), F.contains(low, F.lit("lakh"))
     crore = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*cr(?:ore)?s?\b", 1)
     spoken = F.nullif(words_to_number(F.regexp_extract(text, WORD_CRORE, 1)), F.lit(0))
     lakh = F.regexp_extract(text, r"(?i)(\d+(?:\.\d+)?)\s*lakhs?\b", 1)
     return F.coalesce(
-        _rupees(_decimal(crore) * F.lit(fv.RUPEES_PER_CRORE)),
-        spoken.cast("bigint") * F.lit(fv.RUPEES_PER_CRORE).cast("bigint"),
-        _rupees(_decimal(lakh) * F.lit(fv.RUPEES_PER_LAKH)),
+        F.when(in_crore, _rupees(_decimal(crore) * F.lit(fv.RUPEES_PER_CRORE))),
+        F.when(in_crore, spoken.cast("bigint") * F.lit(fv.RUPEES_PER_CRORE).cast("bigint")),
+        F.when(in_lakh, _rupees(_decimal(lakh) * F.lit(fv.RUPEES_PER_LAKH))),
         F.lit(0).cast("bigint"),
     )
 
