@@ -73,7 +73,7 @@ def decide(scores: DataFrame, min_score: float, min_margin: float) -> DataFrame:
         "qid",
         F.when(F.col("settled"), F.col("top.name")).alias("matched"),
         top_frac.alias("confidence"),
-        F.coalesce("tied", F.array().cast("array<string>")).alias("tied"),
+        F.coalesce("tied", F.array().cast(ties.schema["tied"].dataType)).alias("tied"),
     )
 
 
@@ -84,25 +84,32 @@ def shared_words(asked: DataFrame, postings: DataFrame, scope: list[str]) -> Dat
     ``solo`` marks words that qualify a pair on their own. All other pairs need two shared words,
     so the most common word of each name never has to generate a pair: it is looked up afterwards
     for the pairs the rarer words produced. That keeps every name's hottest token out of the join.
+    Where the names' words are few, a question's pairs are made and summed up in one task.
     """
     by = [*scope, "name"]
-    common = (
+    common = cut_lineage(
         postings.groupBy(*by)
         .agg(F.max(F.struct("df", "word", "weight", "solo")).alias("c"))
         .filter(~F.col("c.solo"))
         .select(*by, F.col("c.word").alias("c_word"), F.col("c.df").alias("c_df"), F.col("c.weight").alias("c_weight"))
     )
-    generators = postings.join(common.select(*by, "c_word"), by, "left").filter(
-        F.col("c_word").isNull() | (F.col("word") != F.col("c_word"))
+    generators = cut_lineage(
+        postings.join(common.select(*by, "c_word"), by, "left")
+        .filter(F.col("c_word").isNull() | (F.col("word") != F.col("c_word")))
+        .drop("c_word")
     )
+    hinted = broadcast_checked(generators)
+    few = hinted is not generators
+    # Pairs are many more than words: not moved at all if the words are dealt by question before.
+    partitions = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     generated = (
-        asked.join(generators, [*scope, "word"])
+        (asked.repartition(partitions, "qid") if few else asked).join(hinted, [*scope, "word"])
         .groupBy("qid", *by)
         .agg(
             F.sum("weight").alias("overlap"), F.count("*").alias("n_shared"), F.min("df").alias("min_df")
         )
     )
-    with_common = generated.join(common, by, "left").join(
+    with_common = generated.join(broadcast_checked(common), by, "left").join(
         asked.select("qid", *scope, F.col("word").alias("c_word"), F.lit(1).alias("c_hit")),
         ["qid", *scope, "c_word"],
         "left",
@@ -123,20 +130,48 @@ def question_words(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     Written once: texts are tokenised a single time for all tiers, and words no name uses are
     gone before anything is shuffled.
     """
-    vocabulary = catalog.select(POOL, F.explode(name_words("name")).alias("word")).distinct()
+    vocabulary = cut_lineage(catalog.select(POOL, F.explode(name_words("name")).alias("word")).distinct())
     asked = questions.select("qid", POOL, F.explode("words").alias("word"))
-    return cut_lineage(asked.join(vocabulary, [POOL, "word"], "left_semi"))
+    return cut_lineage(asked.join(broadcast_checked(vocabulary), [POOL, "word"], "left_semi"))
 
 
-def fuzzy_scores(asked: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Rarity-weighted word overlap of (qid, _pool, word) with (_pool, name)."""
-    names = catalog.select(POOL, "name", F.explode(name_words("name")).alias("word"))
+def fuzzy_scores(asked: DataFrame, catalog: DataFrame, key: str = "name") -> DataFrame:
+    """Rarity-weighted word overlap of (qid, _pool, word) with (_pool, name); ``key`` stands for the name in the result."""
+    names = catalog.select(POOL, F.col(key).alias("name"), F.explode(name_words("name")).alias("word"))
     df = names.groupBy(POOL, "word").agg(F.count("*").alias("df"))
     postings = cut_lineage(
         names.join(df, [POOL, "word"]).withColumns({"weight": F.lit(1.0) / F.col("df"), "solo": F.col("df") == 1})
     )
-    totals = postings.groupBy(POOL, "name").agg(F.sum("weight").alias("total"))
-    return _qualified(shared_words(asked, postings, [POOL]).join(totals, [POOL, "name"]))
+    totals = cut_lineage(postings.groupBy(POOL, "name").agg(F.sum("weight").alias("total")))
+    return _qualified(shared_words(asked, postings, [POOL]).join(broadcast_checked(totals), [POOL, "name"]))
+
+
+def fuzzy(asked: DataFrame, catalog: DataFrame, min_score: float, min_margin: float) -> DataFrame:
+    """The fuzzy tier: (qid, _pool, word) x (_pool, name) -> (qid, matched, confidence, tied).
+
+    Scores have a row for each pair, so names are numbers in alphabetical order until the questions are decided.
+    """
+    numbers = cut_lineage(catalog.select("name").distinct().orderBy("name").withColumn("id", F.monotonically_increasing_id()))
+    numbered = cut_lineage(catalog.join(broadcast_checked(numbers), "name"))
+    decided = cut_lineage(decide(fuzzy_scores(asked, numbered, "id"), min_score, min_margin))
+    # Undecided questions have no number; they stay out of the join, which would gather them.
+    won = (
+        decided.filter(F.col("matched").isNotNull()).select("qid", F.col("matched").alias("id"))
+        .hint("merge").join(broadcast_checked(numbers), "id")
+        .select("qid", F.col("name").alias("_matched"))
+    )
+    ties = (
+        decided.select("qid", F.explode("tied").alias("id"))
+        .hint("merge").join(broadcast_checked(numbers), "id")
+        .groupBy("qid")
+        .agg(F.array_sort(F.collect_set("name")).alias("_tied"))
+    )
+    return decided.join(won, "qid", "left").join(ties, "qid", "left").select(
+        "qid",
+        F.col("_matched").alias("matched"),
+        "confidence",
+        F.coalesce("_tied", F.array().cast("array<string>")).alias("tied"),
+    )
 
 
 def _tie_scores(hits: DataFrame, asked: DataFrame) -> DataFrame:
@@ -264,9 +299,9 @@ def resolve(
     spelled = cut_lineage(acronym_class_hits(rest, members).select("qid", POOL, "class").distinct())
     acronym = _settle_classes(spelled, members, asked_words, "acronym")
     settled = exact.select("qid").union(acronym.select("qid"))
-    scores = fuzzy_scores(asked_words.join(settled, "qid", "left_anti"), names)
-    fuzzy = decide(scores, min_score, min_margin).withColumn("method", F.lit("fuzzy"))
-    found = exact.unionByName(acronym).unionByName(fuzzy)
+    rest_words = cut_lineage(asked_words.join(settled, "qid", "left_anti"))
+    scored = fuzzy(rest_words, names, min_score, min_margin).withColumn("method", F.lit("fuzzy"))
+    found = exact.unionByName(acronym).unionByName(scored)
     return questions.select("qid").join(found, "qid", "left").select(
         "qid",
         "matched",

@@ -88,8 +88,7 @@ def fuzzy_link(spark: SparkSession, sf: str) -> DataFrame:
     """The fuzzy tier alone: documents against passages by rarity-weighted words."""
     asked = _pooled(_documents(spark, sf)).withColumn("words", tx.name_words("question"))
     names = cut_lineage(_pooled(_passages(spark, sf).distinct()))
-    scores = rs.fuzzy_scores(rs.question_words(asked, names), names)
-    decided = rs.decide(scores, rs.MIN_SCORE, rs.MIN_MARGIN)
+    decided = rs.fuzzy(rs.question_words(asked, names), names, rs.MIN_SCORE, rs.MIN_MARGIN)
     return _result(decided.withColumn("method", F.lit("fuzzy")))
 
 
