@@ -20,7 +20,7 @@ from folioscope.session import cut_lineage
 
 MIN_SCORE, MIN_MARGIN = 0.3, 0.15
 TIE_MIN_SCORE, TIE_MIN_MARGIN = 0.15, 0.1
-SAME_OVERLAP = 1e-9
+SAME_OVERLAP, OVERLAP_DIGITS = 1e-9, 10
 CONFIDENCE = {"exact": 1.0, "acronym": 0.95}
 
 # Scoped resolution carries a pool id on both sides; an unscoped catalog is one pool.
@@ -42,9 +42,10 @@ def decide(scores: DataFrame, min_score: float, min_margin: float) -> DataFrame:
     """(qid, name, overlap, frac) -> (qid, matched, confidence, tied), abstaining on close calls.
 
     Two mergeable aggregations: the leader per question, then everything relative to it. Names
-    are gathered for the questions that end in a tie only.
+    are gathered for the questions that end in a tie only. Sums of the same weights may differ in their last digit with
+    the order they are added in, so overlaps are rounded before they are ranked.
     """
-    scores = cut_lineage(scores)
+    scores = cut_lineage(scores.withColumn("overlap", F.round("overlap", OVERLAP_DIGITS)))
     rank = F.struct("overlap", "frac")
     leaders = scores.groupBy("qid").agg(F.max(F.struct("overlap", "frac", "name")).alias("top"))
     top_overlap, top_frac = F.col("top.overlap"), F.col("top.frac")

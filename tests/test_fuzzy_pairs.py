@@ -29,3 +29,10 @@ def test_pairs_hold_no_names_and_are_decided_alike(spark, monkeypatch):
     made = rs.shared_words(asked, rs.cut_lineage(asked.select(rs.POOL, F.lit(1).alias("name"), "word", F.lit(2).alias("df"), F.lit(0.5).alias("weight"), F.lit(False).alias("solo"))), [rs.POOL])
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(qid" in plan and f"hashpartitioning(qid, {rs.POOL}, name" not in plan
+
+
+def test_equal_overlaps_are_ranked_by_their_share(spark):
+    """0.1 + 0.2 is more than 0.3 in its last digit only."""
+    scores = [(1, "a", 0.1 + 0.2, 0.4), (1, "b", 0.3, 0.6), (2, "c", 0.9, 0.9), (2, "d", 0.1 + 0.2, 0.4), (2, "e", 0.3, 0.8)]
+    got = rs.decide(spark.createDataFrame(scores, "qid int, name string, overlap double, frac double"), 0.3, 0.15).collect()
+    assert sorted((r["qid"], r["matched"], r["confidence"], r["tied"]) for r in got) == [(1, None, 0.6, ["a", "b"]), (2, None, 0.9, ["c", "e"])]
